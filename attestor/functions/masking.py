@@ -1,4 +1,8 @@
-"""Personal-data masking as column expressions; no Python runs per row."""
+"""Personal-data masking as native SQL expressions; no Python runs per row.
+
+Each pass is one SQL text over the name of a text column, so the same expression serves
+the DataFrame API (``F.expr``) and the SQL function, and builds in one call.
+"""
 
 from __future__ import annotations
 
@@ -6,76 +10,120 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attestor import fixed_values as V
-from attestor.session import bind, column
+from attestor.functions.text import blank_sql
+from attestor.session import column
 
 
-def luhn_valid(value: Column | str) -> Column:
-    """True if the digits of the value pass the Luhn check; no digits at all is false."""
-    digits = F.regexp_replace(column(value), "[^0-9]", "")
-    return (digits != "") & F.call_function("luhn_check", digits)
+def _raw(text: str) -> str:
+    """A raw SQL string literal; the patterns hold no quotes."""
+    return f"r'{text}'"
 
 
-def _replace_where(text: Column, pattern: str, tag: str, wanted) -> Column:
-    """Replace only those matches of ``pattern`` for which ``wanted(match)`` holds."""
+def bind_sql(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is computed once per row."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    def replaced(match: Column) -> Column:
-        return F.when(wanted(match), F.lit(tag)).otherwise(match)
 
-    def rebuild(t: Column) -> Column:
-        matches = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+def luhn_sql(value: str) -> str:
+    digits = f"regexp_replace({value}, '[^0-9]', '')"
+    return f"({digits} <> '' AND luhn_check({digits}))"
 
-        def interleave(between: Column) -> Column:
-            after = F.slice(between, F.lit(2), F.size(between))
-            tail = F.zip_with(matches, after, lambda m, gap: F.concat(replaced(m), gap))
-            return F.concat(between[0], F.array_join(tail, ""))
 
-        return bind(F.split(t, pattern, -1), interleave)
+def _replace_all(text: str, pattern: str, tag: str) -> str:
+    return f"regexp_replace({text}, {_raw(pattern)}, '{tag}')"
 
-    return bind(text, lambda t: F.when(t.rlike(pattern), rebuild(t)).otherwise(t))
 
+def _replace_where(text: str, pattern: str, tag: str, wanted: str) -> str:
+    """Replace only the matches ``m`` of the pattern for which ``wanted`` holds.
 
-def mask_email(text: Column | str) -> Column:
-    text = column(text)
-    return F.when(
-        F.contains(text, F.lit("@")), F.regexp_replace(text, V.EMAIL, V.EMAIL_TAG)
-    ).otherwise(text)
+    The text is cut at the matches; the pieces and the matches, kept or replaced, are put
+    together again. A text without a match costs one scan.
+    """
+    p = _raw(pattern)
+    tail = (
+        f"zip_with(regexp_extract_all(t, {p}, 0), slice(pieces, 2, size(pieces)),"
+        f" (m, piece) -> concat(CASE WHEN {wanted} THEN '{tag}' ELSE m END, piece))"
+    )
+    rebuilt = bind_sql(f"split(t, {p}, -1)", "pieces", f"concat(pieces[0], array_join({tail}, ''))")
+    return bind_sql(text, "t", f"CASE WHEN t RLIKE {p} THEN {rebuilt} ELSE t END")
 
 
-def mask_card(text: Column | str) -> Column:
-    return _replace_where(column(text), V.CARD, V.CARD_TAG, luhn_valid)
+def email_sql(text: str) -> str:
+    masked = _replace_all(text, V.EMAIL, V.EMAIL_TAG)
+    return f"CASE WHEN contains({text}, '@') THEN {masked} ELSE {text} END"
 
 
-def mask_aadhaar(text: Column | str) -> Column:
-    return F.regexp_replace(column(text), V.AADHAAR, V.AADHAAR_TAG)
+def card_sql(text: str) -> str:
+    return _replace_where(text, V.CARD, V.CARD_TAG, luhn_sql("m"))
 
 
-def mask_pan(text: Column | str) -> Column:
-    return F.regexp_replace(column(text), V.PAN, V.PAN_TAG)
+def aadhaar_sql(text: str) -> str:
+    return _replace_all(text, V.AADHAAR, V.AADHAAR_TAG)
 
 
-def mask_gstin(text: Column | str) -> Column:
-    return F.regexp_replace(column(text), V.GSTIN, V.GSTIN_TAG)
+def pan_sql(text: str) -> str:
+    return _replace_all(text, V.PAN, V.PAN_TAG)
 
 
-def mask_phone(text: Column | str) -> Column:
+def gstin_sql(text: str) -> str:
+    return _replace_all(text, V.GSTIN, V.GSTIN_TAG)
+
+
+def phone_sql(text: str) -> str:
     """Bare runs of 13 digits and more are registration numbers and stay."""
-    return _replace_where(column(text), V.PHONE, V.PHONE_TAG, lambda m: ~m.rlike(V.LONG_DIGIT_RUN))
+    return _replace_where(text, V.PHONE, V.PHONE_TAG, f"NOT m RLIKE {_raw(V.LONG_DIGIT_RUN)}")
 
 
-def mask_all(text: Column | str) -> Column:
+def mask_all_sql(text: str) -> str:
     """All six passes in their fixed order; later passes see the earlier tags.
 
     One cheap scan decides whether any number pass can match, so a text without
     number-like content costs one regular expression and not seven.
     """
+    numbers = phone_sql(gstin_sql(pan_sql(aadhaar_sql(card_sql("n")))))
+    return bind_sql(
+        email_sql(text), "n", f"CASE WHEN n RLIKE {_raw(V.NUMBER_HINT)} THEN {numbers} ELSE n END"
+    )
 
-    def numbers(t: Column) -> Column:
-        return mask_phone(mask_gstin(mask_pan(mask_aadhaar(mask_card(t)))))
 
-    return bind(
-        mask_email(text),
-        lambda t: F.when(t.rlike(V.NUMBER_HINT), numbers(t)).otherwise(t),
-    )
+def tags_sql(masked: str) -> str:
+    return f"array_sort(array_distinct(regexp_extract_all({masked}, {_raw(V.ANY_TAG)}, 0)))"
+
+
+# --- the same as columns, over the name of a text column -----------------------------------
+
+
+def luhn_valid(text: str) -> Column:
+    """True if the digits of the value pass the Luhn check; no digits at all is false."""
+    return F.expr(luhn_sql(text))
+
+
+def mask_email(text: str) -> Column:
+    return F.expr(email_sql(text))
+
+
+def mask_card(text: str) -> Column:
+    return F.expr(card_sql(text))
+
+
+def mask_aadhaar(text: str) -> Column:
+    return F.expr(aadhaar_sql(text))
+
+
+def mask_pan(text: str) -> Column:
+    return F.expr(pan_sql(text))
+
+
+def mask_gstin(text: str) -> Column:
+    return F.expr(gstin_sql(text))
+
+
+def mask_phone(text: str) -> Column:
+    return F.expr(phone_sql(text))
+
+
+def mask_all(text: str) -> Column:
+    return F.expr(mask_all_sql(text))
 
 
 def tags_used(masked: Column | str) -> Column:
@@ -87,30 +135,21 @@ def pii_detected(raw: Column | str, masked: Column | str) -> Column:
     return ~column(raw).eqNullSafe(column(masked))
 
 
-def mask_report(text: Column | str) -> Column:
+def mask_report(text: str) -> Column:
     """Struct of masked text, lengths and tags; blank text reports zero lengths and no tags."""
-    from attestor.functions.text import is_blank
-
-    raw = column(text)
-
-    def filled(masked: Column) -> Column:
-        return F.struct(
-            masked.alias("scrubbed_text"),
-            pii_detected(raw, masked).alias("pii_detected"),
-            F.length(raw).alias("original_length"),
-            F.length(masked).alias("scrubbed_length"),
-            F.lit(V.MASKER_NAME).alias("skill"),
-            F.lit(V.MASKER_VERSION).alias("version"),
-            tags_used(masked).alias("redaction_tags_used"),
+
+    def report(scrubbed: str, detected: str, before: str, after: str, tags: str) -> str:
+        return (
+            f"named_struct('scrubbed_text', {scrubbed}, 'pii_detected', {detected},"
+            f" 'original_length', {before}, 'scrubbed_length', {after},"
+            f" 'skill', '{V.MASKER_NAME}', 'version', '{V.MASKER_VERSION}',"
+            f" 'redaction_tags_used', {tags})"
         )
 
-    blank = F.struct(
-        raw.alias("scrubbed_text"),
-        F.lit(False).alias("pii_detected"),
-        F.lit(0).alias("original_length"),
-        F.lit(0).alias("scrubbed_length"),
-        F.lit(V.MASKER_NAME).alias("skill"),
-        F.lit(V.MASKER_VERSION).alias("version"),
-        F.array().cast("array<string>").alias("redaction_tags_used"),
+    blank = report(text, "false", "0", "0", "cast(array() AS array<string>)")
+    after = "masked_once"
+    filled = report(
+        after, f"NOT {after} <=> {text}", f"length({text})", f"length({after})", tags_sql(after)
     )
-    return F.when(is_blank(raw), blank).otherwise(bind(mask_all(raw), filled))
+    masked = bind_sql(mask_all_sql(text), after, filled)
+    return F.expr(f"CASE WHEN {blank_sql(text)} THEN {blank} ELSE {masked} END")

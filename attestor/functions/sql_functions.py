@@ -4,48 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor import fixed_values as V
-
-
-def _raw(text: str) -> str:
-    """A raw SQL string literal; the patterns hold no quotes."""
-    return f"r'{text}'"
-
-
-def _replace_where_sql(value: str, name: str, pattern: str, tag: str, wanted: str) -> str:
-    p = _raw(pattern)
-    return f"""transform(array({value}), {name} -> CASE WHEN {name} RLIKE {p} THEN
-      transform(array(split({name}, {p}, -1)), gaps -> concat(gaps[0], array_join(zip_with(
-        regexp_extract_all({name}, {p}, 0), slice(gaps, 2, size(gaps)),
-        (h, g) -> concat(CASE WHEN {wanted} THEN '{tag}' ELSE h END, g)), '')))[0]
-      ELSE {name} END)[0]"""
-
-
-def mask_sql(value: str) -> str:
-    """The six masking passes as a SQL expression over ``value``."""
-    email = (
-        f"CASE WHEN contains({value}, '@') THEN"
-        f" regexp_replace({value}, {_raw(V.EMAIL)}, '{V.EMAIL_TAG}') ELSE {value} END"
-    )
-    text = _replace_where_sql(
-        "t", "c", V.CARD, V.CARD_TAG, "luhn_check(regexp_replace(h, '[^0-9]', ''))"
-    )
-    for pattern, tag in ((V.AADHAAR, V.AADHAAR_TAG), (V.PAN, V.PAN_TAG), (V.GSTIN, V.GSTIN_TAG)):
-        text = f"regexp_replace({text}, {_raw(pattern)}, '{tag}')"
-    numbers = _replace_where_sql(
-        text, "p", V.PHONE, V.PHONE_TAG, f"NOT h RLIKE {_raw(V.LONG_DIGIT_RUN)}"
-    )
-    return (
-        f"transform(array({email}), t -> CASE WHEN t RLIKE {_raw(V.NUMBER_HINT)}"
-        f" THEN {numbers} ELSE t END)[0]"
-    )
+from attestor.functions.masking import mask_all_sql
 
 
 def register_redact_pii(spark: SparkSession, name: str = "redact_pii") -> str:
     """``SELECT redact_pii(text)`` as a native SQL function."""
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(document STRING) RETURNS STRING"
-        f" RETURN {mask_sql('document')}"
+        f" RETURN {mask_all_sql('document')}"
     )
     return name
 

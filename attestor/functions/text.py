@@ -11,6 +11,16 @@ from attestor.session import column
 VIOLATION = r"(?d)^([A-Z]+-\d+):\s*(.*)$"
 
 
+def sql_literal(text: str | None) -> str:
+    if text is None:
+        return "NULL"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def blank_sql(text: str) -> str:
+    return f"({text} IS NULL OR NOT {text} RLIKE r'[^{V.SPACE_CLASS}]')"
+
+
 def is_blank(text: Column | str) -> Column:
     """Null or nothing but white space. Looks only for the first other character."""
     text = column(text)

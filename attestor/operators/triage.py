@@ -6,48 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor import fixed_values as V
-from attestor.session import bind, column
+from attestor.functions.masking import bind_sql
+from attestor.functions.text import sql_literal
 
 
-def triage_of(masked: Column | str, cues: dict[str, tuple[str, ...]] | None = None) -> Column:
+def triage_of(masked: str, cues: dict[str, tuple[str, ...]] | None = None) -> Column:
     """Struct of doc_type, confidence and reasoning from the cues found in the masked text.
 
     The cue list is configuration, so the cues become literal tests in one row-local
-    expression: no join of documents with cues and no shuffle.
+    expression: no join of documents with cues and no shuffle. Equal scores go to the type
+    listed first; without any cue the type is unknown.
     """
     cues = cues or V.TRIAGE_CUES
-    types = F.array(*[F.lit(t) for t in cues])
-
-    def scores(text: Column) -> Column:
-        return F.array(*[
-            sum((F.contains(text, F.lit(c)).cast("int") for c in words), F.lit(0))
-            for words in cues.values()
-        ])
-
-    def decide(score: Column) -> Column:
-        total = F.aggregate(score, F.lit(0), lambda a, b: a + b)
-        best = F.array_max(score)
-        doc_type = types[F.array_position(score, best).cast("int") - 1]
-        reason = F.concat(
-            best.cast("string"), F.lit(" of "), total.cast("string"),
-            F.lit(" cue(s) found point to "), doc_type,
-        )
-        return F.when(
-            total > 0,
-            F.struct(
-                doc_type.alias("doc_type"),
-                (best / total).alias("confidence"),
-                reason.alias("reasoning"),
-            ),
-        ).otherwise(F.struct(
-            F.lit(V.UNKNOWN).alias("doc_type"),
-            F.lit(0.0).alias("confidence"),
-            F.lit("no cue found").alias("reasoning"),
-        ))
-
-    return bind(bind(F.lower(F.coalesce(column(masked), F.lit(""))), scores), decide)
+    types = f"array({', '.join(sql_literal(t) for t in cues)})"
+    points = ", ".join(
+        " + ".join(f"cast(contains(low, {sql_literal(c)}) AS int)" for c in words)
+        for words in cues.values()
+    )
+    scores = bind_sql(f"lower(coalesce({masked}, ''))", "low", f"array({points})")
+    summed = (
+        f"named_struct('best', array_max(s), 'total', aggregate(s, 0, (a, b) -> a + b),"
+        f" 'type', {types}[cast(array_position(s, array_max(s)) AS int) - 1])"
+    )
+    known = (
+        "named_struct('doc_type', r.type, 'confidence', cast(r.best / r.total AS double),"
+        " 'reasoning', concat(r.best, ' of ', r.total, ' cue(s) found point to ', r.type))"
+    )
+    unknown = (
+        f"named_struct('doc_type', '{V.UNKNOWN}', 'confidence', 0D, 'reasoning', 'no cue found')"
+    )
+    decided = f"CASE WHEN r.total > 0 THEN {known} ELSE {unknown} END"
+    return F.expr(bind_sql(bind_sql(scores, "s", summed), "r", decided))
 
 
 def triage(docs: DataFrame, text: str = "scrubbed_text") -> DataFrame:
     """Add doc_type, confidence and reasoning."""
-    return docs.withColumn("triage", triage_of(text)).select("*", "triage.*").drop("triage")
+    return docs.select("*", triage_of(text).alias("t")).select(*docs.columns, "t.*")

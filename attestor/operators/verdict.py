@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from attestor import fixed_values as V
-from attestor.functions.text import executive_summary, missing, severity_rank, text_preview
+from attestor.functions.text import executive_summary, missing, severity_rank, sql_literal, text_preview
 from attestor.operators.rulebook import applicable_rules
 
 # A catalogue up to this size is planned as literal predicates; a larger one is joined.
@@ -26,12 +26,6 @@ def catalogue_rows(rules: DataFrame) -> list[Row]:
     return rows
 
 
-def sql_literal(text: str | None) -> str:
-    if text is None:
-        return "NULL"
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _rule_sql(rule: Row, text: str) -> str:
     """One rule with its outcome as a SQL struct; the predicate is literal."""
     tests = []

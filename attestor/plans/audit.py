@@ -41,9 +41,11 @@ def audit_uploads(uploads: DataFrame, catalogue: list[Row], auto_approve: bool =
     checked = gated(uploads)
     accepted = F.col("reject_code").isNull()
     kept = [c for c in checked.columns if c != "text"]
-    masked = checked.select(
-        *kept, mask_report(F.when(accepted, F.col("text"))).alias("m")
-    ).select(*kept, "m.*").drop("skill", "version")
+    masked = (
+        checked.select(*kept, F.when(accepted, F.col("text")).alias("text"))
+        .select(*kept, mask_report("text").alias("m"))
+        .select(*kept, "m.scrubbed_text", "m.pii_detected")
+    )
     audited = package_result(audit_masked(masked, catalogue)).withColumns({
         "session_id": F.md5(F.col("doc_id").cast("string")),
         "route": F.when(~accepted, F.lit("rejected"))

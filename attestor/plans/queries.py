@@ -54,10 +54,6 @@ def _rules(spark: SparkSession) -> DataFrame:
     return catalogue.with_predicates(catalogue.load_rules(spark))
 
 
-def _catalogue(spark: SparkSession) -> list:
-    return verdict.catalogue_rows(_rules(spark))
-
-
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     """All texts: documents, raw pages and business documents."""
     docs = inputs.table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
@@ -78,7 +74,7 @@ def _typed(spark: SparkSession, sf: str) -> DataFrame:
 
 def _audited(spark: SparkSession, sf: str) -> DataFrame:
     """All uploads with verdict and route, stored once."""
-    return audit_staged(_business(spark, sf), _catalogue(spark))
+    return audit_staged(_business(spark, sf), catalogue.builtin_rows())
 
 
 def _accepted(audited: DataFrame) -> DataFrame:
@@ -136,7 +132,7 @@ def _ts(column: str) -> Column:
 
 @query("full_audit", "all of §3.1")
 def full_audit(spark: SparkSession, sf: str) -> DataFrame:
-    audited = audit_uploads(_business(spark, sf), _catalogue(spark))
+    audited = audit_uploads(_business(spark, sf), catalogue.builtin_rows())
     return audited.select(
         "doc_id", "filename", "route", "reject_code", "doc_type", "status", "severity",
         "compliance_score", "pii_detected", _joined("violations").alias("violations"),
@@ -180,7 +176,7 @@ def luhn_candidates(spark: SparkSession, sf: str) -> DataFrame:
 @query("pii_detected", "M9")
 def pii_detected(spark: SparkSession, sf: str) -> DataFrame:
     return _texts(spark, sf).select(
-        "kind", "id", masking.pii_detected(F.col("text"), masking.mask_all("text")).alias("pii_detected")
+        "kind", "id", masking.pii_detected("text", masking.mask_all("text")).alias("pii_detected")
     )
 
 
@@ -419,7 +415,7 @@ def rule_evaluations_by_join(spark: SparkSession, sf: str) -> DataFrame:
 @query("tag_evidence", "J3")
 def tag_evidence(spark: SparkSession, sf: str) -> DataFrame:
     masked = _typed(spark, sf).withColumn("tags", _joined("redaction_tags_used", ","))
-    results = verdict.evaluations("scrubbed_text", "doc_type", _catalogue(spark))
+    results = verdict.evaluations("scrubbed_text", "doc_type", catalogue.builtin_rows())
     proofs = F.filter(results, lambda r: r["rule_id"].isin("INV-01", "INV-05"))
     return masked.select("doc_id", "tags", F.explode(proofs).alias("e")).select(
         "doc_id", "tags", "e.rule_id", "e.passed"
@@ -437,7 +433,7 @@ def _verdict_columns(df: DataFrame) -> DataFrame:
 
 @query("audit_verdicts", "A2")
 def audit_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    results = verdict.evaluations("scrubbed_text", "doc_type", _catalogue(spark))
+    results = verdict.evaluations("scrubbed_text", "doc_type", catalogue.builtin_rows())
     judged = _typed(spark, sf).withColumn("evaluations", results)
     return _verdict_columns(verdict.audit_verdict(judged))
 
@@ -780,7 +776,7 @@ def _stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def streamed_audit(spark: SparkSession, sf: str) -> DataFrame:
     uploads = inputs.derive(inputs.BUSINESS_DOCUMENTS, orders=_stream_of(spark, sf, "orders"))
     out = scratch_path(spark, "streamed-audit")
-    arrivals.continuous_audit(uploads, _catalogue(spark), out, f"{out}/checkpoint").awaitTermination()
+    arrivals.continuous_audit(uploads, catalogue.builtin_rows(), out, f"{out}/checkpoint").awaitTermination()
     return arrivals.audited_so_far(spark, out).select(
         "doc_id", "filename", "route", "reject_code", "doc_type", "status", "severity",
         "compliance_score", "pii_detected", _joined("violations").alias("violations"),

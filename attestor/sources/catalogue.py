@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from attestor import fixed_values as V
@@ -82,6 +82,17 @@ def with_predicates(rules: DataFrame) -> DataFrame:
     )
 
 
+def builtin_rows() -> list[Row]:
+    """The built-in rules with their predicates as literals for planning, in order."""
+    categories = [c for c in CATALOGUE if not c.startswith("_")]
+    return [
+        Row(category=c, **rule, must=must, must_not=must_not, min_count=n)
+        for c in categories
+        for rule in CATALOGUE[c]
+        for must, must_not, n in [PREDICATES[rule["id"]]]
+    ]
+
+
 def rules_document(rules: DataFrame) -> DataFrame:
     """The whole catalogue as one row of JSON text, categories and rules in order."""
     rule = F.struct("seq", F.struct(*RULE_FIELDS).alias("rule"))

@@ -13,7 +13,7 @@ from attestor.session import staged
 
 LEDGER = (
     "id bigint, timestamp timestamp_ntz, filename string, doc_type string, status string, "
-    "severity string, full_report string, compliance_score int, batch_id bigint, audit_date date"
+    "severity string, full_report string, compliance_score int, batch_id bigint"
 )
 
 
@@ -48,22 +48,18 @@ def append_ledger(results: DataFrame, path: str, batch_id: int = 0) -> None:
     """Append one batch with ids that go on from the earlier batches.
 
     The batch has a folder of its own that is overwritten, so repeating a batch after a
-    failure replaces it and neither doubles rows nor shifts ids. Dates are partitions below
-    it; the score is stored typed beside the JSON, so trends never parse reports.
+    failure replaces it and neither doubles rows nor shifts ids. Its files follow the time
+    order, so parquet statistics prune lookups by time and by id without a folder per day,
+    which would leave many small files. The score is stored typed beside the JSON, so trends
+    never parse reports.
     """
     spark = results.sparkSession
     earlier = read_ledger(spark, path).where(F.col("batch_id") < batch_id)
     start = earlier.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     # Sorting samples its input first; staging keeps that from repeating the audit.
     rows = staged(ledger_rows(results), "ledger-rows")
-    (
-        assign_ids(rows, ["timestamp", "doc_id"], start)
-        .drop("doc_id")
-        .withColumn("audit_date", F.to_date("timestamp"))
-        .write.mode("overwrite")
-        .partitionBy("audit_date")
-        .parquet(f"{path}/batch_id={batch_id}")
-    )
+    numbered = assign_ids(rows, ["timestamp", "doc_id"], start).drop("doc_id")
+    numbered.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def ledger_by_id(ledger: DataFrame, log_id: int) -> DataFrame:

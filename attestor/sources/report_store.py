@@ -3,18 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from attestor.operators.reports import report_texts
 
 
 def write_reports(ledger: DataFrame, path: str) -> None:
-    """One text report per audit, partitioned by date; a folder each would be small files."""
-    (
-        report_texts(ledger)
-        .withColumn("audit_date", F.to_date("timestamp"))
-        .drop("timestamp")
-        .write.mode("overwrite")
-        .partitionBy("audit_date")
-        .parquet(path)
-    )
+    """One text report per audit, as rows: a file or folder each would be countless small files."""
+    report_texts(ledger).write.mode("overwrite").parquet(path)
