@@ -15,12 +15,14 @@ def _one_object(text: Column) -> Column:
     The parser stops at the end of the first value; wrapping the text in an array inside
     an object turns trailing content into a syntax error or a second element.
     """
+    def only_element(v: Column) -> Column:
+        return F.when(
+            F.try_variant_get(v, "$.v[1]", "variant").isNull(),
+            F.try_variant_get(v, "$.v[0]", "variant"),
+        )
+
     wrapped = F.try_parse_json(F.concat(F.lit('{"v":['), text, F.lit("]}")))
-    single = F.try_variant_get(wrapped, "$.v[1]", "variant").isNull()
-    return F.when(
-        text.startswith("{") & text.endswith("}") & single,
-        F.try_variant_get(wrapped, "$.v[0]", "variant"),
-    )
+    return F.when(text.startswith("{") & text.endswith("}"), bind(wrapped, only_element))
 
 
 def unfenced(text: Column | str) -> Column:
@@ -44,21 +46,23 @@ def extract_json(text: Column | str) -> Column:
     return bind(unfenced(column(text)), parse)
 
 
-def triage_fields(answer: Column | str) -> Column:
-    v = column(answer)
-    return F.struct(
-        F.try_variant_get(v, "$.doc_type", "string").alias("doc_type"),
-        F.try_variant_get(v, "$.confidence", "double").alias("confidence"),
-        F.try_variant_get(v, "$.reasoning", "string").alias("reasoning"),
+def _fields(answer: Column | str, kinds: dict[str, str]) -> Column:
+    """Struct of typed fields; the answer is parsed once, not once per field."""
+    return bind(
+        column(answer),
+        lambda v: F.struct(*[F.try_variant_get(v, f"$.{n}", k).alias(n) for n, k in kinds.items()]),
     )
 
 
+def triage_fields(answer: Column | str) -> Column:
+    return _fields(answer, {"doc_type": "string", "confidence": "double", "reasoning": "string"})
+
+
 def audit_fields(answer: Column | str) -> Column:
-    v = column(answer)
-    return F.struct(
-        F.try_variant_get(v, "$.status", "string").alias("status"),
-        F.try_variant_get(v, "$.severity", "string").alias("severity"),
-        F.try_variant_get(v, "$.compliance_score", "int").alias("compliance_score"),
-        F.try_variant_get(v, "$.violations", "array<string>").alias("violations"),
-        F.try_variant_get(v, "$.recommendations", "array<string>").alias("recommendations"),
-    )
+    return _fields(answer, {
+        "status": "string",
+        "severity": "string",
+        "compliance_score": "int",
+        "violations": "array<string>",
+        "recommendations": "array<string>",
+    })

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor import fixed_values as V
 from attestor.functions.text import iso_timestamp, missing
+from attestor.session import staged
 
 
 def needs_review(severity: Column | str = "severity", auto_approve: Column | bool = False) -> Column:
@@ -53,9 +54,14 @@ def first_review(reviews: DataFrame) -> DataFrame:
 
 
 def repeated_reviews(pending: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Reviews of a known session after its first one; each is told the session is gone."""
-    first = first_review(reviews.join(pending.select("session_id"), "session_id", "left_semi"))
-    first = first.select("session_id", F.col("review_no").alias("first_no"))
+    """Reviews of a known session after its first one; each is told the session is gone.
+
+    The first reviews are staged: joined directly, they would pin the reviews to the
+    partitioning of their aggregation, and a session with a third of all reviews would be
+    one task. Read from a table, the join can be broadcast or its hot partitions split.
+    """
+    known = first_review(reviews).join(pending.select("session_id"), "session_id", "left_semi")
+    first = staged(known.select("session_id", F.col("review_no").alias("first_no")), "first")
     return (
         reviews.join(first, "session_id")
         .where(F.col("review_no") != F.col("first_no"))

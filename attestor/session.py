@@ -65,18 +65,22 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_spread(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Scan the given columns of a parquet table with enough tasks for row-heavy work.
+def spread(df: DataFrame) -> DataFrame:
+    """Give row-heavy work enough tasks.
 
     Regular expressions over whole texts cost far more than moving the text once. A small
-    table in one row group would be one task, so it is dealt out round-robin (not by a
-    key, which could be hot). A table with enough splits, as at scale, is left alone.
+    table in one row group would be one task, so its rows are dealt out round-robin (not by
+    a key, which could be hot). Input with enough splits, as at scale, is left alone.
     """
-    df = spark.read.parquet(path).select(*columns)
-    wanted = spark.sparkContext.defaultParallelism
+    wanted = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
+def read_spread(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Scan the given columns of a parquet table, spread for row-heavy work."""
+    return spread(spark.read.parquet(path).select(*columns))
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """Mark a join side for broadcast if it is proven small; otherwise leave it to shuffle."""
     wide = df.select(F.to_json(F.struct("*")).alias("row")).limit(BROADCAST_MAX_ROWS + 1)

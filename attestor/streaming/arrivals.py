@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from attestor.plans.audit import audit_uploads
+from attestor.session import spread
 from attestor.sources.ledger_store import append_ledger
 
 
@@ -29,7 +30,7 @@ def continuous_audit(
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        results = audit_uploads(batch, catalogue, auto_approve)
+        results = audit_uploads(spread(batch), catalogue, auto_approve)
         place = f"{out}/results/batch_id={batch_id}"
         results.write.mode("overwrite").partitionBy("route").parquet(place)
         stored = batch.sparkSession.read.schema(results.schema).parquet(place)
