@@ -65,7 +65,7 @@ PREVIEW_VIOLATIONS = 3
 LOG_LIMIT_DEFAULT, LOG_LIMIT_MIN, LOG_LIMIT_MAX = 10, 1, 100
 
 # --- texts (fixed values) ---
-MASKER_NAME, MASKER_VERSION = "document_auditor", "1.0.0"
+MASKER_NAME, MASKER_VERSION = "attestor-masking", "1.0.0"
 DEFAULT_OVERRIDE_NOTE = "Status overridden by human compliance auditor."
 BAD_OVERRIDE = "override_status must be either 'COMPLIANT' or 'NON_COMPLIANT'."
 NO_SESSION = "Session not found. It may have already been approved or expired."

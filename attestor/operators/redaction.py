@@ -11,7 +11,7 @@ from attestor.functions.masking import mask_report
 def mask_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace the text column by the columns of the masking report."""
     kept = [c for c in docs.columns if c != text]
-    return docs.select(*kept, mask_report(text).alias("masked")).select(*kept, "masked.*")
+    return docs.select(*kept, mask_report(text).alias("masking_report")).select(*kept, "masking_report.*")
 
 
 def redaction_profile(masked: DataFrame) -> DataFrame:

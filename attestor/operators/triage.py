@@ -41,4 +41,5 @@ def triage_of(masked: str, cues: dict[str, tuple[str, ...]] | None = None) -> Co
 
 def triage(docs: DataFrame, text: str = "scrubbed_text") -> DataFrame:
     """Add doc_type, confidence and reasoning."""
-    return docs.select("*", triage_of(text).alias("t")).select(*docs.columns, "t.*")
+    typed = docs.select("*", triage_of(text).alias("triage_result"))
+    return typed.select(*docs.columns, "triage_result.*")

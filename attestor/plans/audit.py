@@ -43,8 +43,8 @@ def audit_uploads(uploads: DataFrame, catalogue: list[Row], auto_approve: bool =
     kept = [c for c in checked.columns if c != "text"]
     masked = (
         checked.select(*kept, F.when(accepted, F.col("text")).alias("text"))
-        .select(*kept, mask_report("text").alias("m"))
-        .select(*kept, "m.scrubbed_text", "m.pii_detected")
+        .select(*kept, mask_report("text").alias("masking_report"))
+        .select(*kept, "masking_report.scrubbed_text", "masking_report.pii_detected")
     )
     audited = package_result(audit_masked(masked, catalogue)).withColumns({
         "session_id": F.md5(F.col("doc_id").cast("string")),

@@ -343,7 +343,7 @@ _GONE = q(V.NO_SESSION)
 
 def _masked_text(name: str) -> str:
     return ctes(*TEXTS, ("x", f"SELECT kind, id, {PASSES[name]('text')} AS t FROM texts")) + (
-        "SELECT kind, id, length(t) AS masked_length, md5(t) AS masked_md5 FROM x"
+        "SELECT kind, id, CAST(length(t) AS INT) AS masked_length, md5(t) AS masked_md5 FROM x"
     )
 
 
@@ -353,7 +353,7 @@ def all_checks() -> dict[str, str]:
     checks = {name: _masked_text(name) for name in PASSES}
     checks |= {
         "full_audit": ctes(*AUDITED) + _FULL,
-        "mask_all": all_masked + "SELECT kind, id, length(t) AS masked_length, md5(t) AS masked_md5 FROM masked",
+        "mask_all": all_masked + "SELECT kind, id, CAST(length(t) AS INT) AS masked_length, md5(t) AS masked_md5 FROM masked",
         "sql_masking": all_masked + "SELECT kind, id, md5(t) AS masked_md5 FROM masked",
         "pii_detected": all_masked + "SELECT kind, id, t IS DISTINCT FROM text AS pii_detected FROM masked",
         "redaction_tags": all_masked + f"SELECT kind, id, array_to_string({TAGS}, ',') AS tags FROM masked",
@@ -365,7 +365,7 @@ def all_checks() -> dict[str, str]:
           CASE WHEN {is_blank} THEN FALSE ELSE t IS DISTINCT FROM text END AS pii_detected,
           CAST(CASE WHEN {is_blank} THEN 0 ELSE length(text) END AS INT) AS original_length,
           CAST(CASE WHEN {is_blank} THEN 0 ELSE length(t) END AS INT) AS scrubbed_length,
-          'document_auditor' AS skill, '1.0.0' AS version,
+          {q(V.MASKER_NAME)} AS skill, {q(V.MASKER_VERSION)} AS version,
           CASE WHEN {is_blank} THEN '' ELSE array_to_string({TAGS}, ',') END AS tags FROM masked""",
         "redaction_profile": all_masked + f"""SELECT tag, count(*) AS documents, CAST(sum(removed) AS BIGINT) AS chars_removed FROM
           (SELECT unnest({TAGS}) AS tag, length(text) - length(t) AS removed FROM masked WHERE NOT {is_blank}) GROUP BY tag""",
@@ -475,7 +475,7 @@ def all_checks() -> dict[str, str]:
           CASE WHEN severity = 'MEDIUM' THEN FALSE ELSE pii_detected END AS pii_detected,
           CASE WHEN severity = 'MEDIUM' THEN '' ELSE array_to_string(violations, '|') END AS violations,
           md5(CASE WHEN severity = 'MEDIUM' THEN '' ELSE executive_summary END) AS summary_md5, {q(V.RULE_SOURCE)} AS rule_source FROM ledger""",
-        "report_lines": ctes(*LINES) + "SELECT log_id, section_no, line_no, text FROM lines",
+        "report_lines": ctes(*LINES) + "SELECT log_id, section_no, CAST(line_no AS INT) AS line_no, text FROM lines",
         "report_texts": ctes(*LINES, ("r", "SELECT log_id, string_agg(text, chr(10) ORDER BY section_no, line_no) AS body FROM lines GROUP BY log_id"))
         + "SELECT log_id, filename, md5(body) AS report_md5, CAST(length(body) AS INT) AS report_length FROM r JOIN ledger ON id = log_id",
         "report_timestamps": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC' AS shown FROM events",

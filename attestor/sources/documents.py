@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from attestor import fixed_values as V
 from attestor.functions.files import file_ext
 from attestor.functions.text import is_blank
 from attestor.session import column
@@ -27,19 +28,30 @@ def decode_documents(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumns({"text": decoded_text(content), "is_valid": valid})
 
 
-def scan_documents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+def scan_documents(
+    spark: SparkSession, path: str, pattern: str = "*", max_bytes: int = V.MAX_FILE_MB * V.BYTES_PER_MB
+) -> DataFrame:
     """path, length, text, is_valid of every landed file below ``path``.
 
-    Zero-byte files do not appear in a content scan, so sizes are judged on the manifest.
+    The size condition reaches the reader, so the content of a file the gate refuses anyway
+    is never read; such a file keeps its row, with null text and is_valid. Zero-byte files
+    do not appear in a content scan, so sizes are judged on the manifest.
     """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select("path", "length", "content")
     )
-    return decode_documents(files).drop("content")
+    read = decode_documents(
+        files.where(F.col("length") <= max_bytes).select("path", "length", "content")
+    ).drop("content")
+    refused = files.where(F.col("length") > max_bytes).select(
+        "path", "length",
+        F.lit(None).cast("string").alias("text"),
+        F.lit(None).cast("boolean").alias("is_valid"),
+    )
+    return read.unionByName(refused)
 
 
 def manifest(src: DataFrame) -> DataFrame:

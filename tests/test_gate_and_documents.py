@@ -65,6 +65,14 @@ def test_content_scan_decodes_strictly(spark, tmp_path):
     assert rows.get("zero.txt") is None or rows["zero.txt"].text == ""
 
 
+def test_oversized_files_keep_a_row_but_are_not_read(spark, tmp_path):
+    (tmp_path / "small.txt").write_bytes(b"hello")
+    (tmp_path / "large.txt").write_bytes(b"x" * 5000)
+    scan = documents.scan_documents(spark, str(tmp_path), "*.txt", max_bytes=100)
+    rows = {r.path.rsplit("/", 1)[1]: (r.length, r.text, r.is_valid) for r in scan.collect()}
+    assert rows == {"small.txt": (5, "hello", True), "large.txt": (5000, None, None)}
+
+
 def test_extraction_route(spark):
     df = _uploads(spark, [("a.txt", 1, None, ""), ("b.pdf", 1, None, "text"), ("c.PDF", 1, None, "  "), ("d.png", 1, None, None)])
     rows = {r.filename: (r.route, r.needs_ocr) for r in documents.extraction_route(df).collect()}

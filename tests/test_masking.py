@@ -121,3 +121,11 @@ def test_profile_counts_documents_per_tag(spark):
     rows = {r.tag: r for r in redaction_profile(mask_documents(df)).collect()}
     assert set(rows) == {"[REDACTED_EMAIL]"}
     assert rows["[REDACTED_EMAIL]"].documents == 2
+
+
+def test_profile_masks_every_text_once(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    spark.conf.set("spark.sql.maxPlanStringLength", "1000000")
+    once = mask_documents(df)._jdf.queryExecution().executedPlan().toString()
+    profile = redaction_profile(mask_documents(df))._jdf.queryExecution().executedPlan().toString()
+    assert profile.count("{13,18}") == once.count("{13,18}") > 0

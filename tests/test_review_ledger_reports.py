@@ -45,6 +45,24 @@ def test_each_session_is_used_once(spark):
     assert used.count() + remaining.count() == pending.count()
 
 
+def test_hot_session_keeps_every_review(spark):
+    reviews = spark.range(0, 3000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, F.lit("s1")).otherwise(F.concat(F.lit("s"), F.col("id") % 500)).alias("session_id"),
+        F.lit(DAY).cast("timestamp_ntz").alias("review_ts"), F.col("id").alias("review_no"),
+        F.lit(None).cast("string").alias("override_status"), F.lit(None).cast("string").alias("reviewer_notes"),
+    )
+    rows = [(r.session_id, r.review_no) for r in reviews.collect()]
+    known = {f"s{i}" for i in range(1, 7)}
+    first = {}
+    for session, number in sorted(rows, key=lambda r: r[1]):
+        first.setdefault(session, number)
+    repeats = sorted(n for s, n in rows if s in known and n != first[s])
+    pending = _pending(spark)
+    assert sorted(r.review_no for r in review.repeated_reviews(pending, reviews).collect()) == repeats
+    unknown = review.unknown_sessions(pending, reviews)
+    assert sorted(r.review_no for r in unknown.collect()) == sorted(n for s, n in rows if s not in known)
+
+
 def test_overrides(spark):
     reviewed = review.apply_reviews(_pending(spark), _reviews(spark))
     approved, refused = review.apply_override(reviewed)
