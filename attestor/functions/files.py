@@ -13,7 +13,8 @@ EXTENSION = r"[^/.][^/]*(\.[^/.]*)$"
 
 
 def file_ext(filename: Column | str) -> Column:
-    return F.lower(F.regexp_extract(column(filename), EXTENSION, 1))
+    """Lower-case extension with its dot, empty where there is none."""
+    return F.lower(F.regexp_extract(F.coalesce(column(filename), F.lit("")), EXTENSION, 1))
 
 
 def ext_allowed(ext: Column | str) -> Column:

@@ -57,12 +57,27 @@ def gate_reason(df: DataFrame) -> DataFrame:
     return df.withColumns({"reject_code": code, "reject_detail": detail})
 
 
+def passes_gate() -> Column:
+    """All checks passed, as plain conditions: the size bounds reach the parquet scan."""
+    ext = files.file_ext("filename")
+    size = F.col("size_bytes")
+    return (
+        (size > 0)
+        & (size <= V.MAX_FILE_MB * V.BYTES_PER_MB)
+        & files.ext_allowed(ext)
+        & ~files.mime_mismatch(ext, F.col("declared_mime"))
+    )
+
+
 def split_gate(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected); together they are the input."""
-    if "reject_code" not in df.columns:
-        df = gate_reason(df)
-    accepted = df.where(F.col("reject_code").isNull()).drop("reject_code", "reject_detail")
-    return accepted, df.where(F.col("reject_code").isNotNull())
+    """(accepted, rejected with reasons); together they are the input."""
+    passed = F.coalesce(passes_gate(), F.lit(False))
+    return df.where(passes_gate()), gate_reason(df.where(~passed))
+
+
+def accepted_with_text(df: DataFrame, text: str = "text") -> DataFrame:
+    """Uploads that pass the gate and hold text: the input of masking and audit."""
+    return df.where(passes_gate() & ~is_blank(text))
 
 
 def guard_text(df: DataFrame, text: str = "text") -> DataFrame:

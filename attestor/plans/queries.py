@@ -14,7 +14,7 @@ from attestor.operators import (
     batch, gate, ledger, redaction, reports, review, rulebook, triage, verdict,
 )
 from attestor.plans import inputs
-from attestor.plans.audit import audit_staged, audit_uploads, gated
+from attestor.plans.audit import audit_staged, audit_uploads
 from attestor.session import read_spread, scratch_path, staged
 from attestor.sources import catalogue, documents, ledger_store, report_store
 from attestor.streaming import approvals, arrivals
@@ -64,8 +64,7 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _masked(spark: SparkSession, sf: str) -> DataFrame:
     """Accepted business documents after masking."""
-    accepted = gated(_business(spark, sf)).where(F.col("reject_code").isNull())
-    return redaction.mask_documents(accepted.drop("reject_code", "reject_detail"))
+    return redaction.mask_documents(gate.accepted_with_text(_business(spark, sf)))
 
 
 def _typed(spark: SparkSession, sf: str) -> DataFrame:

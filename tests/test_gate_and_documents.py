@@ -41,8 +41,15 @@ def test_first_failure_wins_and_split_is_complete(spark):
         "Unsupported file type: '.exe'. Allowed types: ['.jpeg', '.jpg', '.pdf', '.png', '.txt']"
     )
     assert reasons["large.txt"].reject_detail == "File too large: 6.00MB. Maximum allowed size is 5MB."
+    df = df.unionByName(_uploads(spark, [(None, 3, None, "x"), ("s.txt", 3, "", None)]))
+    rows += [None, None]
     accepted, rejected = gate.split_gate(df)
-    assert accepted.count() + rejected.count() == len(rows) and accepted.count() == 4
+    reasons = {r.filename: r.reject_code for r in rejected.collect()}
+    assert None not in reasons.values() and reasons[None] == "extension"
+    assert [r.filename for r in gate.accepted_with_text(df).orderBy("filename").collect()] == [
+        "edge.txt", "ok.txt", "x'; DROP TABLE y.txt"
+    ]
+    assert accepted.count() + rejected.count() == len(rows) and accepted.count() == 5
     guarded = {r.filename: r.reject_code for r in gate.guard_text(accepted).collect()}
     assert guarded["SCAN.PDF"] == "no_text" and guarded["ok.txt"] is None
 
