@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import exact_dedup, mixing, quality
+from attestor.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from attestor.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,11 +37,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), width=2)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op5_quality_rules": op5_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_mixing": op7_mixing,
+        "op9_bpe": op9_bpe,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import exact_dedup, mixing, quality
+from attestor.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from attestor.llm.common import Workspace, table
 
 
@@ -22,15 +22,27 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_exact_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    return near_dedup.drop_near_copies(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.repeat_by_copies(docs)
 
 
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document of the mix, repeats included."""
+    return bpe.digests(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
     ("source_mix", source_mix),
+    ("encoded", encoded),
 ]
 
 # The trees, the signatures and the Newton steps have no SQL form; tests use brute force.
