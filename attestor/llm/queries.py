@@ -7,12 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, exact_dedup, mixing, near_dedup, quality
+from attestor.llm import (
+    bpe, exact_dedup, language, mixing, near_dedup, quality, secrets, toxicity, url_filters, warc,
+)
 from attestor.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, url AS uri, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS top FROM p),
+r AS (SELECT *, n >= 1000 AND page_id <> top AS revisit FROM g)
+SELECT page_id, n AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN revisit THEN top END AS refers_to, uri
+FROM r
+"""
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = toxicity.remainder("doc_id", 5)
+    model = toxicity.train_toxic(docs, table(spark, sf_dir, "labels"), fold != 0)
+    scored = toxicity.score_texts(docs, model)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted", "n_offending", "worst_start", "worst_end")
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(*url_filters.derived(table(spark, sf_dir, "pages")))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality.train_quality(docs, table(spark, sf_dir, "labels"))
@@ -37,6 +70,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = toxicity.remainder("doc_id", 3)
+    model = language.train_language(docs, fold != 1)
+    return language.identify(docs, model).select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -47,13 +87,23 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_warc": op1_warc,
+        "op2_toxicity": op2_toxicity,
+        "op3_url_filters": op3_url_filters,
+        "op4_secrets": op4_secrets,
         "op5_quality_rules": op5_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_mixing": op7_mixing,
+        "op8_language": op8_language,
         "op9_bpe": op9_bpe,
         "op10_near_dedup": op10_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {
+        "op1_warc": OP1_SQL,
+        "op3_url_filters": url_filters.FILTER_SQL,
+        "op4_secrets": secrets.report_sql(),
+        "op6_exact_dedup": OP6_SQL,
+    }
