@@ -6,13 +6,28 @@ accepts, so the same text can be used on both sides of a correctness check.
 
 from __future__ import annotations
 
+import unicodedata
+
+# --- white space as Unicode knows it, also stripped from blank texts (fixed values) ---
+SPACE_CLASS = (
+    r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+
 # --- personal data: patterns and tags (fixed values, in the order they apply) ---
+# Digits and white space are those of Unicode: PDF text is full of no-break spaces.
 EMAIL = r"[a-zA-Z0-9_.+\-]+@[a-zA-Z0-9\-]+\.[a-zA-Z0-9.\-]+"
-CARD = r"\b(?:\d[ \-]?){13,18}\d\b"
-AADHAAR = r"\b\d{4}[\s\-]?\d{4}[\s\-]?\d{4}\b"
+CARD = r"\b(?:\p{Nd}[ \-]?){13,18}\p{Nd}\b"
+AADHAAR = rf"\b\p{{Nd}}{{4}}[{SPACE_CLASS}\-]?\p{{Nd}}{{4}}[{SPACE_CLASS}\-]?\p{{Nd}}{{4}}\b"
 PAN = r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"
-GSTIN = r"\b\d{2}[A-Z]{5}\d{4}[A-Z][A-Z\d]Z[A-Z\d]\b"
-PHONE = r"\+?\d{1,4}[\s.\-]?\(?\d{1,4}\)?[\s.\-]?\d{3,4}[\s.\-]?\d{4,9}\b"
+GSTIN = r"\b\p{Nd}{2}[A-Z]{5}\p{Nd}{4}[A-Z][A-Z\p{Nd}]Z[A-Z\p{Nd}]\b"
+PHONE = (
+    rf"\+?\p{{Nd}}{{1,4}}[{SPACE_CLASS}.\-]?\(?\p{{Nd}}{{1,4}}\)?[{SPACE_CLASS}.\-]?"
+    rf"\p{{Nd}}{{3,4}}[{SPACE_CLASS}.\-]?\p{{Nd}}{{4,9}}\b"
+)
+# The same addresses in linear time: a local part is tried once per run of its characters,
+# from the run's start or from where the last match ended, and never given back.
+EMAIL_LINEAR = r"(?:(?<![a-zA-Z0-9_.+\-])|\G)[a-zA-Z0-9_.+\-]++@[a-zA-Z0-9\-]++\.[a-zA-Z0-9.\-]+"
 
 EMAIL_TAG = "[REDACTED_EMAIL]"
 CARD_TAG = "[REDACTED_CREDIT_CARD]"
@@ -21,17 +36,15 @@ PAN_TAG = "[REDACTED_PAN]"
 GSTIN_TAG = "[REDACTED_GSTIN]"
 PHONE_TAG = "[REDACTED_PHONE]"
 ANY_TAG = r"\[REDACTED_\w+\]"
-LONG_DIGIT_RUN = r"^\d{13,}$"
+LONG_DIGIT_RUN = r"^\p{Nd}{13,}$"
+
+# Decimal digits beyond ASCII and their values, from the Unicode database, for check sums.
+OTHER_DIGITS = "".join(c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Nd")
+OTHER_DIGIT_VALUES = "".join(str(unicodedata.digit(c)) for c in OTHER_DIGITS)
 
 # Our own shortcut: every card, Aadhaar, PAN, GSTIN and phone match contains one of
 # these, so a text without them needs none of the five passes.
-NUMBER_HINT = r"\d(?:[\s.\-()]{0,2}\d){8}|[A-Z]{5}\d{4}[A-Z]"
-
-# --- white space as stripped from model output and blank documents (fixed values) ---
-SPACE_CLASS = (
-    r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+NUMBER_HINT = rf"\p{{Nd}}(?:[{SPACE_CLASS}.\-()]{{0,2}}\p{{Nd}}){{8}}|[A-Z]{{5}}\p{{Nd}}{{4}}[A-Z]"
 
 # --- upload gate (fixed values) ---
 MIME_BY_EXTENSION = {
@@ -91,10 +104,10 @@ PLAIN_WORDS = {
 RULE_SOURCE = "rule catalogue"
 STAGES = "mask > triage > audit > report"
 
-# --- our own triage cues: substrings of the lower-cased masked text, one point each ---
+# --- our own triage cues: whole words of the lower-cased masked text, one point each ---
 TRIAGE_CUES = {
-    "invoice": ("invoice", "amount due", "bill", "purchase order"),
-    "certificate": ("certificate", "fssai", "iso ", "registration", "valid until"),
-    "contract": ("agreement", "contract", "nda", "parties", "clause"),
-    "report": ("report", "reporting period", "summary", "audit"),
+    "invoice": ("invoices?", "amount due", "bills?", "purchase orders?"),
+    "certificate": ("certificates?", "fssai", "iso", "registration", "valid until"),
+    "contract": ("agreements?", "contracts?", "nda", "parties", "clauses?"),
+    "report": ("reports?", "reporting period", "summary", "audits?"),
 }

@@ -25,7 +25,8 @@ def bind_sql(value: str, name: str, body: str) -> str:
 
 
 def luhn_sql(value: str) -> str:
-    digits = f"regexp_replace({value}, '[^0-9]', '')"
+    plain = f"translate({value}, '{V.OTHER_DIGITS}', '{V.OTHER_DIGIT_VALUES}')"
+    digits = f"regexp_replace({plain}, '[^0-9]', '')"
     return f"({digits} <> '' AND luhn_check({digits}))"
 
 
@@ -49,7 +50,7 @@ def _replace_where(text: str, pattern: str, tag: str, wanted: str) -> str:
 
 
 def email_sql(text: str) -> str:
-    masked = _replace_all(text, V.EMAIL, V.EMAIL_TAG)
+    masked = _replace_all(text, V.EMAIL_LINEAR, V.EMAIL_TAG)
     return f"CASE WHEN contains({text}, '@') THEN {masked} ELSE {text} END"
 
 
@@ -86,6 +87,24 @@ def mask_all_sql(text: str) -> str:
     )
 
 
+PASSES = (
+    (V.EMAIL_TAG, email_sql), (V.CARD_TAG, card_sql), (V.AADHAAR_TAG, aadhaar_sql),
+    (V.PAN_TAG, pan_sql), (V.GSTIN_TAG, gstin_sql), (V.PHONE_TAG, phone_sql),
+)
+
+
+def removed_sql(text: str) -> str:
+    """Array of (tag, chars_removed) of the passes that changed the text, each on its own."""
+    rows = ", ".join(
+        f"CASE WHEN s{i} <> s{i + 1} THEN named_struct('tag', '{tag}', 'removed', length(s{i}) - length(s{i + 1})) END"
+        for i, (tag, _) in enumerate(PASSES)
+    )
+    body = f"array_compact(array({rows}))"
+    for i in reversed(range(len(PASSES))):
+        body = bind_sql(PASSES[i][1](f"s{i}"), f"s{i + 1}", body)
+    return bind_sql(text, "s0", body)
+
+
 def tags_sql(masked: str) -> str:
     return f"array_sort(array_distinct(regexp_extract_all({masked}, {_raw(V.ANY_TAG)}, 0)))"
 

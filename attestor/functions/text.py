@@ -28,7 +28,9 @@ def is_blank(text: Column | str) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(column(text), rf"\A[{V.SPACE_CLASS}]+|[{V.SPACE_CLASS}]+\z", "")
+    # White space inside is looked at once: a run is only tried from its start.
+    tail = rf"(?<![{V.SPACE_CLASS}])[{V.SPACE_CLASS}]++\z"
+    return F.regexp_replace(column(text), rf"\A[{V.SPACE_CLASS}]++|{tail}", "")
 
 
 def missing(value: Column | str) -> Column:

@@ -9,7 +9,10 @@ from attestor import fixed_values as V
 
 
 def batch_status(manifest: DataFrame, results: DataFrame) -> DataFrame:
-    """Every expected file with its outcome; a missing file or an error is told in words."""
+    """Every expected file with its outcome; a missing file or an error is told in words.
+
+    The message shows the start of the error, the whole of it stands beside.
+    """
     outcome = results.select("doc_id", "status", "severity", "violations", "error")
     joined = manifest.join(outcome.withColumn("audited", F.lit(True)), "doc_id", "left")
     message = (
@@ -23,6 +26,7 @@ def batch_status(manifest: DataFrame, results: DataFrame) -> DataFrame:
         F.coalesce("severity", F.lit("UNKNOWN")).alias("severity"),
         F.coalesce(F.size("violations"), F.lit(0)).alias("violation_count"),
         message.alias("message"),
+        "error",
     )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.functions.masking import mask_report
+from attestor.functions.masking import mask_report, removed_sql
+from attestor.functions.text import blank_sql
 
 
 def mask_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -14,16 +15,16 @@ def mask_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*kept, mask_report(text).alias("masking_report")).select(*kept, "masking_report.*")
 
 
-def redaction_profile(masked: DataFrame) -> DataFrame:
-    """Documents per tag and the characters their masking removed.
+def redaction_profile(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Documents per tag and the characters that the tag's own pass removed from them.
 
-    The outer explode keeps the optimizer from testing the tag list for emptiness below
-    the masking, which would mask every text twice.
+    Blank texts are not masked. The outer explode keeps the optimizer from testing the list
+    for emptiness below the masking, which would mask every text twice.
     """
-    removed = F.col("original_length") - F.col("scrubbed_length")
+    removed = F.expr(f"CASE WHEN NOT {blank_sql(text)} THEN {removed_sql(text)} END")
     return (
-        masked.select(F.explode_outer("redaction_tags_used").alias("tag"), removed.alias("removed"))
-        .where(F.col("tag").isNotNull())
-        .groupBy("tag")
-        .agg(F.count("*").alias("documents"), F.sum("removed").alias("chars_removed"))
+        docs.select(F.explode_outer(removed).alias("r"))
+        .where(F.col("r").isNotNull())
+        .groupBy("r.tag")
+        .agg(F.count("*").alias("documents"), F.sum("r.removed").alias("chars_removed"))
     )

@@ -10,6 +10,11 @@ from attestor.functions.masking import bind_sql
 from attestor.functions.text import sql_literal
 
 
+def _whole(cue: str) -> str:
+    """The cue as whole words: no letter, digit or underscore on either side."""
+    return f"(?:^|[^a-z0-9_])(?:{cue})(?:[^a-z0-9_]|$)"
+
+
 def triage_of(masked: str, cues: dict[str, tuple[str, ...]] | None = None) -> Column:
     """Struct of doc_type, confidence and reasoning from the cues found in the masked text.
 
@@ -20,7 +25,7 @@ def triage_of(masked: str, cues: dict[str, tuple[str, ...]] | None = None) -> Co
     cues = cues or V.TRIAGE_CUES
     types = f"array({', '.join(sql_literal(t) for t in cues)})"
     points = ", ".join(
-        " + ".join(f"cast(contains(low, {sql_literal(c)}) AS int)" for c in words)
+        " + ".join(f"cast(low RLIKE {sql_literal(_whole(c))} AS int)" for c in words)
         for words in cues.values()
     )
     scores = bind_sql(f"lower(coalesce({masked}, ''))", "low", f"array({points})")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from attestor import fixed_values as V
 from attestor.functions.text import executive_summary, missing, severity_rank, sql_literal, text_preview
 from attestor.operators.rulebook import applicable_rules
+from attestor.rule_catalogue import LINEAR
 
-# A catalogue up to this size is planned as literal predicates; a larger one is joined.
-MAX_LITERAL_RULES = 500
+# Literal predicates are planned in arrays of this many rules, so that no expression gets huge.
+RULES_PER_ARRAY = 200
 
 EVALUATION = (
     "array<struct<category:string,rule_id:string,description:string,"
@@ -19,28 +20,30 @@ EVALUATION = (
 
 
 def catalogue_rows(rules: DataFrame) -> list[Row]:
-    """The rules (with predicates) as literals for planning; refuses an oversized catalogue."""
-    rows = rules.orderBy("category_no", "seq").limit(MAX_LITERAL_RULES + 1).collect()
-    if len(rows) > MAX_LITERAL_RULES:
-        raise ValueError("catalogue too large for literal predicates; use evaluate_rules_by_join")
-    return rows
+    """The rules (with predicates) as literals for planning. A catalogue is configuration."""
+    return rules.orderBy("category_no", "seq").collect()
 
 
 def _rule_sql(rule: Row, text: str) -> str:
     """One rule with its outcome as a SQL struct; the predicate is literal."""
     tests = []
     if rule.must is not None:
-        must = sql_literal(rule.must)
+        must = sql_literal(LINEAR.get(rule.must, rule.must))
         tests.append(
             f"{text} RLIKE {must}" if rule.min_count <= 1
             else f"regexp_count({text}, {must}) >= {rule.min_count}"
         )
     if rule.must_not is not None:
-        tests.append(f"NOT {text} RLIKE {sql_literal(rule.must_not)}")
+        tests.append(f"NOT {text} RLIKE {sql_literal(LINEAR.get(rule.must_not, rule.must_not))}")
     fields = {"category": rule.category, "rule_id": rule.id, "description": rule.description,
               "severity": rule.severity, "regulation": rule.regulation}
     named = ", ".join(f"'{name}', {sql_literal(value)}" for name, value in fields.items())
-    return f"named_struct({named}, 'passed', {' AND '.join(tests) or 'true'})"
+    return f"named_struct({named}, 'passed', {' AND '.join(tests) or 'cast(NULL AS boolean)'})"
+
+
+def _chunked(rules: list[str]) -> str:
+    parts = [rules[i : i + RULES_PER_ARRAY] for i in range(0, len(rules), RULES_PER_ARRAY)]
+    return f"concat({', '.join(f'cast(array({chr(44).join(p)}) AS {EVALUATION})' for p in parts)})"
 
 
 def evaluations(text: str, doc_type: str, catalogue: list[Row]) -> Column:
@@ -52,7 +55,7 @@ def evaluations(text: str, doc_type: str, catalogue: list[Row]) -> Column:
     blocks: dict[str, list[str]] = {}
     for rule in catalogue:
         blocks.setdefault(rule.category, []).append(_rule_sql(rule, text))
-    arrays = {c: f"cast(array({', '.join(rules)}) AS {EVALUATION})" for c, rules in blocks.items()}
+    arrays = {c: _chunked(rules) for c, rules in blocks.items()}
     none = f"cast(array() AS {EVALUATION})"
     cases = " ".join(f"WHEN {sql_literal(c)} THEN {a}" for c, a in arrays.items())
     specific = f"CASE lower({doc_type}) {cases} ELSE {none} END" if cases else none
@@ -72,17 +75,21 @@ def evaluate_rules_by_join(docs: DataFrame, rules: DataFrame, text: str = "scrub
     subject = F.col(text)
     must = F.col("must").isNull() | (F.regexp_count(subject, "must") >= F.col("min_count"))
     must_not = F.col("must_not").isNull() | ~F.rlike(subject, F.col("must_not"))
+    stated = F.col("must").isNotNull() | F.col("must_not").isNotNull()
     return applicable_rules(docs.select("doc_id", "doc_type", text), rules).select(
         "doc_id", "doc_type", "lookup_no", "seq", "category", "rule_id", "description",
-        "severity", "regulation", (must & must_not).alias("passed"),
+        "severity", "regulation", F.when(stated, must & must_not).alias("passed"),
     )
 
 
-def _verdict(total: Column, passed: Column, rank: Column) -> dict[str, Column]:
+def _verdict(total: Column, passed: Column, unknown: Column, rank: Column) -> dict[str, Column]:
+    """``total`` rules were evaluated, ``unknown`` ones have no predicate and decide nothing: a
+    document that breaks no rule but has such rules needs a review."""
     severities = F.array(*[F.lit(s) for s in V.SEVERITIES])
     score = F.when(total > 0, F.floor(100 * passed / total)).otherwise(F.lit(100))
     return {
-        "status": F.when(passed == total, F.lit(V.COMPLIANT)).otherwise(F.lit(V.NON_COMPLIANT)),
+        "status": F.when(passed < total, F.lit(V.NON_COMPLIANT))
+        .when(unknown > 0, F.lit(V.REVIEW_NEEDED)).otherwise(F.lit(V.COMPLIANT)),
         "severity": severities[F.coalesce(rank, F.lit(1)) - 1],
         "compliance_score": score.cast("int"),
     }
@@ -97,17 +104,20 @@ def recommendation_line(rule_id: Column, regulation: Column) -> Column:
 
 
 def audit_verdict(docs: DataFrame, results: str = "evaluations") -> DataFrame:
-    """Replace the evaluation array by status, severity, score, violations, recommendations."""
+    """Replace the evaluation array by status, severity, score, violations, recommendations and
+    the ids of rules that could not be evaluated."""
     all_rules = F.col(results)
     failed = F.filter(all_rules, lambda r: ~r["passed"])
-    total, broken = F.size(all_rules), F.size(failed)
+    unknown = F.filter(all_rules, lambda r: r["passed"].isNull())
+    total, broken = F.size(all_rules) - F.size(unknown), F.size(failed)
     worst = F.array_max(F.transform(failed, lambda r: severity_rank(r["severity"])))
     return docs.withColumns({
-        **_verdict(total, total - broken, worst),
+        **_verdict(total, total - broken, F.size(unknown), worst),
         "violations": F.transform(failed, lambda r: violation_line(r["rule_id"], r["description"])),
         "recommendations": F.transform(
             failed, lambda r: recommendation_line(r["rule_id"], r["regulation"])
         ),
+        "not_evaluated": F.transform(unknown, lambda r: r["rule_id"]),
     }).drop(results)
 
 
@@ -123,15 +133,16 @@ def audit_verdict_by_group(evals: DataFrame) -> DataFrame:
         return F.transform(rows, lambda r: r["t"])
 
     grouped = evals.groupBy("doc_id", "doc_type").agg(
-        F.count("*").alias("total"),
+        F.count("passed").alias("total"),
         F.count_if("passed").alias("passed"),
+        F.count_if(F.col("passed").isNull()).alias("unknown"),
         F.max(F.when(broken, severity_rank("severity"))).alias("worst"),
         listed(violation_line(F.col("rule_id"), F.col("description"))).alias("violations"),
         listed(recommendation_line(F.col("rule_id"), F.col("regulation"))).alias("recommendations"),
     )
     return grouped.withColumns(
-        _verdict(F.col("total"), F.col("passed"), F.col("worst"))
-    ).drop("total", "passed", "worst")
+        _verdict(F.col("total"), F.col("passed"), F.col("unknown"), F.col("worst"))
+    ).drop("total", "passed", "unknown", "worst")
 
 
 def package_result(
@@ -186,6 +197,9 @@ def merge_verdicts(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     lists = ("violations", "recommendations")
     p = {c: F.col(f"p.{c}") for c in (*texts, *lists, "compliance_score")}
     f = {c: F.col(f"f.{c}") for c in p}
+    # A repeated fallback must not repeat its document: one answer each, the largest.
+    columns = [c for c in fallback.columns if c != "doc_id"]
+    fallback = fallback.groupBy("doc_id").agg(F.max(F.struct(*columns)).alias("f")).select("doc_id", "f.*")
     incomplete = missing(p["doc_type"]) | missing(p["status"]) | missing(p["severity"])
     joined = primary.alias("p").join(
         fallback.alias("f"), (F.col("p.doc_id") == F.col("f.doc_id")) & incomplete, "left"

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attestor.session import read_spread
 
+# <NBSP> stands for a no-break space, as PDF text has it inside numbers.
 BUSINESS_DOCUMENTS = r"""
 SELECT k AS doc_id, d AS received, ts AS received_at,
  CASE k%5 WHEN 0 THEN 'invoice' WHEN 1 THEN 'certificate' WHEN 2 THEN 'contract' WHEN 3 THEN 'report' ELSE 'memo' END
@@ -41,13 +42,13 @@ SELECT k AS doc_id, d AS received, ts AS received_at,
    || CASE WHEN k%3=0 THEN chr(10) || 'Issued by Firm Ltd under Ind AS' ELSE '' END
   ELSE 'Lunch plan for ' || d END
  || CASE WHEN k%6=0 THEN chr(10) || 'Contact: user' || CAST(c AS {S}) || '@mail.example.com' ELSE '' END
- || CASE WHEN k%7=0 THEN chr(10) || 'Phone: +91-98765' || lpad(CAST(k%100000 AS {S}),5,'0') ELSE '' END
+ || CASE WHEN k%7=0 THEN chr(10) || CASE WHEN k%2=0 THEN 'Phone: +91-98765' ELSE 'Phone: +91<NBSP>98765' END || lpad(CAST(k%100000 AS {S}),5,'0') ELSE '' END
  || CASE WHEN k%9=0 THEN chr(10) || 'Card: 4111 1111 1111 1111' WHEN k%13=0 THEN chr(10) || 'Ref: 1234-5678-9012-3456' ELSE '' END
- || CASE WHEN k%11=0 THEN chr(10) || 'Aadhaar: 1234 5678 9012' ELSE '' END
+ || CASE WHEN k%11=0 THEN chr(10) || CASE WHEN k%2=0 THEN 'Aadhaar: 1234 5678 9012' ELSE 'Aadhaar: 1234<NBSP>5678<NBSP>9012' END ELSE '' END
  END AS text
 FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS ts, CAST(CAST(o_orderdate AS DATE) AS {S}) AS d,
              CAST(floor(o_totalprice) AS BIGINT) AS amt FROM orders) b
-"""
+""".replace("<NBSP>", "\u00a0")
 
 # An event reviews the document whose number its value spells in cents; many documents get
 # several reviews, many reviews point at no pending document.

@@ -72,7 +72,11 @@ def masking(source: str) -> list[tuple[str, str]]:
     steps, before = [("m0", f"SELECT *, text AS t FROM {source}")], "m0"
     for number, one in enumerate(PASSES.values(), start=1):
         name = "masked" if number == len(PASSES) else f"m{number}"
-        steps.append((name, f"SELECT * EXCLUDE (t), CASE WHEN t = '' THEN t ELSE {one('t')} END AS t FROM {before}"))
+        steps.append((
+            name,
+            f"SELECT * EXCLUDE (t, u), CASE WHEN t <> u THEN length(t) - length(u) END AS cut{number}, u AS t"
+            f" FROM (SELECT *, CASE WHEN t = '' THEN t ELSE {one('t')} END AS u FROM {before})",
+        ))
         before = name
     return steps
 
@@ -103,18 +107,20 @@ DETAIL = f"""CASE WHEN NOT {ALLOWED} THEN 'Unsupported file type: ''' || {EXT} |
   WHEN size_bytes > 5242880 THEN 'File too large: ' || {MB_TEXT} || 'MB. Maximum allowed size is 5MB.'
   WHEN size_bytes = 0 THEN 'Uploaded file ''' || filename || ''' is empty (0 bytes). Please upload a valid document.' END"""
 NO_TEXT = "'No text could be extracted from ''' || filename || '''.'"
+_BARE = f"{blank('text')} AND {EXT} = '.txt'"
 GATED = (
     "g",
-    f"SELECT *, coalesce({CODE}, CASE WHEN {blank('text')} THEN 'no_text' END) AS reject_code,"
-    f" coalesce({DETAIL}, CASE WHEN {blank('text')} THEN {NO_TEXT} END) AS reject_detail FROM b",
+    f"SELECT *, coalesce({CODE}, CASE WHEN {_BARE} THEN 'no_text' END) AS reject_code,"
+    f" coalesce({DETAIL}, CASE WHEN {_BARE} THEN {NO_TEXT} END) AS reject_detail,"
+    f" {CODE} IS NULL AND {blank('text')} AND {EXT} <> '.txt' AS ocr FROM b",
 )
-OK = ("ok", "SELECT * FROM g WHERE reject_code IS NULL")
+OK = ("ok", "SELECT * FROM g WHERE reject_code IS NULL AND NOT ocr")
 MASKED = [BUSINESS, GATED, OK, *masking("ok")]
 
 # --- triage, rules, verdict ----------------------------------------------------------------
 
 _SCORES = ", ".join(
-    " + ".join(f"CAST(contains(lower(t), {q(c)}) AS INT)" for c in cues) + f" AS s_{name}"
+    " + ".join(f"CAST(regexp_matches(lower(t), {q(rf'\b(?:{c})\b')}) AS INT)" for c in cues) + f" AS s_{name}"
     for name, cues in V.TRIAGE_CUES.items()
 )
 _BEST = "greatest(" + ", ".join(f"s_{n}" for n in V.TRIAGE_CUES) + ")"
@@ -332,7 +338,7 @@ TYPES = [*TYPED, ("types", "SELECT doc_type, count(*) AS documents FROM typed GR
 _DEMAND = f"""SELECT r.id AS rule_id, sum(d.documents) AS documents FROM types d CROSS JOIN lookups l
   JOIN rules r ON r.category = {_WANTED} GROUP BY 1"""
 
-_FULL = """SELECT b.doc_id, b.filename, CASE WHEN g.reject_code IS NOT NULL THEN 'rejected' ELSE a.route END AS route,
+_FULL = """SELECT b.doc_id, b.filename, CASE WHEN g.reject_code IS NOT NULL THEN 'rejected' WHEN g.ocr THEN 'ocr' ELSE a.route END AS route,
   g.reject_code, a.doc_type, a.status, a.severity, a.compliance_score, a.pii_detected,
   array_to_string(a.violations, '|') AS violations, md5(a.executive_summary) AS summary_md5, a.session_id
   FROM b JOIN g USING (doc_id) LEFT JOIN audited a USING (doc_id)"""
@@ -368,14 +374,17 @@ def all_checks() -> dict[str, str]:
           {q(V.MASKER_NAME)} AS skill, {q(V.MASKER_VERSION)} AS version,
           CASE WHEN {is_blank} THEN '' ELSE array_to_string({TAGS}, ',') END AS tags FROM masked""",
         "redaction_profile": all_masked + f"""SELECT tag, count(*) AS documents, CAST(sum(removed) AS BIGINT) AS chars_removed FROM
-          (SELECT unnest({TAGS}) AS tag, length(text) - length(t) AS removed FROM masked WHERE NOT {is_blank}) GROUP BY tag""",
+          (""" + " UNION ALL ".join(
+            f"SELECT {q(tag)} AS tag, cut{n} AS removed FROM masked WHERE cut{n} IS NOT NULL AND NOT {is_blank}"
+            for n, tag in enumerate((V.EMAIL_TAG, V.CARD_TAG, V.AADHAAR_TAG, V.PAN_TAG, V.GSTIN_TAG, V.PHONE_TAG), start=1)
+        ) + ") GROUP BY tag",
         "decoded_files": ctes(("l", I.duck_sql(I.LANDED))) + """SELECT doc_id,
           CAST(strlen(crlf_text) + CASE WHEN broken THEN 1 ELSE 0 END AS INT) AS length, NOT broken AS is_valid,
           CASE WHEN NOT broken THEN md5(replace(replace(crlf_text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) END AS text_md5 FROM l""",
         "upload_manifest": ctes(BUSINESS) + "SELECT doc_id, filename, CAST(size_bytes AS BIGINT) AS size_bytes, declared_mime FROM b",
-        "extraction_routes": ctes(BUSINESS, ("r", f"SELECT doc_id, filename, CASE WHEN {EXT} = '.txt' THEN 'text' WHEN {EXT} = '.pdf' AND NOT {is_blank} THEN 'pdf_text' ELSE 'ocr' END AS route FROM b"))
-        + "SELECT doc_id, filename, route, route = 'ocr' AS needs_ocr FROM r",
-        "assembled_conversations": "SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations WHERE length(text) > 0 GROUP BY conv_id",
+        "extraction_routes": ctes(BUSINESS, ("r", f"SELECT doc_id, filename, CASE WHEN {CODE} IS NOT NULL THEN NULL WHEN {EXT} = '.txt' THEN 'text' WHEN {EXT} = '.pdf' AND NOT {is_blank} THEN 'pdf_text' ELSE 'ocr' END AS route FROM b"))
+        + "SELECT doc_id, filename, route, coalesce(route = 'ocr', false) AS needs_ocr FROM r",
+        "assembled_conversations": "SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn, text) FILTER (length(text) > 0), '') AS text, CAST(NULL AS VARCHAR) AS reject_code FROM conversations GROUP BY conv_id",
         "file_extensions": ctes(BUSINESS) + f"SELECT doc_id, filename, {EXT} AS ext FROM b",
         "allowed_extensions": ctes(BUSINESS) + f"SELECT doc_id, filename, {ALLOWED} AS allowed FROM b",
         "mime_mismatches": ctes(BUSINESS) + f"SELECT doc_id, filename, {MISMATCH} AS mismatch FROM b",
@@ -479,14 +488,39 @@ def all_checks() -> dict[str, str]:
         "report_texts": ctes(*LINES, ("r", "SELECT log_id, string_agg(text, chr(10) ORDER BY section_no, line_no) AS body FROM lines GROUP BY log_id"))
         + "SELECT log_id, filename, md5(body) AS report_md5, CAST(length(body) AS INT) AS report_length FROM r JOIN ledger ON id = log_id",
         "report_timestamps": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC' AS shown FROM events",
-        "streamed_approvals": ctes(*PENDING) + "SELECT session_id, doc_id, severity FROM pending WHERE session_id IN (SELECT session_id FROM reviews)",
+        "streamed_approvals": ctes(*APPROVED) + f"""SELECT session_id, doc_id, 'approved' AS outcome, final_status AS status, final_severity AS severity,
+          note AS reviewer_notes, CASE WHEN changed THEN {iso('review_ts')} END AS decided FROM approved
+          UNION ALL SELECT session_id, doc_id, 'refused', status, severity, reviewer_notes, {q(V.BAD_OVERRIDE)} FROM reviewed WHERE {_REFUSED}""",
+        "refused_overrides": ctes(*APPROVED) + f"SELECT doc_id, {_REVIEW}, {q(V.BAD_OVERRIDE)} AS override_error FROM reviewed WHERE {_REFUSED}",
+        "scanned_files": ctes(("l", I.duck_sql(I.LANDED))) + """SELECT folder, CAST(sum(strlen(crlf_text) + 2 + CASE WHEN folder % 7 = 3 THEN 1 ELSE 0 END) AS BIGINT) AS length,
+          folder % 7 <> 3 AS is_valid, CASE WHEN folder % 7 = 3 THEN 'encoding' END AS reject_code,
+          CASE WHEN folder % 7 <> 3 THEN md5(replace(replace(string_agg(crlf_text || chr(13) || chr(10), '' ORDER BY doc_id), chr(13) || chr(10), chr(10)), chr(13), chr(10))) END AS text_md5
+          FROM (SELECT *, doc_id // 50 AS folder FROM l) GROUP BY folder""",
+        "ocr_work": ctes(BUSINESS, GATED) + "SELECT doc_id, filename, declared_mime FROM g WHERE ocr",
+        "reentered_audit": ctes(("b0", I.duck_sql(I.BUSINESS_DOCUMENTS)), ("pages_", "SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn, text) FILTER (length(text) > 0), '') AS back FROM conversations GROUP BY conv_id"),
+          ("b", f"SELECT b0.* REPLACE (CASE WHEN doc_id % 47 = 0 AND {blank('text')} THEN coalesce(back, text) ELSE text END AS text) FROM b0 LEFT JOIN pages_ ON conv_id = doc_id % 40"), *AUDITED[1:])
+          + f"SELECT doc_id, route, reject_code, doc_type, status, severity, pii_detected FROM ({_FULL})",
+        "supplied_catalogue": ctes(*TYPED, ("h", """SELECT doc_id, doc_type,
+            NOT regexp_matches(t, '(?i)\\bdate\\b') AS f1, contains(t, '[REDACTED_EMAIL]') AS f2, contains(t, '[REDACTED_AADHAAR]') AS f3,
+            doc_type = 'invoice' AND len(regexp_extract_all(t, '[0-9]{3}')) < 2 AS f5, doc_type = 'certificate' AS open FROM typed"""),
+          ("n", "SELECT *, f1::INT + f2::INT + f3::INT + f5::INT AS bad, 3 + (doc_type = 'invoice')::INT AS n FROM h"))
+          + """SELECT doc_id, CASE WHEN bad > 0 THEN 'NON_COMPLIANT' WHEN open THEN 'REVIEW_NEEDED' ELSE 'COMPLIANT' END AS status,
+            CASE WHEN f3 THEN 'CRITICAL' WHEN f2 THEN 'HIGH' WHEN f5 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CAST(floor(100 * (n - bad) / n) AS INT) AS compliance_score,
+            concat_ws('|', CASE WHEN f1 THEN 'H-01: Must state a date.' END, CASE WHEN f2 THEN 'H-02: Must hold no address.' END,
+              CASE WHEN f3 THEN 'GEN-02: No identity numbers.' END, CASE WHEN f5 THEN 'H-05: Must name two numbers.' END) AS violations,
+            CASE WHEN open THEN 'H-09' ELSE '' END AS not_evaluated FROM n""",
     }
+    merged = checks["merged_verdicts"]
+    checks["model_audit"] = ctes(*MASKED, *LATEST, ("v", merged), ("r", """SELECT m.doc_id, m.filename, m.received_at, v.* EXCLUDE (doc_id), coalesce(l.final_text, '') AS summary,
+      CASE WHEN v.severity IN ('HIGH', 'CRITICAL') THEN 'pending' ELSE 'auto' END AS route FROM masked m JOIN v USING (doc_id) JOIN latest l USING (doc_id)"""),
+      ("i", "SELECT doc_id, row_number() OVER (ORDER BY received_at, doc_id) AS id FROM r WHERE route = 'auto'")) + """SELECT doc_id, filename, route, doc_type, status, severity, compliance_score, violations,
+      md5(summary) AS summary_md5, md5(CAST(doc_id AS VARCHAR)) AS session_id, id, CASE WHEN route = 'auto' THEN status END AS report_status FROM r LEFT JOIN i USING (doc_id)"""
     checks["rule_evaluations_by_join"] = checks["rule_evaluations"]
     checks["audit_verdicts_by_group"] = checks["audit_verdicts"]
     checks["streamed_audit"] = checks["full_audit"]
     status = """SELECT b.doc_id, b.filename, coalesce(a.status, 'UNKNOWN') AS status, coalesce(a.severity, 'UNKNOWN') AS severity,
       CAST(coalesce(len(a.violations), 0) AS INT) AS violation_count,
-      CASE WHEN b.size_bytes IS NULL THEN 'File does not exist' WHEN g.reject_detail IS NOT NULL THEN 'Error: ' || g.reject_detail[1:40] END AS message
+      CASE WHEN b.size_bytes IS NULL THEN 'File does not exist' WHEN g.reject_detail IS NOT NULL THEN 'Error: ' || g.reject_detail[1:40] END AS message, g.reject_detail AS error
       FROM b JOIN g USING (doc_id) LEFT JOIN audited a USING (doc_id)"""
     checks["batch_status"] = ctes(*AUDITED) + status
     checks["batch_summary"] = ctes(*AUDITED, ("s", status)) + "SELECT status, severity, message, count(*) AS files, CAST(sum(violation_count) AS BIGINT) AS violations FROM s GROUP BY 1, 2, 3"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,8 @@ from attestor.operators import (
     batch, gate, ledger, redaction, reports, review, rulebook, triage, verdict,
 )
 from attestor.plans import inputs
-from attestor.plans.audit import audit_staged, audit_uploads
+from attestor.plans.audit import audit_staged, audit_uploads, ocr_work
+from attestor.plans.model_audit import audit_answers, parsed_answers
 from attestor.session import read_spread, scratch_path, staged
 from attestor.sources import catalogue, documents, ledger_store, report_store
 from attestor.streaming import approvals, arrivals
@@ -71,9 +73,9 @@ def _typed(spark: SparkSession, sf: str) -> DataFrame:
     return triage.triage(_masked(spark, sf))
 
 
-def _audited(spark: SparkSession, sf: str) -> DataFrame:
-    """All uploads with verdict and route, stored once."""
-    return audit_staged(_business(spark, sf), catalogue.builtin_rows())
+def _audited(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """All uploads with verdict and route, stored once; only the given columns if any."""
+    return audit_staged(_business(spark, sf), catalogue.builtin_rows(), columns or None)
 
 
 def _accepted(audited: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def _approved(spark: SparkSession, sf: str, audited: DataFrame) -> DataFrame:
 
 def _ledger(spark: SparkSession, sf: str) -> DataFrame:
     """A stored ledger: one batch passed at once, one batch approved by reviewers."""
-    audited = _audited(spark, sf)
+    audited = _audited(spark, sf, "doc_id", "filename", "doc_type", "status", "severity", "received_at", "full_report", "session_id")
     path = scratch_path(spark, "ledger")
     ledger_store.append_ledger(_results(audited), path, 0)
     ledger_store.append_ledger(_approved(spark, sf, audited), path, 1)
@@ -196,7 +198,7 @@ def mask_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("redaction_profile", "A5")
 def redaction_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return redaction.redaction_profile(redaction.mask_documents(_texts(spark, sf)))
+    return redaction.redaction_profile(_texts(spark, sf))
 
 
 @query("sql_masking", "UD1")
@@ -225,7 +227,41 @@ def upload_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("extraction_routes", "S3")
 def extraction_routes(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.extraction_route(_business(spark, sf)).select("doc_id", "filename", "route", "needs_ocr")
+    gated_uploads = gate.gate_reason(_business(spark, sf))
+    return documents.extraction_route(gated_uploads).select("doc_id", "filename", "route", "needs_ocr")
+
+
+@query("scanned_files", "S1")
+def scanned_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Land every document's bytes in files of 50 documents, scan them back."""
+    landed = inputs.derive(inputs.LANDED, documents=inputs.table(spark, sf, "documents"))
+    folder = F.floor(F.col("doc_id") / 50).cast("bigint")
+    body = F.encode("crlf_text", "UTF-8")
+    broken = F.concat(F.to_binary(F.lit("FF"), F.lit("hex")), body).cast("string")
+    value = F.when(folder % 7 == 3, broken).otherwise(F.col("crlf_text"))
+    path = scratch_path(spark, "landed")
+    rows = landed.select(folder.alias("folder"), "doc_id", value.alias("value"))
+    rows.repartition("folder").sortWithinPartitions("folder", "doc_id").select("folder", "value").write.partitionBy("folder").option("lineSep", "\r\n").text(path)
+    found = documents.scan_documents(spark, path, "*.txt")
+    return found.select(
+        F.regexp_extract("path", r"folder=(\d+)", 1).cast("bigint").alias("folder"), "length", "is_valid", "reject_code", F.md5("text").alias("text_md5")
+    )
+
+
+@query("ocr_work", "S3, F8")
+def ocr_worklist(spark: SparkSession, sf: str) -> DataFrame:
+    return ocr_work(_business(spark, sf))
+
+
+@query("reentered_audit", "S3, S4")
+def reentered_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Uploads without text get the pages recognised for them and are audited again."""
+    turns = inputs.table(spark, sf, "conversations")
+    pages = documents.assemble_pages(turns, "conv_id", "turn", "text").where("reject_code is null")
+    uploads = _business(spark, sf).withColumn("conv_id", F.col("doc_id") % 40)
+    recognised = uploads.where(F.expr("doc_id % 47 = 0")).select("doc_id", "conv_id").join(pages, "conv_id").select("doc_id", "text")
+    audited = audit_uploads(documents.with_ocr_text(uploads.drop("conv_id"), recognised), catalogue.builtin_rows())
+    return audited.select("doc_id", "route", "reject_code", "doc_type", "status", "severity", "pii_detected")
 
 
 @query("assembled_conversations", "S4")
@@ -443,14 +479,38 @@ def audit_verdicts_by_group(spark: SparkSession, sf: str) -> DataFrame:
     return _verdict_columns(verdict.audit_verdict_by_group(evaluated))
 
 
+SUPPLIED = {
+    "_metadata": {"version": "7.1", "jurisdiction": "House"},
+    "general": [
+        {"id": "H-01", "description": "Must state a date.", "severity": "LOW", "regulation": "House rule 1", "must": r"(?i)\bdate\b"},
+        {"id": "H-02", "description": "Must hold no address.", "severity": "HIGH", "regulation": "House rule 2", "must_not": r"\[REDACTED_EMAIL\]"},
+        {"id": "GEN-02", "description": "No identity numbers.", "severity": "CRITICAL", "regulation": "House rule 3"},
+    ],
+    "certificate": [{"id": "H-09", "description": "Must look right.", "severity": "MEDIUM", "regulation": "House rule 9"}],
+    "invoice": [{"id": "H-05", "description": "Must name two numbers.", "severity": "MEDIUM", "regulation": "House rule 5", "must": r"\d{3}", "min_count": 2}],
+}
+
+
+@query("supplied_catalogue", "S5, J2, A2")
+def supplied_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit with a catalogue file that states its own predicates, and one rule without any."""
+    path = scratch_path(spark, "supplied")
+    spark.range(1).select(F.lit(json.dumps(SUPPLIED)).alias("value")).coalesce(1).write.text(path)
+    rows = verdict.catalogue_rows(catalogue.with_predicates(catalogue.load_rules(spark, path)))
+    columns = ("doc_id", "status", "severity", "compliance_score", "violations", "not_evaluated")
+    return _accepted(audit_staged(_business(spark, sf), rows, columns)).select(
+        "doc_id", "status", "severity", "compliance_score", _joined("violations").alias("violations"), _joined("not_evaluated").alias("not_evaluated")
+    )
+
+
 @query("executive_summaries", "C7")
 def executive_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    return _accepted(_audited(spark, sf)).select("doc_id", "executive_summary")
+    return _accepted(_audited(spark, sf, "doc_id", "executive_summary")).select("doc_id", "executive_summary")
 
 
 @query("packaged_results", "F14")
 def packaged_results(spark: SparkSession, sf: str) -> DataFrame:
-    report = _accepted(_audited(spark, sf)).select("doc_id", "full_report.*")
+    report = _accepted(_audited(spark, sf, "doc_id", "full_report")).select("doc_id", "full_report.*")
     return report.select(
         "doc_id", "filename", "doc_type", "status", "severity", "compliance_score", "pii_was_detected",
         _joined("audit_result.violations").alias("violations"), "audit_result.rule_source",
@@ -504,17 +564,35 @@ def audit_fields(spark: SparkSession, sf: str) -> DataFrame:
     return _verdict_columns(_answers(spark, sf).select("doc_id", "a.*"))
 
 
-@query("merged_verdicts", "J8")
-def merged_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    primary = _answers(spark, sf).select("doc_id", "t.doc_type", "a.*")
+def _fallback(spark: SparkSession, sf: str) -> DataFrame:
     second = inputs.derive(inputs.FALLBACKS, orders=inputs.table(spark, sf, "orders"))
     none = F.array().cast("array<string>")
-    fallback = second.select(
+    return second.select(
         "doc_id", "doc_type", "status", "severity", "compliance_score",
         F.when(F.col("violation") == "", none).otherwise(F.array("violation")).alias("violations"),
         F.array("recommendation").alias("recommendations"),
     )
-    merged = verdict.merge_verdicts(primary, fallback)
+
+
+@query("model_audit", "A8, X1, X2, X3, J8, F14, F9, S6")
+def model_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Model answers all the way to routes and ledger rows."""
+    masked = _masked(spark, sf).drop("reject_code", "reject_detail")
+    results = audit_answers(masked, inputs.agent_events(spark, sf), _fallback(spark, sf))
+    results = staged(results.withColumnRenamed("received_at", "timestamp"), "model-audit")
+    path = scratch_path(spark, "model-ledger")
+    ledger_store.append_ledger(results.where("route = 'auto'"), path)
+    stored = ledger_store.read_ledger(spark, path).select("id", F.col("filename").alias("stored_name"), F.try_variant_get("report", "$.status", "string").alias("report_status"))
+    return results.join(stored, results["filename"] == stored["stored_name"], "left").select(
+        "doc_id", "filename", "route", "doc_type", "status", "severity", "compliance_score", _joined("violations").alias("violations"),
+        F.md5("executive_summary").alias("summary_md5"), "session_id", "id", "report_status",
+    )
+
+
+@query("merged_verdicts", "J8")
+def merged_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    primary = parsed_answers(inputs.agent_events(spark, sf)).drop("final_text")
+    merged = verdict.merge_verdicts(primary, _fallback(spark, sf))
     return merged.select(
         "doc_id", "doc_type", "status", "severity", "compliance_score",
         _joined("violations").alias("violations"), _joined("recommendations").alias("recommendations"),
@@ -527,7 +605,7 @@ def merged_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("routed_results", "F9")
 def routed_results(spark: SparkSession, sf: str) -> DataFrame:
-    results = _accepted(_audited(spark, sf))
+    results = _accepted(_audited(spark, sf, "doc_id", "filename", "severity"))
     pending, auto = review.route_reviews(results, F.col("filename").endswith(".PDF"))
     return pending.select("doc_id", "severity", F.lit("pending").alias("side")).unionByName(
         auto.select("doc_id", "severity", F.lit("auto").alias("side"))
@@ -536,14 +614,14 @@ def routed_results(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("review_notices", "A9")
 def review_notices(spark: SparkSession, sf: str) -> DataFrame:
-    notice = review.review_notice(_pending(_audited(spark, sf)))
+    notice = review.review_notice(_pending(_audited(spark, sf, "doc_id", "session_id", "severity", "violations")))
     return notice.withColumn("preview_violations", _joined("preview_violations"))
 
 
 @query("violation_previews", "L2")
 def violation_previews(spark: SparkSession, sf: str) -> DataFrame:
     preview = F.slice("violations", 1, V.PREVIEW_VIOLATIONS)
-    return _accepted(_audited(spark, sf)).select("doc_id", _joined(preview).alias("preview_violations"))
+    return _accepted(_audited(spark, sf, "doc_id", "violations")).select("doc_id", _joined(preview).alias("preview_violations"))
 
 
 _REVIEW = ("session_id", "review_no", "override_status", "reviewer_notes")
@@ -556,25 +634,25 @@ def first_reviews(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("repeated_reviews", "W1")
 def repeated_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    pending = _pending(_audited(spark, sf))
+    pending = _pending(_audited(spark, sf, "session_id"))
     return review.repeated_reviews(pending, inputs.reviews(spark, sf)).select(*_REVIEW, "error")
 
 
 @query("reviewed_sessions", "J4")
 def reviewed_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    joined = review.apply_reviews(_pending(_audited(spark, sf)), inputs.reviews(spark, sf))
+    joined = review.apply_reviews(_pending(_audited(spark, sf, "doc_id", "session_id", "status", "severity")), inputs.reviews(spark, sf))
     return joined.select("doc_id", *_REVIEW, "status", "severity")
 
 
 @query("unknown_sessions", "J5")
 def unknown_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    pending = _pending(_audited(spark, sf))
+    pending = _pending(_audited(spark, sf, "session_id"))
     return review.unknown_sessions(pending, inputs.reviews(spark, sf)).select(*_REVIEW, "error")
 
 
 @query("remaining_pending", "J6")
 def remaining_pending(spark: SparkSession, sf: str) -> DataFrame:
-    pending = _pending(_audited(spark, sf))
+    pending = _pending(_audited(spark, sf, "doc_id", "session_id", "severity"))
     return review.remaining_pending(pending, inputs.reviews(spark, sf)).select("doc_id", "session_id", "severity")
 
 
@@ -585,7 +663,7 @@ def override_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("applied_overrides", "H1")
 def applied_overrides(spark: SparkSession, sf: str) -> DataFrame:
-    reviewed = review.apply_reviews(_pending(_audited(spark, sf)), inputs.reviews(spark, sf))
+    reviewed = review.apply_reviews(_pending(_audited(spark, sf, "doc_id", "session_id", "status", "severity")), inputs.reviews(spark, sf))
     approved, _ = review.apply_override(reviewed)
     return approved.select(
         "doc_id", "session_id", "final_status", "final_severity", "overridden", "report_status",
@@ -593,6 +671,13 @@ def applied_overrides(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("refused_overrides", "H1")
+def refused_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    reviewed = review.apply_reviews(_pending(_audited(spark, sf, "doc_id", "session_id", "status", "severity")), inputs.reviews(spark, sf))
+    _, refused = review.apply_override(reviewed)
+    return refused.select("doc_id", *_REVIEW, "override_error")
+
+
 @query("review_timestamps", "D1")
 def review_timestamps(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.reviews(spark, sf).select("review_no", T.iso_timestamp("review_ts").alias("iso"))
@@ -603,7 +688,7 @@ def review_timestamps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ledger_entries", "U2")
 def ledger_entries(spark: SparkSession, sf: str) -> DataFrame:
-    audited = _audited(spark, sf)
+    audited = _audited(spark, sf, "doc_id", "filename", "doc_type", "status", "severity", "received_at", "full_report", "session_id")
     columns = ("doc_id", "filename", "doc_type", "status", "severity", "timestamp")
     entries = ledger.ledger_entries(
         _results(audited).select(*columns), _approved(spark, sf, audited).select(*columns)
@@ -655,7 +740,7 @@ def batch_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _batch_status(spark: SparkSession, sf: str) -> DataFrame:
-    results = _audited(spark, sf).withColumnRenamed("reject_detail", "error")
+    results = _audited(spark, sf, "doc_id", "status", "severity", "violations", "reject_detail").withColumnRenamed("reject_detail", "error")
     return batch.batch_status(documents.manifest(_business(spark, sf)), results)
 
 
@@ -687,7 +772,7 @@ def split_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("numbered_violations", "W3")
 def numbered_violations(spark: SparkSession, sf: str) -> DataFrame:
-    results = _accepted(_audited(spark, sf)).select(
+    results = _accepted(_audited(spark, sf, "doc_id", "violations")).select(
         "doc_id", F.transform("violations", lambda v, i: F.when(i == 0, F.split_part(v, F.lit(": "), F.lit(2))).otherwise(v)).alias("violations")
     )
     return reports.number_violations(results)
@@ -703,7 +788,7 @@ def enriched_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("report_labels", "C3, C4, C5, C6")
 def report_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return _accepted(_audited(spark, sf)).select(
+    return _accepted(_audited(spark, sf, "doc_id", "doc_type", "pii_detected", "status", "severity")).select(
         "doc_id", T.capitalize("doc_type").alias("category"), T.pii_label("pii_detected").alias("pii"),
         T.verdict_label("status").alias("verdict"), T.severity_band("severity").alias("band"),
     )
@@ -785,12 +870,16 @@ def streamed_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("streamed_approvals", "ST2")
 def streamed_approvals(spark: SparkSession, sf: str) -> DataFrame:
-    held = _pending(_audited(spark, sf)).select("session_id", "doc_id", "severity")
-    place = scratch_path(spark, "held")
-    held.write.parquet(place)
-    pending = arrivals.arrivals(spark, place, held.schema)
-    decided = inputs.derive(inputs.REVIEWS, events=_stream_of(spark, sf, "events")).select("session_id", "review_ts")
+    """Decisions of the stream: approved and refused sessions, with their ledger rows counted."""
+    held = staged(_pending(_audited(spark, sf, "doc_id", "filename", "doc_type", "status", "severity", "received_at", "full_report", "session_id")).drop("received_at"), "held")
+    stream = inputs.derive(inputs.REVIEWS, events=_stream_of(spark, sf, "events"))
     out = scratch_path(spark, "streamed-approvals")
-    approved = approvals.continuous_approval(pending, decided).select("session_id", "doc_id", "severity")
-    approvals.write_approvals(approved, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    return spark.read.schema(approved.schema).parquet(f"{out}/rows")
+    approvals.continuous_approval(stream, held, out, f"{out}/checkpoint").awaitTermination()
+    approved = spark.read.parquet(f"{out}/approved").select(
+        "session_id", "doc_id", F.lit("approved").alias("outcome"), "status", "severity",
+        "human_review.reviewer_notes", F.col("human_review.timestamp").alias("decided"),
+    )
+    refused = spark.read.parquet(f"{out}/refused").select(
+        "session_id", "doc_id", F.lit("refused").alias("outcome"), "status", "severity", "reviewer_notes", F.col("override_error").alias("decided"),
+    )
+    return approved.unionByName(refused)

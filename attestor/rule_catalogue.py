@@ -40,6 +40,15 @@ CATALOGUE = {
     ],
 }
 
+# Patterns that look for one thing after another, anchored so that a text is read twice at most
+# instead of once per first match. Same outcome as the plain form.
+LINEAR = {
+    r"(?i)total amount due[^\n]*(INR|Rs|₹|USD|\$|EUR)": r"(?dim)^(?>[^\n]*?total amount due)[^\n]*(?:INR|Rs|₹|USD|\$|EUR)",
+    r"(?i)fssai[^\n]*missing": r"(?dim)^(?>[^\n]*?fssai)[^\n]*missing",
+    r"(?is)valid from.*valid (until|to)": r"(?is)\A(?>.*?valid from).*valid (?:until|to)",
+    r"(?is)(entity|certif(y|ies) that).*address": r"(?is)\A(?>.*?(?:entity|certif(?:y|ies) that)).*address",
+}
+
 # Our own definition: a rule passes when ``must`` matches the masked text at least
 # ``n`` times and ``must_not`` does not match. (must, must_not, n)
 PREDICATES = {

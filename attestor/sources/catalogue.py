@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from attestor import fixed_values as V
 from attestor.rule_catalogue import CATALOGUE, PREDICATES
 
-RULE = "struct<id:string,description:string,severity:string,regulation:string>"
+RULE = (
+    "struct<id:string,description:string,severity:string,regulation:string,"
+    "must:string,must_not:string,min_count:int>"
+)
 RULE_FIELDS = ("id", "description", "severity", "regulation")
 
 
@@ -33,6 +36,8 @@ def _entries(spark: SparkSession, path: str | None) -> DataFrame:
 def load_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
     """Flat rules in catalogue order: category_no, category, seq, id, description, …
 
+    A rule may state its predicate: ``must`` and ``must_not`` (patterns) and ``min_count``.
+
     Without a path the built-in catalogue; a missing file is an empty catalogue. Keys that
     start with ``_`` and values that are not lists are skipped.
     """
@@ -60,7 +65,10 @@ def rules_metadata(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 
 def with_predicates(rules: DataFrame) -> DataFrame:
-    """Add must, must_not and min_count; a rule without a predicate always passes."""
+    """Complete must, must_not and min_count: a rule's own ones, else the built-in ones of its id.
+
+    A rule with neither has null patterns and is never evaluated.
+    """
     table = F.create_map(*[
         x
         for rule_id, (must, must_not, n) in PREDICATES.items()
@@ -74,12 +82,12 @@ def with_predicates(rules: DataFrame) -> DataFrame:
         )
     ])
     found = F.try_element_at(table, F.col("id"))
-    return rules.select(
-        "*",
-        found["must"].alias("must"),
-        found["must_not"].alias("must_not"),
-        F.coalesce(found["min_count"], F.lit(1)).alias("min_count"),
-    )
+    own = F.col("must").isNotNull() | F.col("must_not").isNotNull()
+    return rules.withColumns({
+        "must": F.when(own, F.col("must")).otherwise(found["must"]),
+        "must_not": F.when(own, F.col("must_not")).otherwise(found["must_not"]),
+        "min_count": F.coalesce(F.when(own, F.col("min_count")).otherwise(found["min_count"]), F.lit(1)),
+    })
 
 
 def builtin_rows() -> list[Row]:
@@ -89,13 +97,14 @@ def builtin_rows() -> list[Row]:
         Row(category=c, **rule, must=must, must_not=must_not, min_count=n)
         for c in categories
         for rule in CATALOGUE[c]
-        for must, must_not, n in [PREDICATES[rule["id"]]]
+        for must, must_not, n in [PREDICATES.get(rule["id"], (None, None, 1))]
     ]
 
 
 def rules_document(rules: DataFrame) -> DataFrame:
     """The whole catalogue as one row of JSON text, categories and rules in order."""
-    rule = F.struct("seq", F.struct(*RULE_FIELDS).alias("rule"))
+    stated = [c for c in ("must", "must_not", "min_count") if c in rules.columns]
+    rule = F.struct("seq", F.struct(*RULE_FIELDS, *stated).alias("rule"))
     per_category = rules.groupBy("category_no", "category").agg(
         F.array_sort(F.collect_list(rule)).alias("listed")
     )

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from attestor import fixed_values as V
 from attestor.functions.files import file_ext
 from attestor.functions.text import is_blank
 from attestor.session import column
 
-PAGES_PER_BLOCK = 1000
-CHARS_PER_PART = 64_000_000
+# A text cell holds at most 2 GB, and a character takes up to four bytes.
+CELL_CHARS = 500_000_000
 
 
 def decoded_text(content: Column | str) -> Column:
@@ -28,14 +27,12 @@ def decode_documents(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumns({"text": decoded_text(content), "is_valid": valid})
 
 
-def scan_documents(
-    spark: SparkSession, path: str, pattern: str = "*", max_bytes: int = V.MAX_FILE_MB * V.BYTES_PER_MB
-) -> DataFrame:
-    """path, length, text, is_valid of every landed file below ``path``.
+def scan_documents(spark: SparkSession, path: str, pattern: str = "*", max_bytes: int | None = None) -> DataFrame:
+    """path, length, text, is_valid, reject_code of every landed file below ``path``.
 
-    The size condition reaches the reader, so the content of a file the gate refuses anyway
-    is never read; such a file keeps its row, with null text and is_valid. Zero-byte files
-    do not appear in a content scan, so sizes are judged on the manifest.
+    With ``max_bytes`` the size condition reaches the reader, so the content of a larger file is
+    never read; such a file keeps its row with reject_code ``size``. Bytes that are not UTF-8 give
+    ``encoding``. Zero-byte files do not appear in a content scan; sizes are judged on the manifest.
     """
     files = (
         spark.read.format("binaryFile")
@@ -43,13 +40,16 @@ def scan_documents(
         .option("recursiveFileLookup", "true")
         .load(path)
     )
-    read = decode_documents(
-        files.where(F.col("length") <= max_bytes).select("path", "length", "content")
-    ).drop("content")
+    wanted = files if max_bytes is None else files.where(F.col("length") <= max_bytes)
+    read = decode_documents(wanted.select("path", "length", "content")).drop("content")
+    read = read.withColumn("reject_code", F.when(~F.col("is_valid"), F.lit("encoding")))
+    if max_bytes is None:
+        return read
     refused = files.where(F.col("length") > max_bytes).select(
         "path", "length",
         F.lit(None).cast("string").alias("text"),
         F.lit(None).cast("boolean").alias("is_valid"),
+        F.lit("size").alias("reject_code"),
     )
     return read.unionByName(refused)
 
@@ -62,40 +62,40 @@ def manifest(src: DataFrame) -> DataFrame:
 
 
 def extraction_route(df: DataFrame) -> DataFrame:
-    """Add route and needs_ocr: text files and PDFs with embedded text are read, the rest is OCR work."""
+    """Add route and needs_ocr: text files and PDFs with embedded text are read, the rest is OCR
+    work. An upload with a reject_code has no route."""
     ext = file_ext("filename")
     route = (
         F.when(ext == ".txt", F.lit("text"))
         .when((ext == ".pdf") & ~is_blank("text"), F.lit("pdf_text"))
         .otherwise(F.lit("ocr"))
     )
-    return df.withColumn("route", route).withColumn("needs_ocr", F.col("route") == "ocr")
+    if "reject_code" in df.columns:
+        route = F.when(F.col("reject_code").isNull(), route)
+    return df.withColumn("route", route).withColumn("needs_ocr", F.coalesce(F.col("route") == "ocr", F.lit(False)))
 
 
-def _joined(key: list[str], order: list[str], df: DataFrame) -> DataFrame:
-    row = F.struct(*order, "text")
-    texts = F.transform(F.array_sort(F.collect_list(row)), lambda r: r["text"])
-    return df.groupBy(*key).agg(F.array_join(texts, "\n").alias("text"))
+def assemble_pages(pages: DataFrame, key: str, order: str, text: str, cell_chars: int = CELL_CHARS) -> DataFrame:
+    """One row per document: key, text (its pages joined in order, empty ones dropped), reject_code.
 
-
-def assemble_pages(
-    pages: DataFrame, key: str, order: str, text: str,
-    pages_per_block: int = PAGES_PER_BLOCK, chars_per_part: int = CHARS_PER_PART,
-) -> DataFrame:
-    """Pages joined in order, empty ones dropped: key, part, text.
-
-    Pages are first joined in blocks, so one huge document is spread over many tasks. A
-    document above ``chars_per_part`` characters, which no text cell could hold, goes on
-    in part 1, 2, …; nothing is cut. Joining the parts with a line break gives the whole.
+    A document whose pages are all empty has the text ``''``. Lengths are added up first, without
+    texts; a document that no text cell can hold is not gathered at all but comes out with a null
+    text and reject_code ``too_long``, so every group that is gathered is bounded.
     """
-    filled = pages.where(F.length(text) > 0).select(
-        F.col(key),
-        F.floor(F.col(order) / pages_per_block).cast("bigint").alias("block"),
-        F.col(order).alias("page"),
-        F.col(text).alias("text"),
+    rows = pages.select(F.col(key), F.col(order).alias("page"), F.col(text).alias("text"))
+    chars = F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("bigint") + 1)
+    too_long = rows.groupBy(key).agg(chars.alias("chars")).where(F.col("chars") > cell_chars).select(key)
+    listed = F.array_sort(F.collect_list(F.when(F.length("text") > 0, F.struct("page", "text"))))
+    joined = rows.join(too_long, key, "left_anti").groupBy(key).agg(
+        F.array_join(F.transform(listed, lambda r: r["text"]), "\n").alias("text")
     )
-    blocks = _joined([key, "block"], ["page"], filled)
-    before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    chars = F.coalesce(F.sum(F.length("text").cast("bigint")).over(before), F.lit(0))
-    parts = blocks.withColumn("part", F.floor(chars / chars_per_part).cast("bigint"))
-    return _joined([key, "part"], ["block"], parts)
+    refused = too_long.select(key, F.lit(None).cast("string").alias("text"), F.lit("too_long").alias("reject_code"))
+    return joined.withColumn("reject_code", F.lit(None).cast("string")).unionByName(refused)
+
+
+def with_ocr_text(uploads: DataFrame, recognised: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Uploads with the text that came back for them (one row per key) where they had none."""
+    back = recognised.select(F.col(key), F.col("text").alias("ocr_text"))
+    joined = uploads.join(back, key, "left")
+    text = F.when(is_blank("text"), F.coalesce("ocr_text", "text")).otherwise(F.col("text"))
+    return joined.withColumn("text", text).select(*uploads.columns)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from attestor import fixed_values as V
 from attestor.functions.text import utc_now
 from attestor.operators.ledger import assign_ids
-from attestor.session import staged
 
 LEDGER = (
     "id bigint, timestamp timestamp_ntz, filename string, doc_type string, status string, "
@@ -28,12 +27,31 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return stored.withColumn("report", F.try_parse_json("full_report"))
 
 
+def newest_batches(spark: SparkSession, path: str, before: int) -> list[int]:
+    """Numbers of the stored batches before this one, newest first: one listing, no data read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(root)] if system.exists(root) else []
+    numbers = [int(n.partition("=")[2]) for n in names if n.startswith("batch_id=")]
+    return sorted((n for n in numbers if n < before), reverse=True)
+
+
+def last_id(spark: SparkSession, path: str, before: int) -> int:
+    """The highest id before a batch. Ids grow with the batches, so the newest one that has rows
+    knows it; older ones are not read."""
+    for number in newest_batches(spark, path, before):
+        top = spark.read.schema("id bigint").parquet(f"{path}/batch_id={number}").agg(F.max("id")).first()[0]
+        if top is not None:
+            return top
+    return 0
+
+
 def ledger_rows(results: DataFrame) -> DataFrame:
     """Results in ledger form: defaults filled, the whole report serialised."""
     given = set(results.columns)
     stamp = F.coalesce("timestamp", utc_now()) if "timestamp" in given else utc_now()
     return results.select(
-        "doc_id",
+        *[c for c in ("id", "doc_id") if c in given],
         stamp.alias("timestamp"),
         F.coalesce("filename", F.lit("unknown")).alias("filename"),
         "doc_type",
@@ -45,7 +63,10 @@ def ledger_rows(results: DataFrame) -> DataFrame:
 
 
 def append_ledger(results: DataFrame, path: str, batch_id: int = 0) -> None:
-    """Append one batch with ids that go on from the earlier batches.
+    """Append one batch of stored results with ids that go on from the earlier batches.
+
+    Sorting samples its input first, so results should be read from a table (as those of an audit
+    are); they are written once with their place and once as the ledger.
 
     The batch has a folder of its own that is overwritten, so repeating a batch after a
     failure replaces it and neither doubles rows nor shifts ids. Its files follow the time
@@ -53,13 +74,11 @@ def append_ledger(results: DataFrame, path: str, batch_id: int = 0) -> None:
     which would leave many small files. The score is stored typed beside the JSON, so trends
     never parse reports.
     """
-    spark = results.sparkSession
-    earlier = read_ledger(spark, path).where(F.col("batch_id") < batch_id)
-    start = earlier.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    # Sorting samples its input first; staging keeps that from repeating the audit.
-    rows = staged(ledger_rows(results), "ledger-rows")
-    numbered = assign_ids(rows, ["timestamp", "doc_id"], start).drop("doc_id")
-    numbered.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    start = last_id(results.sparkSession, path, batch_id)
+    stamp = F.coalesce("timestamp", utc_now()) if "timestamp" in results.columns else utc_now()
+    rows = results.select("doc_id", stamp.alias("timestamp"), "filename", "doc_type", "status", "severity", "full_report")
+    numbered = assign_ids(rows, ["timestamp", "doc_id"], start)
+    ledger_rows(numbered).drop("doc_id").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def ledger_by_id(ledger: DataFrame, log_id: int) -> DataFrame:

@@ -1,32 +1,65 @@
-"""Continuous approval: held results meet their reviews, each session once."""
+"""Continuous approval: reviews arrive, and each held session is decided once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from attestor import fixed_values as V
+from attestor.operators.review import apply_override, approved_results, first_review
+from attestor.sources.ledger_store import append_ledger
 
-def continuous_approval(pending: DataFrame, reviews: DataFrame, delay: str | None = None) -> DataFrame:
-    """Join the stream of held results with the first review of each session.
 
-    Sessions never expire, so by default the state keeps every open session. With
-    ``delay`` (for example "30 days") both sides get watermarks on ``held_at`` and
-    ``review_ts`` and state older than that is dropped; use it where reviews are known to
-    arrive within that time.
+def decided_before(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
+    """Sessions that earlier micro-batches took: session_id, review_no."""
+    try:
+        taken = spark.read.parquet(f"{out}/taken")
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return taken.where(F.col("batch_id") < batch_id).select("session_id", "review_no")
+
+
+def decide(batch: DataFrame, pending: DataFrame, out: str, batch_id: int) -> None:
+    """Decide the sessions that this batch reviews first, and tell the other reviews so.
+
+    Writes, each below ``batch_id=n`` and overwritten by a repeat: ``taken`` (sessions that are
+    pending no more), ``approved`` (results with their final values), ``refused`` (the override was
+    no valid status; the session is gone all the same), ``unknown`` (no such session, or no more),
+    and the approved results in ``ledger``.
     """
-    if delay is None:
-        first = reviews.dropDuplicates(["session_id"])
-        return pending.join(first, "session_id")
-    first = reviews.withWatermark("review_ts", delay).dropDuplicatesWithinWatermark(["session_id"])
-    return pending.withWatermark("held_at", delay).join(first, "session_id")
+    spark = batch.sparkSession
+    part = f"batch_id={batch_id}"
+    open_sessions = pending
+    earlier = decided_before(spark, out, batch_id)
+    if earlier is not None:
+        open_sessions = pending.join(earlier.select("session_id"), "session_id", "left_anti")
+    first = first_review(batch).join(open_sessions.select("session_id"), "session_id", "left_semi")
+    first.select("session_id", "review_no").write.mode("overwrite").parquet(f"{out}/taken/{part}")
+    taken = spark.read.schema(first.select("session_id", "review_no").schema).parquet(f"{out}/taken/{part}")
+    approved, refused = apply_override(pending.join(first, "session_id"))
+    results = approved_results(approved)
+    results.write.mode("overwrite").parquet(f"{out}/approved/{part}")
+    refused.write.mode("overwrite").parquet(f"{out}/refused/{part}")
+    rest = batch.join(taken, ["session_id", "review_no"], "left_anti").withColumn("error", F.lit(V.NO_SESSION))
+    rest.write.mode("overwrite").parquet(f"{out}/unknown/{part}")
+    stored = spark.read.schema(results.schema).parquet(f"{out}/approved/{part}")
+    append_ledger(stored, f"{out}/ledger", batch_id)
 
 
-def write_approvals(approved: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def continuous_approval(reviews: DataFrame, pending: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Run ``decide`` on every micro-batch of the stream of reviews.
+
+    ``pending`` is the stored table of held results. Within a micro-batch the earliest review by
+    time and number wins, between micro-batches the one that came first. What was decided is kept
+    in a table and not in stream state: it neither grows in memory nor has to expire.
+    """
     return (
-        approved.writeStream.format("parquet")
-        .option("path", out)
+        reviews.writeStream.foreachBatch(lambda batch, n: decide(batch, pending, out, n))
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

@@ -11,12 +11,13 @@ from attestor.session import spread
 from attestor.sources.ledger_store import append_ledger
 
 
-def arrivals(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files as they land below ``path`` (a folder or a glob)."""
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+# A backlog is worked off in micro-batches of this many files.
+FILES_PER_BATCH = 1000
+
+
+def arrivals(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """Parquet files as they land below ``path`` (a folder or a glob), oldest first."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def continuous_audit(

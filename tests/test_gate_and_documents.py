@@ -78,6 +78,9 @@ def test_oversized_files_keep_a_row_but_are_not_read(spark, tmp_path):
     scan = documents.scan_documents(spark, str(tmp_path), "*.txt", max_bytes=100)
     rows = {r.path.rsplit("/", 1)[1]: (r.length, r.text, r.is_valid) for r in scan.collect()}
     assert rows == {"small.txt": (5, "hello", True), "large.txt": (5000, None, None)}
+    codes = {r.path.rsplit("/", 1)[1]: r.reject_code for r in scan.collect()}
+    assert codes == {"small.txt": None, "large.txt": "size"}
+    assert documents.scan_documents(spark, str(tmp_path), "*.txt").where("text is null").count() == 0
 
 
 def test_extraction_route(spark):
@@ -86,14 +89,26 @@ def test_extraction_route(spark):
     assert rows == {"a.txt": ("text", False), "b.pdf": ("pdf_text", False), "c.PDF": ("ocr", True), "d.png": ("ocr", True)}
 
 
-def test_pages_in_order_over_blocks_and_parts(spark):
+def test_rejected_uploads_have_no_route(spark):
+    df = _uploads(spark, [("a.exe", 1, None, ""), ("d.png", 1, None, None), ("e.png", 0, None, None)])
+    rows = {r.filename: (r.route, r.needs_ocr) for r in documents.extraction_route(gate.gate_reason(df)).collect()}
+    assert rows == {"a.exe": (None, False), "d.png": ("ocr", True), "e.png": (None, False)}
+
+
+def test_pages_in_order(spark):
     pages = [("hot", i, f"page {i}") for i in range(2500)] + [("cold", 1, "b"), ("cold", 0, "a"), ("cold", 2, ""), ("cold", 3, None)]
+    pages += [("blank", 0, ""), ("blank", 1, None)]
     df = spark.createDataFrame(pages, "doc string, page int, text string").orderBy(F.rand(1))
-    expected = {"hot": "\n".join(f"page {i}" for i in range(2500)), "cold": "a\nb"}
-    whole = documents.assemble_pages(df, "doc", "page", "text", pages_per_block=100).collect()
-    assert {r.doc: r.text for r in whole} == expected and {r.part for r in whole} == {0}
-    parts = documents.assemble_pages(df, "doc", "page", "text", pages_per_block=100, chars_per_part=5000)
-    rows = sorted((r.doc, r.part, r.text) for r in parts.collect())
-    assert len(rows) > 4
-    for doc, text in expected.items():
-        assert "\n".join(t for d, _, t in rows if d == doc) == text
+    expected = {"hot": "\n".join(f"page {i}" for i in range(2500)), "cold": "a\nb", "blank": ""}
+    whole = documents.assemble_pages(df, "doc", "page", "text").collect()
+    assert {r.doc: r.text for r in whole} == expected and {r.reject_code for r in whole} == {None}
+    # What no cell can hold is told, not cut.
+    bounded = {r.doc: (r.text, r.reject_code) for r in documents.assemble_pages(df, "doc", "page", "text", cell_chars=5000).collect()}
+    assert bounded == {"hot": (None, "too_long"), "cold": ("a\nb", None), "blank": ("", None)}
+
+
+def test_recognised_text_only_fills_blank_uploads(spark):
+    df = _uploads(spark, [("a.txt", 1, None, "own"), ("b.png", 1, None, None), ("c.png", 1, None, " ")]).withColumn("doc_id", F.ascii("filename"))
+    back = spark.createDataFrame([(97, "other"), (98, "read")], "doc_id int, text string")
+    rows = {r.filename: r.text for r in documents.with_ocr_text(df, back).collect()}
+    assert rows == {"a.txt": "own", "b.png": "read", "c.png": " "}

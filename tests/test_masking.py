@@ -25,6 +25,13 @@ CASES = [
     ("(022) 2345-6789", "([REDACTED_PHONE]"),
     ("mail a@b.com. Next", "mail [REDACTED_EMAIL] Next"),
     ("x4111111111111111", "x4111111111111111"),
+    # No-break spaces, as PDF text has them, and digits of other scripts.
+    ("1234\u00a05678\u00a09012", "[REDACTED_AADHAAR]"),
+    ("\u0967\u0968\u0969\u096a \u096b\u096c\u096d\u096e \u096f\u0966\u0967\u0968", "[REDACTED_AADHAAR]"),
+    ("+91\u00a098765\u00a043210", "[REDACTED_PHONE]"),
+    ("\u096a\u0967\u0967\u0967 1111 1111 1111", "[REDACTED_CREDIT_CARD]"),
+    ("\u0968\u0968AAAAA0000A1Z5", "[REDACTED_GSTIN]"),
+    ("a@b.c_x@d.e", "[REDACTED_EMAIL][REDACTED_EMAIL]"),
     ("", ""),
     (None, None),
 ]
@@ -118,14 +125,21 @@ def test_no_python_in_the_masking_plan(spark):
 
 def test_profile_counts_documents_per_tag(spark):
     df = spark.createDataFrame([("a@b.com c@d.org",), ("a@b.com",), ("nothing",)], "text string")
-    rows = {r.tag: r for r in redaction_profile(mask_documents(df)).collect()}
+    rows = {r.tag: r for r in redaction_profile(df).collect()}
     assert set(rows) == {"[REDACTED_EMAIL]"}
     assert rows["[REDACTED_EMAIL]"].documents == 2
 
 
+def test_profile_adds_up_to_what_masking_removed(spark):
+    df = spark.createDataFrame([(c[0],) for c in CASES] + [("a@b.com 4111 1111 1111 1111 and +91-9876543210",), ("  ",)], "text string")
+    per_tag = redaction_profile(df).agg(F.sum("chars_removed")).first()[0]
+    masked = mask_documents(df).agg(F.sum(F.col("original_length") - F.col("scrubbed_length"))).first()[0]
+    assert per_tag == masked != 0
+
+
 def test_profile_masks_every_text_once(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").select("text")
     spark.conf.set("spark.sql.maxPlanStringLength", "1000000")
     once = mask_documents(df)._jdf.queryExecution().executedPlan().toString()
-    profile = redaction_profile(mask_documents(df))._jdf.queryExecution().executedPlan().toString()
+    profile = redaction_profile(df)._jdf.queryExecution().executedPlan().toString()
     assert profile.count("{13,18}") == once.count("{13,18}") > 0

@@ -7,10 +7,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-import __spark_entry__ as entry_points
+from attestor.plans import oracles
+from attestor.plans import queries as registry
 
 SF = Path("/root/testdata/sf0.001")
-QUERIES, CHECKS = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, CHECKS = registry.registered(), oracles.all_checks()
 
 
 @pytest.fixture(scope="module")

@@ -214,5 +214,5 @@ def test_batch_status(spark):
     )
     rows = {r.doc_id: r for r in batch.batch_status(manifest, results).collect()}
     assert rows[1].message is None and rows[2].message == "File does not exist" and rows[4].message == "File does not exist"
-    assert rows[3].message == "Error: " + "x" * 40 and rows[3].status == "UNKNOWN"
+    assert rows[3].message == "Error: " + "x" * 40 and rows[3].status == "UNKNOWN" and rows[3].error == "x" * 60
     assert batch.batch_summary(batch.batch_status(manifest, results)).agg(F.sum("files")).first()[0] == 4

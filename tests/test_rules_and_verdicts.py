@@ -1,12 +1,14 @@
 import json
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from attestor.functions import json_fields
+from attestor.functions import json_fields, masking
 from attestor.functions import text as T
 from attestor.operators import redaction, rulebook, triage, verdict
 from attestor.plans.audit import audit_uploads
-from attestor.rule_catalogue import CATALOGUE, PREDICATES
+from attestor.rule_catalogue import CATALOGUE, LINEAR, PREDICATES
 from attestor.sources import catalogue
 
 
@@ -98,10 +100,48 @@ def test_catalogue_file_keeps_order_and_skips_other_keys(spark, tmp_path):
     by_id = {r.rule_id: r for r in found}
     assert by_id["Z-1"].category == "zeta" and by_id["Z-1"].found and by_id["Z-1"].error is None
     assert not by_id["nope"].found and by_id["nope"].error == "Rule not found"
-    # Rules without a predicate always pass, whatever their texts hold.
+    # A rule without a predicate is not evaluated, whatever its texts hold.
     checked = verdict.evaluations("text", "doc_type", verdict.catalogue_rows(catalogue.with_predicates(rules)))
     df = spark.createDataFrame([("x", "ZETA")], "text string, doc_type string")
-    assert [e.passed for e in df.select(checked.alias("e")).first().e] == [True]
+    assert [e.passed for e in df.select(checked.alias("e")).first().e] == [None]
+    judged = verdict.audit_verdict(df.select(checked.alias("e")), "e").first()
+    assert (judged.status, judged.compliance_score, judged.not_evaluated, judged.violations) == ("REVIEW_NEEDED", 100, ["Z-1"], [])
+
+
+def test_large_catalogue_in_both_forms(spark):
+    rows = [
+        (0, "general", i, f"R-{i}", "text", "LOW", "rule", f"(?i)word{i % 7}\\b" if i % 3 else None, r"bad" if i % 5 == 0 else None, 1 + i % 2)
+        for i in range(2000)
+    ]
+    schema = "category_no int, category string, seq int, id string, description string, severity string, regulation string, must string, must_not string, min_count int"
+    large = spark.createDataFrame(rows, schema)
+    docs = spark.createDataFrame([(1, "memo", "word1 word2 word2 bad"), (2, "memo", "Word3 WORD4 word5")], "doc_id int, doc_type string, scrubbed_text string")
+    one = verdict.evaluate_rules(docs, large).select("doc_id", "rule_id", "passed").collect()
+    other = verdict.evaluate_rules_by_join(docs, large).select("doc_id", "rule_id", "passed").collect()
+    key = lambda r: (r.doc_id, r.rule_id)
+    assert sorted(one, key=key) == sorted(other, key=key) and len(one) == 4000
+
+
+def test_linear_predicates_say_the_same(spark):
+    texts = [
+        "Valid from 2020\nvalid until 2021", "valid until x valid from", "valid from", "the entity\n\nAddress: 1", "address entity", "certifies that address",
+        "Total amount due: INR 5", "total amount due\nINR", "x total amount due y total amount due €", "fssai no. missing", "fssai\nmissing", "FSSAI fssai 1 MISSING",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for plain, linear in LINEAR.items():
+        rows = df.select(F.col("text").rlike(plain).alias("a"), F.col("text").rlike(linear).alias("b")).collect()
+        assert all(r.a == r.b for r in rows) and {r.a for r in rows} == {True, False}, plain
+
+
+def test_patterns_stay_linear_on_hostile_texts(spark):
+    hostile = ["valid from ", "entity ", "certifies that ", "total amount due ", "FSSAI ", "fssai1 ", "a" * 10, "1 ", "1234 ", "signed ", "invoice ", "HSN ", "_", " ", "scope of "]
+    df = spark.createDataFrame([(i,) for i in range(len(hostile))], "i int")
+    text = F.expr(f"repeat(element_at(array({', '.join(repr(h) for h in hostile)}), i + 1), cast(5000000 / length(element_at(array({', '.join(repr(h) for h in hostile)}), i + 1)) AS int))")
+    docs = df.select(F.lit("certificate").alias("doc_type"), F.explode(F.array(F.lit("certificate"), F.lit("invoice"))).alias("kind"), text.alias("text"))
+    checked = docs.select(verdict.evaluations("text", "kind", catalogue.builtin_rows()).alias("e"), masking.mask_all("text").alias("m"), T.strip(F.concat(F.col("text"), F.lit("x"))).alias("s"))
+    start = time.perf_counter()
+    assert checked.where(F.size("e") > 0).agg(F.sum(F.length("m") + F.length("s"))).first()[0] > 0
+    assert time.perf_counter() - start < 120
 
 
 def test_missing_catalogue_is_empty(spark, tmp_path):

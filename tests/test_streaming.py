@@ -1,7 +1,12 @@
 import datetime as dt
+import os
 
+from pyspark.sql import functions as F
+
+from attestor.operators import review
 from attestor.plans.audit import audit_uploads
 from attestor.plans.inputs import business_documents
+from attestor.session import staged
 from attestor.sources import catalogue
 from attestor.sources.ledger_store import read_ledger
 from attestor.streaming import approvals, arrivals
@@ -29,23 +34,42 @@ def test_stream_equals_batch_and_survives_repeats(spark, tmp_path):
     assert ids == list(range(1, got.where("route = 'auto'").count() + 1))
 
 
-def _streams(spark, tmp_path):
-    held = spark.createDataFrame([(f"s{i}", i, DAY) for i in range(5)], "session_id string, doc_id int, held_at timestamp")
-    decided = spark.createDataFrame(
-        [("s1", DAY), ("s1", DAY), ("s3", DAY), ("zz", DAY)], "session_id string, review_ts timestamp"
-    )
-    held.write.parquet(str(tmp_path / "held"))
-    decided.write.parquet(str(tmp_path / "decided"))
-    return (
-        arrivals.arrivals(spark, str(tmp_path / "held"), held.schema),
-        arrivals.arrivals(spark, str(tmp_path / "decided"), decided.schema),
-    )
+def _pending(spark, n):
+    docs = business_documents(spark, SF)
+    audited = audit_uploads(docs, catalogue.builtin_rows()).drop("received_at")
+    return staged(staged(audited, "all").where("route = 'pending'").limit(n), "pending")
 
 
-def test_each_session_is_approved_once(spark, tmp_path):
-    for name, delay in (("open", None), ("bounded", "30 days")):
-        held, decided = _streams(spark, tmp_path / name)
-        out = str(tmp_path / name / "out")
-        joined = approvals.continuous_approval(held, decided, delay)
-        approvals.write_approvals(joined, out, str(tmp_path / name / "checkpoint")).awaitTermination()
-        assert sorted(r.doc_id for r in spark.read.parquet(out).collect()) == [1, 3]
+def test_stream_of_reviews_equals_batch(spark, tmp_path):
+    pending = _pending(spark, 6)
+    ids = sorted(r.session_id for r in pending.collect())
+    rows = [
+        (ids[0], 3, 1, "COMPLIANT", "fine"), (ids[0], 1, 2, "NON_COMPLIANT", "first by time"), (ids[1], 2, 3, None, ""), ("nobody", 2, 4, None, "x"),
+        (ids[0], 5, 5, "COMPLIANT", "late"), (ids[2], 5, 6, "maybe", "bad"), (ids[3], 6, 7, "non_compliant", None),
+        (ids[2], 8, 8, "COMPLIANT", "too late"), (ids[4], 9, 9, None, "noted"), (ids[1], 9, 10, None, None),
+    ]
+    reviews = spark.createDataFrame(
+        [(s, DAY + dt.timedelta(days=d), n, o, t) for s, d, n, o, t in rows],
+        "session_id string, review_ts timestamp_ntz, review_no int, override_status string, reviewer_notes string",
+    )
+    landing = tmp_path / "reviews"
+    for part, (low, high) in enumerate(((1, 4), (5, 7), (8, 10))):  # three files, in order of time
+        reviews.where(F.col("review_no").between(low, high)).coalesce(1).write.mode("append").parquet(str(landing))
+        for file in landing.glob("part-*.parquet"):
+            if not file.name.startswith("part-9"):
+                os.utime(file.rename(landing / f"part-9{part}.parquet"), (part + 1, part + 1))
+    out = str(tmp_path / "out")
+    for _ in range(2):  # the second run finds nothing new
+        stream = arrivals.arrivals(spark, str(landing), reviews.schema, files_per_batch=1)
+        approvals.continuous_approval(stream, pending, out, str(tmp_path / "checkpoint")).awaitTermination()
+    approved, refused = review.apply_override(review.apply_reviews(pending, reviews))
+    columns = ("session_id", "status", "severity", "human_review", "timestamp")
+    got = spark.read.parquet(f"{out}/approved").select("batch_id", *columns)
+    assert got.select("batch_id").distinct().count() == 3
+    assert sorted(map(str, got.drop("batch_id").collect())) == sorted(map(str, review.approved_results(approved).select(*columns).collect()))
+    bad = spark.read.parquet(f"{out}/refused")
+    assert [(r.session_id, r.review_no) for r in bad.collect()] == [(r.session_id, r.review_no) for r in refused.collect()] == [(ids[2], 6)]
+    unknown = {r.review_no for r in spark.read.parquet(f"{out}/unknown").collect()}
+    assert unknown == {1, 4, 5, 8, 10}
+    ledger = read_ledger(spark, f"{out}/ledger").collect()
+    assert sorted(r.id for r in ledger) == [1, 2, 3, 4]
