@@ -13,6 +13,7 @@ prediction; repeated rows get equal results, ties go to the first language by na
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -60,35 +61,35 @@ def grams(word: str) -> list[str]:
 @dataclass
 class LanguageModel:
     names: list[str]
-    prior: np.ndarray
-    table: dict[str, np.ndarray]  # log-probabilities of n-grams, a value per language
-    missing: np.ndarray
+    table: dict[str, int]  # n-grams and their rows
+    logs: np.ndarray  # log-probabilities, a column per language; the last row is for unknown n-grams
     allowed: dict[str, np.ndarray]  # languages by script
     rows: dict[str, int] = field(default_factory=dict)
-    scores: list[np.ndarray] = field(default_factory=list)
-
-    def score(self, word: str) -> np.ndarray:
-        """Log-likelihoods per language, averaged over n-gram orders; -1e6 where the script rules
-        a language out (no language is ruled out if none uses the script)."""
-        total = self.prior * 0
-        get, missing = self.table.get, self.missing
-        for g in grams(word):
-            total = total + get(g, missing)
-        total = total / len(GRAMS)
-        fits = self.allowed.get(script(word))
-        return total if fits is None else np.where(fits, total, -1e6)
+    store: np.ndarray | None = None
+
+    def learn(self, words: list[str]) -> None:
+        """Log-likelihoods of words per language, averaged over n-gram orders; -1e6 where the script
+        rules a language out (no language is ruled out if none uses the script)."""
+        get, flat, starts = self.table.get, array("l"), []
+        for at, word in enumerate(words, start=len(self.rows)):
+            self.rows[word] = at
+            starts.append(len(flat))
+            flat.extend([get(g, -1) for g in grams(word)])
+        scores = np.add.reduceat(self.logs[np.array(flat)], starts, axis=0) / len(GRAMS)
+        every = np.ones(len(self.names), bool)
+        fits = np.array([self.allowed.get(script(word), every) for word in words])
+        self.store[len(self.rows) - len(words) : len(self.rows)] = np.where(fits, scores, -1e6)
 
     def matrix(self, words: list[str]) -> np.ndarray:
         """Scores of all words of a text, a row each, from a bounded cache."""
         unseen = set(words).difference(self.rows)
-        if len(self.rows) + len(unseen) > CACHED_WORDS:
+        if self.store is None or len(self.rows) + len(unseen) > len(self.store):
             self.rows.clear()
-            self.scores.clear()
             unseen = set(words)
-        for word in unseen:
-            self.rows[word] = len(self.scores)
-            self.scores.append(self.score(word))
-        return np.array([self.scores[i] for i in map(self.rows.__getitem__, words)])
+            self.store = np.empty((max(CACHED_WORDS, len(unseen)), len(self.names)))
+        if unseen:
+            self.learn(sorted(unseen))
+        return self.store[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -127,25 +128,29 @@ def fit(texts: list[str], langs: list[str]) -> LanguageModel | None:
     words = [Counter() for _ in names]
     for text, lang in zip(texts, langs):
         words[index[lang]].update(WORD.findall(text.lower()))
-    counts: dict[str, np.ndarray] = {}
+    table: dict[str, int] = {}
+    counts = [array("d") for _ in names]
     scripts: dict[str, np.ndarray] = {}
     for k, counter in enumerate(words):
         for word, n in counter.items():
-            for g in grams(word):
-                if g not in counts:
-                    counts[g] = np.zeros(len(names))
-                counts[g][k] += n
+            # Whole words seen once in a language say little and would be most of the table.
+            for g in grams(word) if n > 1 else grams(word)[:-1]:
+                at = table.setdefault(g, len(table))
+                if at == len(counts[0]):
+                    for column in counts:
+                        column.append(0.0)
+                counts[k][at] += n
             scripts.setdefault(script(word), np.zeros(len(names)))[k] += n
-    # Whole words seen once say little and are most of the table.
-    counts = {g: c for g, c in counts.items() if c.sum() > 1}
-    totals = sum(counts.values(), np.zeros(len(names))) + 0.5 * max(len(counts), 1)
-    table = {g: np.log((c + 0.5) / totals) for g, c in counts.items()}
+        counter.clear()
+    seen = np.array(counts, float).reshape(len(names), len(table)).T
+    seen = np.concatenate([seen, np.zeros((1, len(names)))])
+    logs = np.log((seen + 0.5) / (seen.sum(0) + 0.5 * len(seen)))
     per_script = sum(scripts.values(), np.zeros(len(names)))
     allowed = {}
     for name, c in scripts.items():
         fits = c >= SCRIPT_SHARE * np.maximum(per_script, 1)
         allowed[name] = fits if fits.any() else c > 0
-    return LanguageModel(names, np.zeros(len(names)), table, np.log(0.5 / totals), allowed)
+    return LanguageModel(names, table, logs, allowed)
 
 
 def label_spans(text: str, model: LanguageModel, penalty: float = SWITCH) -> tuple[list[tuple[int, int, str]], Counter]:
@@ -188,8 +193,10 @@ def train_language(docs: DataFrame, learn: Column, key: str = "doc_id", text: st
 def identify(docs: DataFrame, model: LanguageModel | None, key: str = "doc_id", text: str = "text", penalty: float = SWITCH) -> DataFrame:
     """Per document: key, lang_pred, score (share of words), n_spans."""
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
             found = [predict(t.as_py(), model, penalty) if model else (UNKNOWN, 0.0, 0) for t in batch.column(1)]
             langs, scores, spans = zip(*found) if found else ((),) * 3

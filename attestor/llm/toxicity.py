@@ -15,9 +15,11 @@ rows get equal scores. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -78,9 +80,9 @@ class ToxicModel:
         return value
 
     def logits(self, text: str) -> np.ndarray:
-        """Logits of all sentences."""
+        """Logits of all sentences that have a word."""
         weigh, bias = self.weigh, self.bias
-        return np.array([bias + sum(map(weigh, words)) for words in sentence_words(text)])
+        return np.array([bias + sum(map(weigh, words)) for words in sentence_words(text) if words])
 
     def offending(self, text: str) -> tuple[int, int] | None:
         """Start and end of the sentence with the highest logit, the first of equals."""
@@ -101,23 +103,28 @@ def fit(texts: list[str], labels: list[int], rounds: int = 150, rate: float = 20
     if not len(y) or y.all() or not y.any():
         return ToxicModel(-30.0, {})
     words: dict[str, int] = {}
-    cells, owners, spread = [], [], Counter()
+    # Plain number arrays: a list of pairs would be many times the sample.
+    cell_sentence, cell_word, owners, spread = array("l"), array("l"), array("l"), Counter()
     sentences = 0
     for d, i in enumerate(order):
         seen: set[str] = set()
         for part in sentence_words(texts[i]):
             if part:
-                cells += [(sentences, words.setdefault(w, len(words))) for w in sorted(part)]
+                cell_word.extend(words.setdefault(w, len(words)) for w in sorted(part))
+                cell_sentence.extend(repeat(sentences, len(part)))
                 owners.append(d)
                 seen |= part
                 sentences += 1
         spread.update({f for w in seen for f in features(w)})
     names = [f for f, n in spread.items() if n >= least_docs]
     at = {f: k for k, f in enumerate(sorted(names))}
-    pairs = [(w, at[f]) for word, w in words.items() for f in features(word) if f in at]
-    pair_word, pair_feature = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
-    sentence, word = (np.array(x, np.int64) for x in zip(*cells))
-    owner = np.array(owners)
+    word_of, feature_of = array("l"), array("l")
+    for name, w in words.items():
+        own = [at[f] for f in features(name) if f in at]
+        feature_of.extend(own)
+        word_of.extend(repeat(w, len(own)))
+    pair_word, pair_feature = np.array(word_of, np.int64), np.array(feature_of, np.int64)
+    sentence, word, owner = (np.array(x, np.int64) for x in (cell_sentence, cell_word, owners))
     w, bias = np.zeros(len(at)), -8.0
     past_w, past_b = np.full(len(at), 1e-8), 1e-8
     weight_of = np.where(y, (~y).sum() / max(y.sum(), 1), 1.0) ** 0.5
