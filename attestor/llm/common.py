@@ -44,6 +44,26 @@ def by_size(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
+def bounded_batches(spark: SparkSession, records: int = 1000) -> None:
+    """Hand Python tasks smaller batches: texts and sets are wide rows, and a batch is held at once.
+
+    Sets the session's batch size unless the user has set one.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) in (None, "10000"):
+        spark.conf.set(name, records)
+
+
+def hashed_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
+    """About ``bound`` rows, those of the lowest hashes of their key; all rows if there are no more.
+
+    A threshold on the hash is a filter: no sort, and nothing is sent to the driver but a count.
+    """
+    n = rows.count()
+    share = int(min(1.0, bound / max(n, 1)) * 2**32)
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(2**32)) < share) if n > bound else rows
+
+
 def whole_text(text: Column | str) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(column(text).cast("string"), F.lit(""))

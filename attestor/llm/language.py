@@ -4,7 +4,7 @@ Each word's script (a range of code points) narrows its candidate languages to t
 script. Every candidate scores the word by its letter n-grams; a Viterbi pass over the words, with
 a penalty for switching, labels spans. The document's language is the one with most words.
 
-Fitting takes at most ``FIT_DOCS`` labelled documents, chosen by a hash of their key, of at most
+Fitting takes about ``FIT_DOCS`` labelled documents at most, chosen by a hash of their key, of at most
 ``FIT_CHARS`` characters; every whole text is predicted. A text without letters, or null, is
 ``und`` with score 0, and so is every text if nothing could be learned. Only texts are inputs of a
 prediction; repeated rows get equal results, ties go to the first language by name.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import whole_text
+from attestor.llm.common import bounded_batches, hashed_sample, whole_text
 
 FIT_DOCS = 6_000
 FIT_CHARS = 200_000
@@ -184,15 +184,15 @@ def predict(text: str, model: LanguageModel, penalty: float = SWITCH) -> tuple[s
 def train_language(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> LanguageModel | None:
     """Fit on documents with a language for which ``learn`` holds."""
     usable = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull()).where(learn)
-    known = usable.select(F.col(key).alias("key"), F.col(lang).alias("lang"), whole_text(text).alias("text")).where(F.length("text") <= fit_chars)
-    chosen = known.select("key", "lang").orderBy(F.xxhash64("key"), "key", "lang").limit(fit_docs).distinct()
-    sample = known.join(F.broadcast(chosen), ["key", "lang"]).select("text", "lang").toArrow()
+    known = usable.select(F.col(key).alias("key"), F.col(lang).alias("lang"), whole_text(text).alias("text"))
+    sample = hashed_sample(known, "key", fit_docs).where(F.length("text") <= fit_chars).select("text", "lang").toArrow()
     return fit(sample.column("text").to_pylist(), sample.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, key: str = "doc_id", text: str = "text", penalty: float = SWITCH) -> DataFrame:
     """Per document: key, lang_pred, score (share of words), n_spans."""
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ toxic unless all its sentences are harmless (noisy-or): ``P = 1 - prod(1 - p)``.
 document labels only and finds out by itself which sentences explain them; afterwards the sentence
 scores locate offending sentences.
 
-Fitting takes at most ``FIT_DOCS`` labelled documents, chosen by a hash of their key, of at most
+Fitting takes about ``FIT_DOCS`` labelled documents at most, chosen by a hash of their key, of at most
 ``FIT_CHARS`` characters; every whole text is scored. A null or empty text has no sentence and
 score 0. Without labels of both kinds every score is 0. Only texts are inputs of a score; repeated
 rows get equal scores. Other columns are ignored.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import whole_text
+from attestor.llm.common import bounded_batches, hashed_sample, whole_text
 
 FIT_DOCS = 6_000
 FIT_CHARS = 200_000
@@ -156,7 +156,7 @@ def train_toxic(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "d
     """Fit on labelled documents for which ``learn`` (over the key column ``key``) holds."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).where(learn)
     known = known.groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    known = known.orderBy(F.xxhash64("key"), "key").limit(fit_docs)
+    known = hashed_sample(known, "key", fit_docs)
     texts = docs.select(F.col(key).alias("key"), whole_text(text).alias("text")).where(F.length("text") <= fit_chars)
     sample = texts.join(F.broadcast(known), "key").select("text", "y").toArrow()
     return fit(sample.column("text").to_pylist(), sample.column("y").to_pylist())
@@ -169,6 +169,7 @@ def score_texts(docs: DataFrame, model: ToxicModel, key: str = "doc_id", text: s
     code points, end exclusive (null if none offends; the first of equals).
     """
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
+    bounded_batches(docs.sparkSession)
     limit = float(np.log(threshold / (1 - threshold)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import Workspace, whole_text
+from attestor.llm.common import Workspace, bounded_batches, whole_text
 
 LEAST_BYTES = 1000
 CRLF = "\r\n"
@@ -204,6 +204,7 @@ def read_records(spark: SparkSession, out: str, per_task: int = 4000) -> DataFra
 
     A response's payload must have the digest its header names; a revisit has none.
     """
+    bounded_batches(spark)
     index = spark.read.schema(INDEX).parquet(f"{out}/index")
     # Neighbouring members go to one task in order: blocks of an archive, dealt evenly.
     tasks = max(1, index.count() // per_task)
