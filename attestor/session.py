@@ -13,6 +13,8 @@ BROADCAST_MAX_ROWS = 20_000
 BROADCAST_MAX_CHARS = 16_000_000
 
 _local_scratch: dict[str, str] = {}
+# Scratch paths handed out, by application: the session owns them until ``drop_scratch``.
+_handed_out: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "attestor", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,7 +57,17 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the scratch folder, never used before."""
-    return f"{scratch_dir(spark)}/attestor/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/attestor/{label}-{uuid.uuid4().hex}"
+    _handed_out.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove every scratch table of this session; call it once their results have been used."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _handed_out.pop(spark.sparkContext.applicationId, []):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

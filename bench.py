@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from attestor.plans import queries as registry
-from attestor.session import build_session
+from attestor.session import build_session, drop_scratch
 
 HEADLINE = (
     "full_audit", "mask_all", "mask_reports", "redaction_profile", "gate_reasons",
@@ -29,6 +30,7 @@ def main() -> None:
             "spark.sql.shuffle.partitions": str(max(8, int(cpus))),
             "spark.driver.memory": "12g",
             "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="attestor-bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -40,6 +42,7 @@ def main() -> None:
         start = time.perf_counter()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        drop_scratch(spark)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
     line = {
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",

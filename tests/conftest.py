@@ -5,22 +5,24 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from attestor.session import build_session  # noqa: E402
+from attestor.session import build_session, drop_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "attestor-tests",
         "local[8]",
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
             "spark.driver.memory": "8g",
         },
     )
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    drop_scratch(session)
 
 
 @pytest.fixture
