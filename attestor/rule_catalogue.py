@@ -44,7 +44,8 @@ CATALOGUE = {
 # instead of once per first match. Same outcome as the plain form.
 LINEAR = {
     r"(?i)total amount due[^\n]*(INR|Rs|₹|USD|\$|EUR)": r"(?dim)^(?>[^\n]*?total amount due)[^\n]*(?:INR|Rs|₹|USD|\$|EUR)",
-    r"(?i)fssai[^\n]*missing": r"(?dim)^(?>[^\n]*?fssai)[^\n]*missing",
+    r"(?i)fssai[^\n]*number is missing": r"(?dim)^(?>[^\n]*?fssai)[^\n]*number is missing",
+    r"(?i)signed by[^\n]*(_{4,}|\(blank\))": r"(?dim)^(?>[^\n]*?signed by)[^\n]*(?:_{4,}|\(blank\))",
     r"(?is)valid from.*valid (until|to)": r"(?is)\A(?>.*?valid from).*valid (?:until|to)",
     r"(?is)(entity|certif(y|ies) that).*address": r"(?is)\A(?>.*?(?:entity|certif(?:y|ies) that)).*address",
 }
@@ -61,15 +62,15 @@ PREDICATES = {
     "INV-03": (r"(?i)invoice\s*(no|number|#)\W*\w+", None, 1),
     "INV-04": (r"(?i)\b(HSN|SAC)\b[^\n]{0,12}?\d{4,8}", None, 1),
     "INV-05": (r"\[REDACTED_(GSTIN|PAN)\]", None, 2),
-    "CERT-01": (r"(?i)FSSAI[^\n]{0,40}\d", r"(?i)fssai[^\n]*missing", 1),
+    "CERT-01": (r"(?i)FSSAI[^\n]{0,40}\d", r"(?i)fssai[^\n]*number is missing", 1),
     "CERT-02": (r"(?is)valid from.*valid (until|to)", None, 1),
-    "CERT-03": (r"(?i)\b(signed|stamped|signatory|signature|authorized officer)\b", r"(?i)no authorized", 1),
+    "CERT-03": (r"(?i)\b(signed|stamped|signatory|signature|authorized officer)\b", r"(?i)no authorized sign", 1),
     "CERT-04": (r"(?is)(entity|certif(y|ies) that).*address", None, 1),
-    "CON-01": (r"(?i)signed by", r"(?i)_{4,}|\(blank\)", 1),
-    "CON-02": (r"(?i)effective date|expiry date|duration|term of", r"(?i)no effective", 1),
-    "CON-03": (r"(?i)dispute|jurisdiction|arbitration", r"(?i)lacks a dispute", 1),
+    "CON-01": (r"(?i)signed by", r"(?i)signed by[^\n]*(_{4,}|\(blank\))", 1),
+    "CON-02": (r"(?i)effective date|expiry date|duration|term of", r"(?i)no effective (or expiry )?date", 1),
+    "CON-03": (r"(?i)dispute|jurisdiction|arbitration", r"(?i)lacks a (dispute|jurisdiction)", 1),
     "CON-04": (r"(?i)scope|deliverable", None, 1),
     "REP-01": (r"(?i)reporting period\s*:", None, 1),
-    "REP-02": (r"(?i)\b(signed|approved|signature)\b", r"(?i)no authorized", 1),
+    "REP-02": (r"(?i)\b(signed|approved|signature)\b", r"(?i)no authorized sign", 1),
     "REP-03": (r"(?i)Ind AS|Indian Accounting Standards|GAAP", None, 1),
 }

@@ -125,7 +125,8 @@ def test_large_catalogue_in_both_forms(spark):
 def test_linear_predicates_say_the_same(spark):
     texts = [
         "Valid from 2020\nvalid until 2021", "valid until x valid from", "valid from", "the entity\n\nAddress: 1", "address entity", "certifies that address",
-        "Total amount due: INR 5", "total amount due\nINR", "x total amount due y total amount due €", "fssai no. missing", "fssai\nmissing", "FSSAI fssai 1 MISSING",
+        "Total amount due: INR 5", "total amount due\nINR", "x total amount due y total amount due €", "fssai number is missing", "fssai\nnumber is missing", "FSSAI fssai 1 NUMBER IS MISSING",
+        "Signed by A: ____", "signed by A\n____", "(blank) signed by", "signed by signed by (Blank)",
     ]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     for plain, linear in LINEAR.items():
