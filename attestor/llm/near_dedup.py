@@ -3,9 +3,11 @@
 A document's set holds its distinct shingles of ``width`` words (a text with fewer words is one
 shingle; no words, no set). Shingles are 64-bit hashes, sets are told apart by 128-bit digests.
 
-1. Every document gets a signature of ``COORDS`` minima; equal sets share one node.
+1. Every document gets a signature of ``COORDS`` coordinates, each of ``MINIMA`` minima at once, so
+   that two documents agree in one with their similarity to that power: documents that only share
+   common phrases hardly ever do. Equal sets share one node.
 2. Nodes are posted under (coordinate, value) tokens. Two nodes at the threshold agree in at least
-   ``match_floor`` coordinates (14 of 32 at 0.8) but with probability ``MISS``, so it suffices to
+   ``match_floor`` coordinates (7 of 32 at 0.8) but with probability ``MISS``, so it suffices to
    post each node under its ``COORDS - match_floor + 1`` rarest tokens (prefix merging); tokens
    that only one node has fill up the prefix but are not posted. Unrelated documents rarely meet.
 3. Pairs come from short lists; a long list offers each member only its most central member.
@@ -33,23 +35,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import Workspace, by_size, text_bytes
+from attestor.llm.common import Workspace, bounded_batches, by_size, text_bytes
 
 WIDTH, PERCENT = 5, 80
-COORDS = 32
+COORDS, MINIMA = 32, 2
 MISS = 1e-6
 SHORT_LIST = 16
 BLOCK = 512
 CACHED_WORDS = 400_000
 
 _seeds = np.random.default_rng(20_240_229)
-_FACTORS = _seeds.integers(0, 2**63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _seeds.integers(0, 2**63, COORDS, dtype=np.uint64)
+_FACTORS = _seeds.integers(0, 2**63, (COORDS, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _seeds.integers(0, 2**63, (COORDS, MINIMA), dtype=np.uint64)
 
 
 def match_floor(percent: int) -> int:
     """Most coordinates that a pair at the threshold reaches but with probability ``MISS``."""
-    p, below, least = percent / 100, 0.0, 0
+    p, below, least = (percent / 100) ** MINIMA, 0.0, 0
     while least < COORDS - 1:
         below += comb(COORDS, least) * p**least * (1 - p) ** (COORDS - least)
         if below > MISS:
@@ -85,7 +87,11 @@ def shingle_set(data: bytes, width: int, hashes: WordHashes) -> np.ndarray:
 
 
 def signature(members: np.ndarray) -> np.ndarray:
-    return np.array([(members * a + b).min() for a, b in zip(_FACTORS, _SHIFTS)], np.uint64)
+    out = np.zeros(COORDS, np.uint64)
+    for m in range(MINIMA):
+        lowest = np.array([(members * a + b).min() for a, b in zip(_FACTORS[:, m], _SHIFTS[:, m])], np.uint64)
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + lowest
+    return out
 
 
 def set_digest(members: np.ndarray) -> bytes:
@@ -125,9 +131,10 @@ def post(nodes: DataFrame, percent: int) -> DataFrame:
     return posted.select(F.col("t.tok").alias("tok"), "node", "pop")
 
 
-def agreeing_pairs(postings: DataFrame, lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def agreeing_pairs(postings: DataFrame, lists: DataFrame, nodes: DataFrame, percent: int, space: Workspace) -> DataFrame:
     """Pairs of short lists and (member, centre) pairs of long ones whose signatures agree."""
-    short = postings.join(lists.where(F.col("n") <= SHORT_LIST).select("tok"), "tok").select("tok", "node")
+    # Staged, because inner joins may be reordered: postings must never meet postings in long lists.
+    short = space.put("short", postings.join(lists.where(F.col("n") <= SHORT_LIST).select("tok"), "tok").select("tok", "node"))
     other = short.select("tok", F.col("node").alias("b"))
     close = short.join(other, "tok").where(F.col("node") < F.col("b")).select(F.col("node").alias("a"), "b")
     spokes = postings.join(lists.where(F.col("n") > SHORT_LIST).select("tok", "centre"), "tok").where("node != centre")
@@ -280,6 +287,9 @@ def remaining_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row: key, n_shingles, component_id (smallest key of its component), kept."""
+    if (1 - (percent / 100) ** MINIMA) ** COORDS > MISS:
+        raise ValueError(f"{COORDS} coordinates of {MINIMA} minima would miss pairs at {percent} %")
+    bounded_batches(docs.sparkSession)
     space = Workspace(docs.sparkSession, "near")
     signed = space.put("signed", sign(docs, key, text, width))
     nodes = signed.where("node is not null").groupBy("node").agg(
@@ -289,7 +299,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     postings = space.put("postings", post(nodes, percent))
     lists = postings.groupBy("tok").agg(F.count("*").alias("n"), F.max(F.struct("pop", "node"))["node"].alias("centre")).where("n > 1")
     lists = space.put("lists", lists)
-    pairs = space.put("pairs", agreeing_pairs(postings, lists, nodes, percent))
+    pairs = space.put("pairs", agreeing_pairs(postings, lists, nodes, percent, space))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = space.put("wanted", wanted.join(nodes.select("node", "label"), "node"))
     sets = space.put("sets", fetch_sets(docs, wanted, key, text, width))
