@@ -229,7 +229,10 @@ def _block_links(percent: int):
         if len(left) and len(right):
             rows = [np.frombuffer(m, np.uint64) for m in left["members"]]
             others = [np.frombuffer(m, np.uint64) for m in right["members_r"]]
-            vocabulary = np.intersect1d(np.concatenate(rows), np.concatenate(others))
+            # Only shingles of at least two different sets can meet; most of a copy's changes are its own.
+            different = dict(zip([*left["node"], *right["node_r"]], [*rows, *others]))
+            every, counts = np.unique(np.concatenate(list(different.values())), return_counts=True)
+            vocabulary = every[counts > 1]
             shared = np.zeros((len(rows), len(others)), np.float32)
             for start in range(0, len(vocabulary), 4096):
                 part = vocabulary[start : start + 4096]
