@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestor.llm.common import text_bytes
+from attestor.llm.common import bounded_batches, hashed_sample, text_bytes
 
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -201,13 +201,14 @@ def _statistics_batches(batches):
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> Forest:
-    """Fit on at most ``fit_rows`` labelled documents, chosen by a hash of their key.
+    """Fit on about ``fit_rows`` labelled documents at most, chosen by a hash of their key.
 
     The tasks compute the statistics; the driver collects those few numbers per document.
     """
+    bounded_batches(docs.sparkSession)
     named = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("y"))
     known = named.groupBy("key").agg(F.max("y").alias("y"))
-    known = known.orderBy(F.xxhash64("key"), "key").limit(fit_rows)
+    known = hashed_sample(known, "key", fit_rows)
     texts = docs.select(text_bytes(text).alias("text"), F.col(key).alias("key")).join(F.broadcast(known), "key").select("text", "y")
     schema = "y int, base array<bigint>, x array<double>"
     sample = texts.mapInArrow(_statistics_batches, schema).select("y", "x").toArrow()
