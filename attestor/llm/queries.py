@@ -46,6 +46,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"), allowed=secrets.COVERING)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality.train_quality(docs, table(spark, sf_dir, "labels"))
@@ -91,6 +95,7 @@ def queries() -> dict[str, Query]:
         "op2_toxicity": op2_toxicity,
         "op3_url_filters": op3_url_filters,
         "op4_secrets": op4_secrets,
+        "op4_secrets_covering": op4_secrets_covering,
         "op5_quality_rules": op5_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_mixing": op7_mixing,
@@ -105,5 +110,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc": OP1_SQL,
         "op3_url_filters": url_filters.FILTER_SQL,
         "op4_secrets": secrets.report_sql(),
+        "op4_secrets_covering": secrets.report_sql(allowed=secrets.COVERING),
         "op6_exact_dedup": OP6_SQL,
     }

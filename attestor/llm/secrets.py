@@ -9,7 +9,8 @@ maximal runs of a character class as candidates and slide a window over them; th
 ``c * log2 c`` over its character counts ``c`` is kept up by the counts of the one character that
 leaves and the one that enters, in fixed-point integers. A run is reported from its first to its
 last window of high entropy, unless an allow-list pattern matches it or it overlaps a span of
-an earlier kind.
+an earlier kind. ``ALLOWED`` matches anywhere in a run and so also passes over tokens in paths and
+long keys with slashes or dashes; ``COVERING`` has to match the whole run and loses none of them.
 
 A null text counts as empty; texts without spans have empty lists. Repeated rows are scanned one
 by one; other columns are ignored.
@@ -62,6 +63,15 @@ ALLOWED = (
     r"(?i)example|sample|placeholder|changeme|dummy",
     r"/[^/]*/[^/]*/|--",
 )
+# The same, but only where the pattern covers the whole run, so that nothing random is left beside
+# it: a mark counts within its own short segment, a path if all its parts are words or numbers.
+# Alternatives exclude each other and repetitions are bounded: no backtracking, no deep recursion.
+_WORD = "(?:[a-z]+(?:[A-Z][a-z]{2,}){0,8}|(?:[A-Z][a-z]{2,}){1,8}|[A-Z]+|[A-Z][a-z])?[0-9]{0,4}"
+COVERING = (
+    ALLOWED[0],
+    r"(?i)^/?[^/]{0,64}(?:abcdefghij|0123456789|9876543210|qwertyuiop|example|sample|placeholder|changeme|dummy)[^/]{0,64}/?$",
+    f"^[/_+-]*{_WORD}(?:[/_+-]+{_WORD}){{0,60}}[/_+-]*$",
+)
 
 
 def mass(count: int) -> int:
@@ -209,9 +219,9 @@ def joined(spans: Column, classes: tuple[EntropyClass, ...] = CLASSES) -> Column
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """Per document: key, n_assign, n_access, n_hex, base_sha256, spans."""
-    found_spans = scan(docs, key, text)
+    found_spans = scan(docs, key, text, allowed=allowed)
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found_spans.select(
         key, *[number(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)],
@@ -224,7 +234,7 @@ def _sql_quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def report_sql(table: str = "documents") -> str:
+def report_sql(table: str = "documents", allowed: tuple[str, ...] = ALLOWED) -> str:
     """DuckDB SQL for ``report``: windows are compared one by one, not incrementally."""
     patterns = [ASSIGN, ACCESS, "[0-9a-f]{16,}", *(f"[{c.letters}]{{{c.least},}}" for c in CLASSES)]
     kinds = [*KINDS, *(c.kind for c in CLASSES)]
@@ -233,7 +243,7 @@ def report_sql(table: str = "documents") -> str:
         for k, p in enumerate(patterns)
     )
     passed = " OR ".join(
-        f"(kind = {3 + i} AND " + " AND ".join([f"regexp_matches(s, {_sql_quote(n)})" for n in c.needs] + [f"NOT regexp_matches(s, {_sql_quote(a)})" for a in ALLOWED]) + ")"
+        f"(kind = {3 + i} AND " + " AND ".join([f"regexp_matches(s, {_sql_quote(n)})" for n in c.needs] + [f"NOT regexp_matches(s, {_sql_quote(a)})" for a in allowed]) + ")"
         for i, c in enumerate(CLASSES)
     )
     width = "CASE kind " + " ".join(f"WHEN {3 + i} THEN {c.window}" for i, c in enumerate(CLASSES)) + " END"
