@@ -2,12 +2,16 @@
 
 A sentence's score is logistic in the weights of its distinct words; a word's weight is the sum of
 the weights of itself and its beginnings, so that unseen forms of a known stem count. A document is
-toxic unless all its sentences are harmless (noisy-or): ``P = 1 - prod(1 - p)``. Training sees
+toxic unless all its sentences are harmless (noisy-or): ``P = 1 - prod(1 - p)``. In a document of
+more than ``LONG`` sentences those below 0.5 count as if ``LONG`` of them stood for all, in the fit
+and in scores: the chance that a document holds something by accident must not grow with its
+length. A sentence of 0.5 or more counts in full, however long the document. Training sees
 document labels only and finds out by itself which sentences explain them; afterwards the sentence
 scores locate offending sentences.
 
-Fitting takes about ``FIT_DOCS`` labelled documents at most, chosen by a hash of their key, of at most
-``FIT_CHARS`` characters; every whole text is scored. A null or empty text has no sentence and
+Fitting takes about ``FIT_DOCS`` labelled documents at most, and fewer if they would have more than
+about ``FIT_CHARS`` characters together, chosen by hashes of their key whatever their lengths;
+every whole text is fitted and scored. A null or empty text has no sentence and
 score 0. Without labels of both kinds every score is 0. Only texts are inputs of a score; repeated
 rows get equal scores. Other columns are ignored.
 """
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 from attestor.llm.common import bounded_batches, hashed_sample, whole_text
 
 FIT_DOCS = 6_000
-FIT_CHARS = 200_000
+FIT_CHARS = 25_000_000
+LONG = 64
 STEMS = (4, 5, 6)
 CACHED_WORDS = 400_000
 
@@ -91,9 +96,14 @@ class ToxicModel:
         return max(zip(logits, spans), key=lambda x: x[0])[1] if spans else None
 
 
+def shifted(logits: np.ndarray, sentences: np.ndarray | int) -> np.ndarray:
+    """Logits in a document of so many sentences: less the log of its length in ``LONG`` below 0."""
+    return logits - np.where(logits < 0, np.log(np.maximum(np.asarray(sentences) / LONG, 1.0)), 0.0)
+
+
 def noisy_or(logits: np.ndarray) -> float:
-    """``1 - prod(1 - sigmoid(z))``."""
-    return float(-np.expm1(-np.logaddexp(0.0, logits).sum())) if len(logits) else 0.0
+    """``1 - prod(1 - sigmoid(z))`` over a document's sentences, corrected for its length."""
+    return float(-np.expm1(-np.logaddexp(0.0, shifted(logits, len(logits))).sum())) if len(logits) else 0.0
 
 
 def fit(texts: list[str], labels: list[int], rounds: int = 150, rate: float = 20.0, decay: float = 2e-4, least_docs: int = 3) -> ToxicModel:
@@ -125,12 +135,13 @@ def fit(texts: list[str], labels: list[int], rounds: int = 150, rate: float = 20
         word_of.extend(repeat(w, len(own)))
     pair_word, pair_feature = np.array(word_of, np.int64), np.array(feature_of, np.int64)
     sentence, word, owner = (np.array(x, np.int64) for x in (cell_sentence, cell_word, owners))
+    lengths = np.bincount(owner, minlength=len(y))[owner]
     w, bias = np.zeros(len(at)), -8.0
     past_w, past_b = np.full(len(at), 1e-8), 1e-8
     weight_of = np.where(y, (~y).sum() / max(y.sum(), 1), 1.0) ** 0.5
     for _ in range(rounds):
         per_word = np.bincount(pair_word, w[pair_feature], len(words))
-        z = bias + np.bincount(sentence, per_word[word], sentences)
+        z = shifted(bias + np.bincount(sentence, per_word[word], sentences), lengths)
         total = np.bincount(owner, np.logaddexp(0, z), len(y)) + 1e-12
         slope = np.where(y, -1.0 / np.expm1(np.minimum(total, 500.0)), 1.0) * weight_of / len(y)
         dz = slope[owner] / (1 + np.exp(-z))
@@ -157,7 +168,11 @@ def train_toxic(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "d
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).where(learn)
     known = known.groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("y"))
     known = hashed_sample(known, "key", fit_docs)
-    texts = docs.select(F.col(key).alias("key"), whole_text(text).alias("text")).where(F.length("text") <= fit_chars)
+    texts = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
+    chars = texts.join(F.broadcast(known), "key").agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    if chars > fit_chars:
+        # A second hash, independent of the first and of lengths, thins the sample out.
+        known = known.where(F.pmod(F.xxhash64("key", F.lit("chars")), F.lit(2**32)) < int(fit_chars / chars * 2**32))
     sample = texts.join(F.broadcast(known), "key").select("text", "y").toArrow()
     return fit(sample.column("text").to_pylist(), sample.column("y").to_pylist())
 

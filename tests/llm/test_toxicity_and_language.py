@@ -36,6 +36,35 @@ def test_document_labels_find_the_sentence():
     assert again.bias == model.bias and again.weights == model.weights
 
 
+def _plain(rng, sentences):
+    words = np.array([f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(50)])
+    return ". ".join(map(" ".join, words[rng.integers(0, 50, (sentences, 6))])) + ". "
+
+
+def test_length_alone_is_not_toxic():
+    rng = np.random.default_rng(5)
+    bad = "you are a vilest thing today. "
+    texts = [_plain(rng, 5) + bad * (i % 3 == 0) for i in range(150)]
+    model = toxicity.fit(texts, [int(i % 3 == 0) for i in range(150)])
+    clean = _plain(rng, 120_000)
+    assert len(clean) > 5_000_000 and toxicity.noisy_or(model.logits(clean)) < 0.2
+    assert toxicity.noisy_or(np.full(10**6, -6.0)) < 0.2
+    # One offending sentence is found in a text of any length.
+    assert toxicity.noisy_or(model.logits(clean + bad)) >= 0.5
+
+
+def test_long_documents_take_part_in_the_fit(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, _plain(rng, 5_000) + "you are a vilest thing today. " * (i % 2), i % 2) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    assert min(len(r[1]) for r in rows) > 200_000
+    model = toxicity.train_toxic(docs, docs.select("doc_id", "toxic"), F.lit(True))
+    assert model.weights.get("vilest", 0) > 0
+    # Too many characters thin the sample out, by the key alone.
+    lone = toxicity.train_toxic(docs, docs.select("doc_id", "toxic"), F.lit(True), fit_chars=1)
+    assert lone.weights == {}
+
+
 def test_short_sentences_are_joined():
     text = "NO!! STOP!! GO ON!! NOW PLEASE.\nA longer one stands here. End"
     spans = toxicity.sentence_spans(text)
