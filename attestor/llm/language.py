@@ -153,29 +153,47 @@ def fit(texts: list[str], langs: list[str]) -> LanguageModel | None:
     return LanguageModel(names, table, logs, allowed)
 
 
+def original_positions(text: str, low: str) -> np.ndarray | None:
+    """Positions in the text of those in its lower-cased form; null if they are the same."""
+    if len(low) == len(text):
+        return None
+    widths = np.fromiter((len(c.lower()) for c in text), np.int64, len(text))
+    return np.append(np.repeat(np.arange(len(text)), widths), len(text))
+
+
 def label_spans(text: str, model: LanguageModel, penalty: float = SWITCH) -> tuple[list[tuple[int, int, str]], Counter]:
-    """Spans (start, end, language) by code points of the lower-cased text, and words per language."""
-    matches = list(WORD.finditer(text.lower()))
-    if not matches:
+    """Spans (start, end, language) by code points of the text, and words per language; one Viterbi pass."""
+    low = text.lower()
+    words = WORD.findall(low)
+    if not words:
         return [], Counter()
-    labels = viterbi(model.matrix([m[0] for m in matches]), penalty)
-    spans, first = [], 0
-    for i in range(1, len(labels) + 1):
-        if i == len(labels) or labels[i] != labels[first]:
-            spans.append((matches[first].start(), matches[i - 1].end(), model.names[labels[first]]))
-            first = i
-    return spans, Counter(model.names[k] for k in labels)
+    labels = viterbi(model.matrix(words), penalty)
+    firsts = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist()]
+    if len(firsts) == 1:
+        # The last word is the last run of letters, so nothing equal to it lies further right.
+        edges = [(WORD.search(low).start(), low.rindex(words[-1]) + len(words[-1]))]
+    else:
+        at = [m.span() for m in WORD.finditer(low)]
+        edges = [(at[a][0], at[b - 1][1]) for a, b in zip(firsts, [*firsts[1:], len(words)])]
+    back = original_positions(text, low)
+    if back is not None:
+        edges = [(int(back[a]), int(back[b - 1]) + 1) for a, b in edges]
+    counts = np.bincount(labels, minlength=len(model.names))
+    return [(a, b, model.names[labels[i]]) for (a, b), i in zip(edges, firsts)], Counter({model.names[k]: int(n) for k, n in enumerate(counts) if n})
+
+
+def main_language(counts: Counter) -> tuple[str, float]:
+    """Language with most words, the first of equals by name, and its share of words."""
+    if not counts:
+        return UNKNOWN, 0.0
+    best = min(counts, key=lambda name: (-counts[name], name))
+    return best, counts[best] / counts.total()
 
 
 def predict(text: str, model: LanguageModel, penalty: float = SWITCH) -> tuple[str, float, int]:
     """Language with most words, its share of words, and the number of spans."""
-    words = WORD.findall(text.lower())
-    if not words:
-        return UNKNOWN, 0.0, 0
-    labels = viterbi(model.matrix(words), penalty)
-    counts = np.bincount(labels, minlength=len(model.names))
-    best = int(counts.argmax())
-    return model.names[best], float(counts[best] / len(labels)), 1 + int((labels[1:] != labels[:-1]).sum())
+    spans, counts = label_spans(text, model, penalty)
+    return *main_language(counts), len(spans)
 
 
 # --- Spark side --------------------------------------------------------------------------
@@ -190,7 +208,11 @@ def train_language(docs: DataFrame, learn: Column, key: str = "doc_id", text: st
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, key: str = "doc_id", text: str = "text", penalty: float = SWITCH) -> DataFrame:
-    """Per document: key, lang_pred, score (share of words), n_spans."""
+    """Per document: key, lang_pred, score (share of words), n_spans, spans.
+
+    Spans are (start, end, lang) in order, by code points of the text, end exclusive: from the
+    first to the last of neighbouring words that have the same label.
+    """
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -198,12 +220,20 @@ def identify(docs: DataFrame, model: LanguageModel | None, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [predict(t.as_py(), model, penalty) if model else (UNKNOWN, 0.0, 0) for t in batch.column(1)]
-            langs, scores, spans = zip(*found) if found else ((),) * 3
+            found = [label_spans(t.as_py(), model, penalty) if model else ([], Counter()) for t in batch.column(1)]
+            langs, scores = zip(*[main_language(counts) for _, counts in found]) if found else ((),) * 2
+            flat = [span for spans, _ in found for span in spans]
+            starts, ends, names = zip(*flat) if flat else ((),) * 3
+            struct = pa.StructArray.from_arrays(
+                [pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(names, pa.string())], ["start", "end", "lang"]
+            )
+            offsets = np.cumsum([0, *(len(spans) for spans, _ in found)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, pa.int64())],
-                ["key", "lang_pred", "score", "n_spans"],
+                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)],
+                ["key", "lang_pred", "score", "spans"],
             )
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double, n_spans bigint").withColumnRenamed("key", key)
+    labelled = rows.mapInArrow(run, f"key {kind}, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>")
+    return labelled.select(F.col("key").alias(key), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"), "spans")

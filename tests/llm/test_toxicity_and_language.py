@@ -121,6 +121,22 @@ def test_scripts_and_spans():
     assert language.predict("123 !!", model) == ("und", 0.0, 0) and language.predict("中文", model)[0] in ("aa", "bb", "cc")
 
 
+def test_operator_returns_spans_of_mixed_texts(spark):
+    model = _model()
+    one, two, three = "Karoti rotika, tikaro karoka", "Scheinung ungein einsch undsch einung", "даното нетода"
+    # Two dotted capital I become longer in lower case; positions are those of the text itself.
+    texts = [f"1. {one}. {two}, {three} 123", f"\U0001f642 {three}! {one}", "İİ karoti rotika tikaro karoka " + three + ".", one, "12 %", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in language.identify(docs, model, penalty=3.0).collect()}
+    got = {i: [(texts[i][s.start : s.end], s.lang) for s in r.spans] for i, r in rows.items()}
+    assert got[0] == [(one, "aa"), (two, "bb"), (three, "cc")] and got[1] == [(three, "cc"), (one, "aa")]
+    assert got[2] == [("İİ karoti rotika tikaro karoka", "aa"), (three, "cc")]
+    assert got[3] == [(one, "aa")] and got[4] == got[5] == []
+    assert all(r.n_spans == len(r.spans) for r in rows.values())
+    assert [rows[i].lang_pred for i in range(6)] == ["bb", "aa", "aa", "aa", "und", "und"]
+    assert rows[0].score == 5 / 11
+
+
 def test_language_held_out_accuracy_and_odd_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     fold = toxicity.remainder("doc_id", 3)
