@@ -84,6 +84,12 @@ class ToxicModel:
             value = self.known[word] = sum(get(f, 0.0) for f in features(word))
         return value
 
+    def located(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Spans and logits of all sentences that have a word."""
+        spans = sentence_spans(text)
+        pairs = [(span, words) for span, words in zip(spans, sentence_words(text, spans)) if words]
+        return [span for span, _ in pairs], np.array([self.bias + sum(map(self.weigh, words)) for _, words in pairs])
+
     def logits(self, text: str) -> np.ndarray:
         """Logits of all sentences that have a word."""
         weigh, bias = self.weigh, self.bias
@@ -178,10 +184,13 @@ def train_toxic(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "d
 
 
 def score_texts(docs: DataFrame, model: ToxicModel, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Per document: key, score, predicted, n_offending, worst_start, worst_end.
+    """Per document: key, score, predicted, n_offending, worst_start, worst_end, spans.
 
-    Offending sentences score at least ``threshold`` by themselves; the worst one is located by
-    code points, end exclusive (null if none offends; the first of equals).
+    Spans are (start, end, score, logit) of the offending sentences in order, those that score at
+    least ``threshold`` by themselves; a document that only becomes toxic by several lesser ones
+    has its highest-scoring sentence (the first of equals) instead, which ``n_offending`` does not
+    count. Positions are code points, end exclusive. The worst is the highest span, the first of
+    equals (null if there is none).
     """
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
     bounded_batches(docs.sparkSession)
@@ -189,21 +198,35 @@ def score_texts(docs: DataFrame, model: ToxicModel, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            scores, counts, sizes = [], [], [0]
+            starts, ends, values = array("q"), array("q"), array("d")
             for value in batch.column(1):
-                body = value.as_py()
-                logits = model.logits(body)
-                bad, start, end = int((logits >= limit).sum()), None, None
-                if len(logits):
-                    start, end = model.offending(body) if bad else (None, None)
-                found.append((noisy_or(logits), bad, start, end))
-            score, bad, start, end = zip(*found) if found else ((),) * 4
+                spans, logits = model.located(value.as_py())
+                score, at = noisy_or(logits), np.flatnonzero(logits >= limit)
+                scores.append(score)
+                counts.append(len(at))
+                if score >= threshold and not len(at):
+                    at = [int(logits.argmax())]
+                for i in at:
+                    starts.append(spans[i][0])
+                    ends.append(spans[i][1])
+                    values.append(logits[i])
+                sizes.append(len(starts))
+            z = np.array(values, float)
+            struct = pa.StructArray.from_arrays(
+                [pa.array(np.array(starts, np.int64)), pa.array(np.array(ends, np.int64)), pa.array(np.exp(-np.logaddexp(0.0, -z))), pa.array(z)],
+                ["start", "end", "score", "logit"],
+            )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()),
-                 pa.array(bad, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
-                ["key", "score", "predicted", "n_offending", "worst_start", "worst_end"],
+                [batch.column(0), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), struct)],
+                ["key", "score", "n_offending", "spans"],
             )
 
     kind = rows.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, score double, predicted int, n_offending bigint, worst_start bigint, worst_end bigint"
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    schema = f"key {kind}, score double, n_offending bigint, spans array<struct<start:bigint,end:bigint,score:double,logit:double>>"
+    worst = F.array_max(F.transform("spans", lambda s: F.struct(s["logit"].alias("logit"), (-s["start"]).alias("place"), s["end"].alias("end"))))
+    scored = rows.mapInArrow(run, schema).withColumn("worst", worst)
+    return scored.select(
+        F.col("key").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_offending",
+        (-F.col("worst.place")).alias("worst_start"), F.col("worst.end").alias("worst_end"), "spans",
+    )

@@ -88,6 +88,23 @@ def test_toxic_held_out_accuracy_and_odd_rows(spark):
     assert {r.predicted for r in toxicity.score_texts(odd, silent).collect()} == {0}
 
 
+def test_every_offending_sentence_is_located(spark):
+    model = toxicity.ToxicModel(-8.0, {"vile": 9.0, "viler": 3.0, "bad": 7.5})
+    texts = [
+        "you are vile to me. this is a harmless one. \U0001f642 you are vile and viler to me. some more harmless words here.",
+        "you are bad to me. " * 3, "bad sentence number one here. a harmless one is here.", "", None, "\n\n12 !!",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in toxicity.score_texts(docs, model).collect()}
+    said = {i: [texts[i][s.start : s.end] for s in r.spans] for i, r in rows.items()}
+    assert said[0] == ["you are vile to me.", "\U0001f642 you are vile and viler to me."] and rows[0].n_offending == 2
+    assert (rows[0].worst_start, rows[0].worst_end) == (rows[0].spans[1].start, rows[0].spans[1].end)
+    # Toxic by three sentences, none of which offends alone: the first of the highest is located.
+    assert (rows[1].predicted, rows[1].n_offending, said[1], rows[1].worst_start) == (1, 0, ["you are bad to me."], 0)
+    assert abs(rows[1].spans[0].score - 1 / (1 + np.exp(0.5))) < 1e-12
+    assert all((rows[i].predicted, rows[i].spans, rows[i].worst_start) == (0, [], None) for i in (2, 3, 4, 5))
+
+
 def test_folds_are_crc32_of_the_key(spark):
     got = spark.range(50).select("id", toxicity.remainder("id", 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
