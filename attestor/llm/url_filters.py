@@ -118,7 +118,7 @@ WHERE host <> ''
 
 
 def derived(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Captures and dated list entries made from all pages."""
+    """Captures of all pages, and dated list entries made from two of five pages by their number."""
     spark = pages.sparkSession
     return spark.sql(CAPTURES.replace("FROM pages", "FROM {pages}").replace("1 MINUTE", "'1' MINUTE"), pages=pages), spark.sql(
         ENTRIES.replace("FROM pages", "FROM {pages}").replace("1 DAY", "'1' DAY"), pages=pages
