@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm import (
-    bpe, exact_dedup, language, mixing, near_dedup, quality, secrets, toxicity, url_filters, warc,
+    bpe, collocations, exact_dedup, language, mixing, near_dedup, pu_quality, quality, resampling, secrets,
+    toxicity, url_filters, warc,
 )
 from attestor.llm.common import table
 
@@ -89,6 +90,22 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), width=2)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = toxicity.remainder("doc_id", 5)
+    model = pu_quality.train_pu(docs, table(spark, sf_dir, "labels"), fold != 0)
+    return pu_quality.score_quality(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
@@ -102,6 +119,9 @@ def queries() -> dict[str, Query]:
         "op8_language": op8_language,
         "op9_bpe": op9_bpe,
         "op10_near_dedup": op10_near_dedup,
+        "op11_collocations": op11_collocations,
+        "op12_resampling": op12_resampling,
+        "op13_pu_quality": op13_pu_quality,
     }
 
 
@@ -112,4 +132,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_secrets": secrets.report_sql(),
         "op4_secrets_covering": secrets.report_sql(allowed=secrets.COVERING),
         "op6_exact_dedup": OP6_SQL,
+        "op11_collocations": collocations.COLLOCATIONS_SQL,
+        "op12_resampling": resampling.RESAMPLE_SQL,
     }
