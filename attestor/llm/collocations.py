@@ -11,7 +11,9 @@ counts are kept by language.
    partitions' counts summed. In the same pass neighbouring positions that both accept, so that the
    first and the last part of the longer phrase are frequent (Apriori), propose it; proposals that
    occur often enough over all partitions are the next pass's candidates. (Enumerating all
-   joinable pairs of phrases instead would list every pair that shares a common middle.)
+   joinable pairs of phrases instead would list every pair that shares a common middle.) Counts
+   travel as packed arrays, dealt by a hash of their key into groups of about ``GROUP`` occurrences,
+   and each group is summed by itself.
 3. Every candidate is scored at its weakest cut, those contained in an equally frequent longer one
    are dropped, and each language's best are ranked.
 
@@ -45,8 +47,9 @@ PART = 400_000
 CHUNK = 1 << 20
 SLICE = 1 << 18
 BLOCK = 1 << 18
-COUNTED_WORDS = 200_000
-PROPOSED_TOGETHER = 1 << 22
+COUNTED_WORDS = 100_000
+PROPOSED_TOGETHER = 1 << 20
+GROUP = 1 << 20
 DENSE = 1 << 22
 
 _PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
@@ -261,10 +264,57 @@ def slices(ids: np.ndarray, ahead: int) -> Iterator[tuple[np.ndarray, int]]:
         yield ids[start : start + own + ahead], own
 
 
-def phrase_pass(blocks: DataFrame, phrases: DataFrame | None, depth: int, propose: bool, space: Workspace, part: int) -> DataFrame:
+PACKED = "g int, keys binary, counts binary, ids binary, at binary"
+
+
+def packed(keys: np.ndarray, counts: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Counted keys as one row for each group that has some."""
+    mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+    of = (mixed % np.uint64(groups)).astype(np.int32)
+    order = np.argsort(of, kind="stable")
+    firsts = np.flatnonzero(np.r_[True, np.diff(of[order]) > 0]) if len(of) else np.zeros(0, int)
+    found = [(of[part[0]], keys[part].tobytes(), counts[part].tobytes()) for part in np.split(order, firsts[1:]) if len(part)]
+    columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+    none = pa.nulls(len(found), pa.binary())
+    return pa.RecordBatch.from_arrays([*columns, none, none], ["g", "keys", "counts", "ids", "at"])
+
+
+def summed(rows: DataFrame, least: int) -> DataFrame:
+    """Sums of packed counts, those of at least ``least``: (a, b, n), both halves of the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bytes]] = []
+        group = None
+
+        def total() -> pa.RecordBatch:
+            keys = np.frombuffer(b"".join(k for k, _ in held), np.int64)
+            counts = np.frombuffer(b"".join(c for _, c in held), np.int64)
+            held.clear()
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            firsts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+            sums = np.add.reduceat(counts, firsts) if len(firsts) else counts
+            often = sums >= least
+            keys = keys[firsts][often]
+            return pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(sums[often])], ["a", "b", "n"])
+
+        for batch in batches:
+            for g, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if held and g != group:
+                    yield total()
+                group = g
+                held.append((keys.as_py(), counts.as_py()))
+        if held:
+            yield total()
+
+    dealt = rows.where("g is not null").select("g", "keys", "counts").repartition("g").sortWithinPartitions("g")
+    return dealt.mapInArrow(run, "a bigint, b bigint, n bigint")
+
+
+def phrase_pass(blocks: DataFrame, phrases: DataFrame | None, depth: int, propose: bool, space: Workspace, part: int, groups: int, least: int) -> DataFrame:
     """One pass over the blocks: (a, b, n), counts of phrase a where b is 0, else of proposals a b.
 
-    Without ``phrases`` the words themselves are the phrases.
+    Without ``phrases`` the words themselves are the phrases, and only proposals are counted.
     """
     context = blocks.sparkSession.sparkContext
     tries = [None]
@@ -288,15 +338,10 @@ def phrase_pass(blocks: DataFrame, phrases: DataFrame | None, depth: int, propos
             counts = np.zeros(len(trie.value) if trie else 0, np.int64)
             held: list[np.ndarray] = []
 
-            def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-                none = pa.nulls(len(a), pa.binary())
-                columns = [pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(n.astype(np.int64)), none, none]
-                return pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "ids", "at"])
-
             def proposals() -> pa.RecordBatch:
                 keys, n = np.unique(np.concatenate(held), return_counts=True)
                 held.clear()
-                return rows(keys >> 32, keys & 0xFFFFFFFF, n)
+                return packed(keys, n, groups)
 
             for batch in batches:
                 for i, value in enumerate(batch.column(0)):
@@ -307,8 +352,9 @@ def phrase_pass(blocks: DataFrame, phrases: DataFrame | None, depth: int, propos
                         at, more = numbers(trie, ids, batch.column(1)[i].as_py())
                         counts += more
                     if not final:
-                        none = pa.nulls(1, pa.int64())
-                        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([value.as_py()], pa.binary()), pa.array([at.tobytes()], pa.binary())], ["a", "b", "n", "ids", "at"])
+                        none = pa.nulls(1, pa.binary())
+                        row = [pa.nulls(1, pa.int32()), none, none, pa.array([value.as_py()], pa.binary()), pa.array([at.tobytes()], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(row, ["g", "keys", "counts", "ids", "at"])
                     elif propose:
                         both = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
                         held.append(at[both].astype(np.int64) << 32 | at[both + 1])
@@ -316,9 +362,9 @@ def phrase_pass(blocks: DataFrame, phrases: DataFrame | None, depth: int, propos
                             yield proposals()
             if held:
                 yield proposals()
-            if trie is not None:
-                states = np.flatnonzero(counts)
-                yield rows(trie.value[states], np.zeros(len(states)), counts[states])
+            states = np.flatnonzero(counts)
+            if len(states):
+                yield packed(trie.value[states].astype(np.int64) << 32, counts[states], groups)
 
         return run
 
@@ -329,15 +375,15 @@ def phrase_pass(blocks: DataFrame, phrases: DataFrame | None, depth: int, propos
             rows = some.select("id", "ids").toArrow()
             words = np.array(rows.column("ids").to_pylist(), np.int64).reshape(rows.num_rows, depth)
             shared = context.broadcast(DoubleArray(words, np.array(rows.column("id").to_pylist(), np.int64)))
-        out = space.put(f"pass{depth}_{i}", blocks.mapInArrow(counting(shared, final), "a bigint, b bigint, n bigint, ids binary, at binary"))
-        found.append(out.where("a is not null").select("a", "b", "n"))
-        blocks = out.where("a is null").select("ids", "at")
-        if shared is not None:
-            shared.unpersist()
+        out = blocks.mapInArrow(counting(shared, final), PACKED)
+        if not final:
+            out = space.put(f"pass{depth}_{i}", out)
+            blocks = out.where("ids is not null").select("ids", "at")
+        found.append(out)
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return every.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return summed(every, least)
 
 
 def frequent_phrases(docs: DataFrame, space: Workspace, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, part: int = PART) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -347,13 +393,14 @@ def frequent_phrases(docs: DataFrame, space: Workspace, text: str = "text", lang
     texts = docs.select(language.alias("lang"), text_bytes(text).alias("text"))
     counted = space.put("counted", word_counts(texts))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
+    groups = ((totals.agg(F.sum("n")).first()[0] or 0) // GROUP) + 1
     words = space.put("words", assign_ids(counted.where(F.col("n") >= least), ["lang", "word"]))
     blocks = encode_words(texts, words, space, part)
     known = words.select("id", "lang", F.array("word").alias("words"), F.array(F.col("id").cast("int")).alias("ids"))
-    rows = space.put("pairs", phrase_pass(blocks, None, 1, longest > 1, space, part))
+    rows = space.put("pairs", phrase_pass(blocks, None, 1, longest > 1, space, part, groups, least))
     phrases = None
     for depth in range(2, longest + 1):
-        proposed = rows.where((F.col("b") > 0) & (F.col("n") >= least))
+        proposed = rows.where("b > 0")
         front = known.select(F.col("id").alias("a"), "lang", "words", "ids")
         back = known.select(F.col("id").alias("b"), F.element_at("words", -1).alias("word"), F.element_at("ids", -1).alias("last"))
         joined = proposed.join(front, "a").join(back, "b").select(
@@ -362,9 +409,9 @@ def frequent_phrases(docs: DataFrame, space: Workspace, text: str = "text", lang
         known = space.put(f"known{depth}", assign_ids(joined, ["a", "b"]).select("id", "lang", "words", "ids"))
         if known.isEmpty():
             break
-        rows = space.put(f"rows{depth}", phrase_pass(blocks, known, depth, depth < longest, space, part))
+        rows = space.put(f"rows{depth}", phrase_pass(blocks, known, depth, depth < longest, space, part, groups, least))
         sums = rows.where("b = 0").select(F.col("a").alias("id"), "n")
-        more = known.join(sums, "id").where(F.col("n") >= least).select("lang", "words", "n")
+        more = known.join(sums, "id").select("lang", "words", "n")
         phrases = more if phrases is None else phrases.unionByName(more)
     if phrases is None:
         phrases = known.select("lang", "words", F.lit(0).cast("long").alias("n")).where(F.lit(False))
