@@ -44,14 +44,12 @@ def by_size(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
-def bounded_batches(spark: SparkSession, records: int = 1000) -> None:
-    """Hand Python tasks smaller batches: texts and sets are wide rows, and a batch is held at once.
-
-    Sets the session's batch size unless the user has set one.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, None) in (None, "10000"):
-        spark.conf.set(name, records)
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Hand Python tasks batches of bounded bytes: texts and sets are wide rows, and a batch is held
+    at once. Sets the session's bound unless there is one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, size)
 
 
 def hashed_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
