@@ -2,12 +2,12 @@
 
 A sentence's score is logistic in the weights of its distinct words; a word's weight is the sum of
 the weights of itself and its beginnings, so that unseen forms of a known stem count. A document is
-toxic unless all its sentences are harmless (noisy-or): ``P = 1 - prod(1 - p)``. In a document of
-more than ``LONG`` sentences those below 0.5 count as if ``LONG`` of them stood for all, in the fit
-and in scores: the chance that a document holds something by accident must not grow with its
-length. A sentence of 0.5 or more counts in full, however long the document. Training sees
-document labels only and finds out by itself which sentences explain them; afterwards the sentence
-scores locate offending sentences.
+toxic unless all its sentences are harmless (noisy-or). A sentence without any offending word has the
+bias as its logit, and its small chance is that of the document's background, which counts once and
+not once a sentence: ``1 - P = (1 - p0) * prod((1 - p_i) / (1 - p0))``. Every further sentence can
+only raise the score, and one without offending words leaves it as it is, however many there are.
+Training sees document labels only and finds out by itself which sentences explain them; afterwards
+the sentence scores locate offending sentences.
 
 Fitting takes about ``FIT_DOCS`` labelled documents at most, and fewer if they would have more than
 about ``FIT_CHARS`` characters together, chosen by hashes of their key whatever their lengths;
@@ -34,7 +34,6 @@ from attestor.llm.common import bounded_batches, hashed_sample, whole_text
 
 FIT_DOCS = 6_000
 FIT_CHARS = 25_000_000
-LONG = 64
 STEMS = (4, 5, 6)
 CACHED_WORDS = 400_000
 
@@ -102,14 +101,18 @@ class ToxicModel:
         return max(zip(logits, spans), key=lambda x: x[0])[1] if spans else None
 
 
-def shifted(logits: np.ndarray, sentences: np.ndarray | int) -> np.ndarray:
-    """Logits in a document of so many sentences: less the log of its length in ``LONG`` below 0."""
-    return logits - np.where(logits < 0, np.log(np.maximum(np.asarray(sentences) / LONG, 1.0)), 0.0)
+def softplus(x: np.ndarray | float) -> np.ndarray:
+    return np.logaddexp(0.0, x)
 
 
-def noisy_or(logits: np.ndarray) -> float:
-    """``1 - prod(1 - sigmoid(z))`` over a document's sentences, corrected for its length."""
-    return float(-np.expm1(-np.logaddexp(0.0, shifted(logits, len(logits))).sum())) if len(logits) else 0.0
+def noisy_or(logits: np.ndarray, bias: float = -np.inf) -> float:
+    """The chance that a document with these sentences is toxic, the background counted once.
+
+    Without a background it is ``1 - prod(1 - p)``.
+    """
+    if not len(logits):
+        return 0.0
+    return float(-np.expm1(-softplus(bias) - (softplus(logits) - softplus(bias)).sum()))
 
 
 def fit(texts: list[str], labels: list[int], rounds: int = 150, rate: float = 20.0, decay: float = 2e-4, least_docs: int = 3) -> ToxicModel:
@@ -141,19 +144,19 @@ def fit(texts: list[str], labels: list[int], rounds: int = 150, rate: float = 20
         word_of.extend(repeat(w, len(own)))
     pair_word, pair_feature = np.array(word_of, np.int64), np.array(feature_of, np.int64)
     sentence, word, owner = (np.array(x, np.int64) for x in (cell_sentence, cell_word, owners))
-    lengths = np.bincount(owner, minlength=len(y))[owner]
+    lengths = np.bincount(owner, minlength=len(y))
     w, bias = np.zeros(len(at)), -8.0
     past_w, past_b = np.full(len(at), 1e-8), 1e-8
     weight_of = np.where(y, (~y).sum() / max(y.sum(), 1), 1.0) ** 0.5
     for _ in range(rounds):
         per_word = np.bincount(pair_word, w[pair_feature], len(words))
-        z = shifted(bias + np.bincount(sentence, per_word[word], sentences), lengths)
-        total = np.bincount(owner, np.logaddexp(0, z), len(y)) + 1e-12
+        z = bias + np.bincount(sentence, per_word[word], sentences)
+        total = np.bincount(owner, softplus(z) - softplus(bias), len(y)) + softplus(bias)
         slope = np.where(y, -1.0 / np.expm1(np.minimum(total, 500.0)), 1.0) * weight_of / len(y)
         dz = slope[owner] / (1 + np.exp(-z))
         dword = np.bincount(word, dz[sentence], len(words))
         dw = np.bincount(pair_feature, dword[pair_word], len(at)) + decay * w / len(at)
-        db = dz.sum()
+        db = dz.sum() - ((lengths - 1) * slope).sum() / (1 + np.exp(-bias))
         past_w, past_b = past_w + dw * dw, past_b + db * db
         # Steps shrink with the fourth root: common stems learn faster than their rare forms.
         w = np.maximum(w - rate * dw / past_w**0.25, 0.0)
@@ -202,7 +205,7 @@ def score_texts(docs: DataFrame, model: ToxicModel, key: str = "doc_id", text: s
             starts, ends, values = array("q"), array("q"), array("d")
             for value in batch.column(1):
                 spans, logits = model.located(value.as_py())
-                score, at = noisy_or(logits), np.flatnonzero(logits >= limit)
+                score, at = noisy_or(logits, model.bias), np.flatnonzero(logits >= limit)
                 scores.append(score)
                 counts.append(len(at))
                 if score >= threshold and not len(at):
