@@ -4,8 +4,10 @@ Each word's script (a range of code points) narrows its candidate languages to t
 script. Every candidate scores the word by its letter n-grams; a Viterbi pass over the words, with
 a penalty for switching, labels spans. The document's language is the one with most words.
 
-Fitting takes about ``FIT_DOCS`` labelled documents at most, chosen by a hash of their key, of at most
-``FIT_CHARS`` characters; every whole text is predicted. A text without letters, or null, is
+Fitting takes about ``FIT_CHARS`` characters at most, an equal share of them for each language, so that
+a rare one keeps its texts beside a frequent one. Texts are cut into chunks, and a hash of key and
+chunk decides which take part, whatever the text's length. Every whole text is predicted: in chunks
+where it is long, and the words of a batch's mixed texts in step. A text without letters, or null, is
 ``und`` with score 0, and so is every text if nothing could be learned. Only texts are inputs of a
 prediction; repeated rows get equal results, ties go to the first language by name.
 """
@@ -18,16 +20,20 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import bounded_batches, hashed_sample, whole_text
+from attestor.llm.common import bounded_batches, whole_text
 
-FIT_DOCS = 6_000
-FIT_CHARS = 200_000
+FIT_CHARS = 20_000_000
+FIT_CHUNK = 20_000
+CHUNK = 1 << 20
+CELLS = 1 << 21
 GRAMS = (1, 2, 3)
 SWITCH = 12.0
 SCRIPT_SHARE = 0.02
@@ -35,6 +41,7 @@ CACHED_WORDS = 200_000
 UNKNOWN = "und"
 
 WORD = re.compile(r"[^\W\d_]+")
+NO_LETTER = re.compile(r"[\W\d_]")
 
 # First code points of letter ranges and their scripts, from the Unicode block list (fixed values).
 RANGES = (
@@ -67,56 +74,150 @@ class LanguageModel:
     rows: dict[str, int] = field(default_factory=dict)
     store: np.ndarray | None = None
 
+    @cached_property
+    def by_code(self) -> tuple[np.ndarray, np.ndarray]:
+        """The table's short n-grams as sorted numbers (21 bits a character), and their rows."""
+        short = {g: row for g, row in self.table.items() if len(g) <= len(GRAMS)}
+        codes = np.array([sum(ord(c) << 21 * i for i, c in enumerate(g)) for g in short], np.int64)
+        order = np.argsort(codes)
+        return codes[order], np.fromiter(short.values(), np.int64, len(short))[order]
+
+    @cached_property
+    def by_range(self) -> np.ndarray:
+        """Languages that each range of code points allows."""
+        every = np.ones(len(self.names), bool)
+        return np.array([self.allowed.get(name, every) for _, name in RANGES])
+
     def learn(self, words: list[str]) -> None:
         """Log-likelihoods of words per language, averaged over n-gram orders; -1e6 where the script
         rules a language out (no language is ruled out if none uses the script)."""
-        get, flat, starts = self.table.get, array("l"), []
-        for at, word in enumerate(words, start=len(self.rows)):
-            self.rows[word] = at
-            starts.append(len(flat))
-            flat.extend([get(g, -1) for g in grams(word)])
-        scores = np.add.reduceat(self.logs[np.array(flat)], starts, axis=0) / len(GRAMS)
-        every = np.ones(len(self.names), bool)
-        fits = np.array([self.allowed.get(script(word), every) for word in words])
-        self.store[len(self.rows) - len(words) : len(self.rows)] = np.where(fits, scores, -1e6)
-
-    def matrix(self, words: list[str]) -> np.ndarray:
-        """Scores of all words of a text, a row each, from a bounded cache."""
-        unseen = set(words).difference(self.rows)
+        known, rows = self.by_code
+        # One row more than the unknown one: n-grams that would cross into the next word add nothing.
+        logs = np.concatenate([self.logs, np.zeros((1, len(self.names)))])
+        unknown, nothing = len(self.logs) - 1, len(self.logs)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        letters = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), "<u4").astype(np.int64)
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(letters))
+        total = np.zeros((len(words), len(self.names)))
+        code = np.zeros(len(letters), np.int64)
+        for i in range(len(GRAMS)):
+            code[: len(code) - i] |= letters[i:] << 21 * i
+            at = np.minimum(np.searchsorted(known, code), max(len(known) - 1, 0))
+            row = np.where(known[at] == code, rows[at], unknown) if len(known) else np.full(len(code), unknown)
+            total += np.add.reduceat(logs[np.where(left > i, row, nothing)], starts, axis=0)
+        get = self.table.get
+        total += logs[np.fromiter((get(f"^{w}$", unknown) for w in words), np.int64, len(words))]
+        fits = self.by_range[np.searchsorted(_STARTS, letters[starts + 1], side="right") - 1]
+        first = len(self.rows)
+        self.rows.update(zip(words, range(first, first + len(words))))
+        self.store[first : first + len(words)] = np.where(fits, total / len(GRAMS), -1e6)
+
+    def prepare(self, words: set[str]) -> None:
+        """Have the scores of these words in the cache, which is emptied when it is full."""
+        unseen = words.difference(self.rows)
         if self.store is None or len(self.rows) + len(unseen) > len(self.store):
             self.rows.clear()
-            unseen = set(words)
+            unseen = words
             self.store = np.empty((max(CACHED_WORDS, len(unseen)), len(self.names)))
         if unseen:
             self.learn(sorted(unseen))
+
+    def matrix(self, words: list[str]) -> np.ndarray:
+        """Scores of all words of a text, a row each; they must be prepared."""
         return self.store[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
 
 
-def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """Best labels of a row of words: the sum of scores less a penalty per switch.
+def steady(scores: np.ndarray, penalty: float) -> int | None:
+    """The one label of a row of words, if no stretch of it gains half a penalty by any other.
 
-    If no stretch of words gains half a penalty by any other label, staying with the label of the
-    best total is optimal, and prefix sums show that at once. Otherwise the usual recursion runs.
+    Staying with the label of the best total is optimal then, and prefix sums show that at once.
     """
     best = int(scores.sum(0).argmax())
     gain = np.cumsum(scores - scores[:, [best]], 0)
     gain = np.concatenate([np.zeros((1, scores.shape[1])), gain])
-    if (gain - np.minimum.accumulate(gain, 0)).max() <= penalty / 2:
-        return np.full(len(scores), best)
-    rows = scores.tolist()
-    total, back = rows[0], []
-    for row in rows[1:]:
-        top = max(total)
-        source = total.index(top)
-        stay = [t >= top - penalty for t in total]
-        back.append([k if s else source for k, s in enumerate(stay)])
-        total = [(t if s else top - penalty) + r for t, s, r in zip(total, stay, row)]
+    return best if (gain - np.minimum.accumulate(gain, 0)).max() <= penalty / 2 else None
+
+
+def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
+    """Best labels of a row of words: the sum of scores less a penalty per switch."""
+    best = steady(scores, penalty)
+    return np.full(len(scores), best) if best is not None else walk([scores], penalty)[0]
+
+
+def walk(texts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
+    """The recursion for many texts at once, word by word; texts of similar length go together."""
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    while order:
+        longest, labels = texts[order[0]].shape
+        n = max(1, CELLS // max(longest * labels, 1))
+        # The first of a group is its longest; much shorter ones would mostly wait for it.
+        n = max(1, sum(len(texts[i]) * 2 >= longest for i in order[:n]))
+        group, order = order[:n], order[n:]
+        for i, found in zip(group, _walk_group([texts[i] for i in group], penalty)):
+            out[i] = found
+    return out
+
+
+def _walk_group(texts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
+    """Texts by falling length; those that have ended keep their totals."""
+    if len(texts) < 4:
+        return [_walk_one([scores], penalty)[0] for scores in texts]
+    lengths = np.array([len(t) for t in texts])
+    longest, labels = texts[0].shape
+    scores = np.zeros((longest, len(texts), labels))
+    for i, t in enumerate(texts):
+        scores[: len(t), i] = t
+    back = np.zeros((longest, len(texts), labels), np.uint8 if labels < 256 else np.uint16)
+    own = np.arange(labels)
+    running = np.searchsorted(-lengths, -np.arange(longest), side="left")
+    total = scores[0].copy()
+    for step in range(1, longest):
+        m = running[step]
+        some = total[:m]
+        source = some.argmax(1)
+        least = some.max(1)[:, None] - penalty
+        stay = some >= least
+        back[step, :m] = np.where(stay, own, source[:, None])
+        total[:m] = np.where(stay, some, least) + scores[step, :m]
+    label = total.argmax(1)
+    found = np.zeros((longest, len(texts)), np.int64)
+    for step in range(longest - 1, -1, -1):
+        m = running[step]
+        found[step, :m] = label[:m]
+        label[:m] = back[step, np.arange(m), label[:m]] if step else label[:m]
+    return [found[: len(t), i] for i, t in enumerate(texts)]
+
+
+def _walk_one(blocks: Iterator[np.ndarray] | list[np.ndarray], penalty: float) -> list[np.ndarray]:
+    """The recursion for one text whose scores come in blocks; labels by block.
+
+    Only the back pointers of the whole text are held, a byte each.
+    """
+    total, pointers = None, []
+    for block in blocks:
+        labels = block.shape[1]
+        back = bytearray() if labels < 256 else array("H")
+        for row in block.tolist():
+            if total is None:
+                total = row
+                back.extend(range(labels))
+                continue
+            top = max(total)
+            source, least = total.index(top), top - penalty
+            back.extend([k if t >= least else source for k, t in enumerate(total)])
+            total = [(t if t >= least else least) + r for t, r in zip(total, row)]
+        pointers.append(np.frombuffer(back, np.uint8 if labels < 256 else np.uint16).reshape(-1, labels))
     label = total.index(max(total))
-    labels = [label]
-    for step in reversed(back):
-        label = step[label]
-        labels.append(label)
-    return np.array(labels[::-1])
+    found = []
+    for back in reversed(pointers):
+        own = np.zeros(len(back), np.int64)
+        for step in range(len(back) - 1, -1, -1):
+            own[step] = label
+            label = int(back[step, label])
+        found.append(own)
+    return found[::-1]
 
 
 def fit(texts: list[str], langs: list[str]) -> LanguageModel | None:
@@ -157,29 +258,108 @@ def original_positions(text: str, low: str) -> np.ndarray | None:
     """Positions in the text of those in its lower-cased form; null if they are the same."""
     if len(low) == len(text):
         return None
-    widths = np.fromiter((len(c.lower()) for c in text), np.int64, len(text))
-    return np.append(np.repeat(np.arange(len(text)), widths), len(text))
-
-
-def label_spans(text: str, model: LanguageModel, penalty: float = SWITCH) -> tuple[list[tuple[int, int, str]], Counter]:
-    """Spans (start, end, language) by code points of the text, and words per language; one Viterbi pass."""
-    low = text.lower()
-    words = WORD.findall(low)
-    if not words:
-        return [], Counter()
-    labels = viterbi(model.matrix(words), penalty)
-    firsts = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist()]
+    widths = np.fromiter((len(c.lower()) for c in text), np.int8, len(text))
+    return np.append(np.repeat(np.arange(len(text), dtype=np.int32), widths), len(text))
+
+
+def bounds(low: str) -> list[tuple[int, int]]:
+    """Chunks of a text, none of which cuts a word."""
+    edges = [0]
+    while len(low) - edges[-1] > CHUNK:
+        gap = NO_LETTER.search(low, edges[-1] + CHUNK)
+        if gap is None:
+            break
+        edges.append(gap.start())
+    return list(zip(edges, [*edges[1:], len(low)]))
+
+
+def label_long(low: str, model: LanguageModel, penalty: float) -> list[np.ndarray]:
+    """Labels of a long text's words, by chunk; scores are held for one chunk at a time."""
+    chunks = bounds(low)
+
+    def scores() -> Iterator[np.ndarray]:
+        for a, b in chunks:
+            words = WORD.findall(low, a, b)
+            if words:
+                model.prepare(set(words))
+                yield model.matrix(words)
+
+    best = int(sum(block.sum(0) for block in scores()).argmax())
+    gain = lowest = np.zeros(len(model.names))
+    sizes, calm = [], True
+    for block in scores():
+        steps = np.concatenate([gain[None], gain + np.cumsum(block - block[:, [best]], 0)])
+        lows = np.minimum.accumulate(np.concatenate([np.minimum(lowest, gain)[None], steps]), 0)[1:]
+        calm = calm and (steps - lows).max() <= penalty / 2
+        gain, lowest = steps[-1], lows[-1]
+        sizes.append(len(block))
+    return [np.full(n, best) for n in sizes] if calm else _walk_one(scores(), penalty)
+
+
+def edges_of(low: str, labels: list[np.ndarray]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Where runs of equal labels start and end in the text, and their labels."""
+    every = np.concatenate(labels)
+    firsts = np.concatenate([[0], np.flatnonzero(every[1:] != every[:-1]) + 1])
     if len(firsts) == 1:
-        # The last word is the last run of letters, so nothing equal to it lies further right.
-        edges = [(WORD.search(low).start(), low.rindex(words[-1]) + len(words[-1]))]
-    else:
-        at = [m.span() for m in WORD.finditer(low)]
-        edges = [(at[a][0], at[b - 1][1]) for a, b in zip(firsts, [*firsts[1:], len(words)])]
+        stop = len(low)
+        while not WORD.match(low, stop - 1):
+            stop -= 1
+        return [(WORD.search(low).start(), stop)], [int(every[0])]
+    starts, stops = array("q"), array("q")
+    for a, b in bounds(low):
+        for m in WORD.finditer(low, a, b):
+            starts.append(m.start())
+            stops.append(m.end())
+    begin, end = np.array(starts), np.array(stops)
+    lasts = np.append(firsts[1:], len(every)) - 1
+    return list(zip(begin[firsts].tolist(), end[lasts].tolist())), every[firsts].tolist()
+
+
+def spans_of(text: str, low: str, labels: list[np.ndarray], names: list[str]) -> tuple[list[tuple[int, int, str]], Counter]:
+    edges, kinds = edges_of(low, labels)
     back = original_positions(text, low)
     if back is not None:
         edges = [(int(back[a]), int(back[b - 1]) + 1) for a, b in edges]
-    counts = np.bincount(labels, minlength=len(model.names))
-    return [(a, b, model.names[labels[i]]) for (a, b), i in zip(edges, firsts)], Counter({model.names[k]: int(n) for k, n in enumerate(counts) if n})
+    counts = sum(np.bincount(part, minlength=len(names)) for part in labels)
+    return [(a, b, names[k]) for (a, b), k in zip(edges, kinds)], Counter({names[k]: int(n) for k, n in enumerate(counts) if n})
+
+
+def label_texts(texts: list[str], model: LanguageModel, penalty: float = SWITCH) -> list[tuple[list[tuple[int, int, str]], Counter]]:
+    """Spans (start, end, language) by code points of each text, and words per language."""
+    labels: list[list[np.ndarray] | None] = [None] * len(texts)
+    waiting: dict[int, np.ndarray] = {}
+    group: dict[int, list[str]] = {}
+    held = 0
+
+    def look_up() -> None:
+        model.prepare(set().union(*group.values()))
+        for i, words in group.items():
+            scores = model.matrix(words)
+            best = steady(scores, penalty)
+            labels[i] = [np.full(len(scores), best or 0)]
+            if best is None:
+                waiting[i] = scores
+        group.clear()
+
+    for i, text in enumerate(texts):
+        low = text.lower()
+        if len(low) > CHUNK and WORD.search(low):
+            labels[i] = label_long(low, model, penalty)
+        elif words := WORD.findall(low):
+            group[i] = words
+            held += len(low)
+        if held > CHUNK:
+            look_up()
+            held = 0
+    look_up()
+    for i, found in zip(waiting, walk(list(waiting.values()), penalty)):
+        labels[i] = [found]
+    return [([], Counter()) if own is None else spans_of(text, text.lower(), own, model.names) for text, own in zip(texts, labels)]
+
+
+def label_spans(text: str, model: LanguageModel, penalty: float = SWITCH) -> tuple[list[tuple[int, int, str]], Counter]:
+    """Spans (start, end, language) by code points of the text, and words per language."""
+    return label_texts([text], model, penalty)[0]
 
 
 def main_language(counts: Counter) -> tuple[str, float]:
@@ -199,11 +379,30 @@ def predict(text: str, model: LanguageModel, penalty: float = SWITCH) -> tuple[s
 # --- Spark side --------------------------------------------------------------------------
 
 
-def train_language(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> LanguageModel | None:
+def train_language(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", fit_chars: int = FIT_CHARS) -> LanguageModel | None:
     """Fit on documents with a language for which ``learn`` holds."""
     usable = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull()).where(learn)
-    known = usable.select(F.col(key).alias("key"), F.col(lang).alias("lang"), whole_text(text).alias("text"))
-    sample = hashed_sample(known, "key", fit_docs).where(F.length("text") <= fit_chars).select("text", "lang").toArrow()
+    known = usable.select(F.col(key).cast("string").alias("key"), F.col(lang).cast("string").alias("lang"), whole_text(text).alias("text"))
+    bounded_batches(docs.sparkSession)
+    sizes = known.groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("chars")).collect()
+    share = {r.lang: min(1.0, fit_chars / len(sizes) / max(r.chars, 1)) for r in sizes}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, parts = [], []
+            for name, own, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                body, limit = value.as_py(), share[own] * 2**64
+                start = 0
+                while start < len(body):
+                    gap = NO_LETTER.search(body, start + FIT_CHUNK)
+                    stop = gap.start() if gap else len(body)
+                    if xxhash.xxh3_64_intdigest(f"{name}:{start}") < limit:
+                        langs.append(own)
+                        parts.append(body[start:stop])
+                    start = stop
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.string())], ["lang", "text"])
+
+    sample = known.select("key", "lang", "text").mapInArrow(run, "lang string, text string").toArrow()
     return fit(sample.column("text").to_pylist(), sample.column("lang").to_pylist())
 
 
@@ -220,7 +419,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [label_spans(t.as_py(), model, penalty) if model else ([], Counter()) for t in batch.column(1)]
+            texts = batch.column(1).to_pylist()
+            found = label_texts(texts, model, penalty) if model else [([], Counter())] * len(texts)
             langs, scores = zip(*[main_language(counts) for _, counts in found]) if found else ((),) * 2
             flat = [span for spans, _ in found for span in spans]
             starts, ends, names = zip(*flat) if flat else ((),) * 3

@@ -26,12 +26,12 @@ def test_document_labels_find_the_sentence():
         texts.append(". ".join(sentences) + ".")
         labels.append(int(i % 3 == 0))
     model = toxicity.fit(texts, labels)
-    scores = [toxicity.noisy_or(model.logits(t)) for t in texts]
+    scores = [toxicity.noisy_or(model.logits(t), model.bias) for t in texts]
     assert [int(s >= 0.5) for s in scores] == labels
     start, end = model.offending(texts[0])
     assert "vilest" in texts[0][start:end] and texts[0][start:end].count(".") <= 1
     # An unseen form of a known stem counts.
-    assert toxicity.noisy_or(model.logits("word1 word2 word3 vilestxyz word4.")) > 0.5
+    assert toxicity.noisy_or(model.logits("word1 word2 word3 vilestxyz word4."), model.bias) > 0.5
     again = toxicity.fit(texts[::-1], labels[::-1])
     assert again.bias == model.bias and again.weights == model.weights
 
@@ -47,10 +47,20 @@ def test_length_alone_is_not_toxic():
     texts = [_plain(rng, 5) + bad * (i % 3 == 0) for i in range(150)]
     model = toxicity.fit(texts, [int(i % 3 == 0) for i in range(150)])
     clean = _plain(rng, 120_000)
-    assert len(clean) > 5_000_000 and toxicity.noisy_or(model.logits(clean)) < 0.2
-    assert toxicity.noisy_or(np.full(10**6, -6.0)) < 0.2
+    assert len(clean) > 5_000_000 and toxicity.noisy_or(model.logits(clean), model.bias) < 0.2
+    assert toxicity.noisy_or(np.full(10**6, -6.0), -6.0) < 0.2
     # One offending sentence is found in a text of any length.
-    assert toxicity.noisy_or(model.logits(clean + bad)) >= 0.5
+    assert toxicity.noisy_or(model.logits(clean + bad), model.bias) >= 0.5
+
+
+def test_harmless_sentences_never_change_a_verdict(spark):
+    model = toxicity.ToxicModel(-8.0, {"vile": 7.96})
+    doubtful, harmless = "you are vile to me. " * 3, "a harmless one stands here. "
+    rows = [(0, doubtful), (1, doubtful + harmless * 1000), (2, harmless * 1000 + doubtful), (3, harmless), (4, harmless * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (round(r.score, 9), r.predicted) for r in toxicity.score_texts(docs, model).collect()}
+    assert got[0] == got[1] == got[2] and 0.8 < got[0][0] < 0.9 and got[0][1] == 1
+    assert got[3] == got[4] and got[3][1] == 0
 
 
 def test_long_documents_take_part_in_the_fit(spark):
@@ -126,6 +136,33 @@ def _model():
     return language.fit([say(["ka", "ro", "ti"]), say(["sch", "ung", "ein"]), say(["да", "не", "то"])], ["aa", "bb", "cc"])
 
 
+def test_many_texts_walk_like_one_and_long_ones_by_chunks(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [rng.normal(size=(int(n), 3)) * 3 for n in rng.integers(1, 40, 60)]
+    alone = [language._walk_one([t], 2.0)[0].tolist() for t in texts]
+    assert [w.tolist() for w in language.walk(texts, 2.0)] == alone
+    monkeypatch.setattr(language, "CELLS", 100)
+    assert [w.tolist() for w in language.walk(texts, 2.0)] == alone
+    for t, labels in zip(texts, alone):
+        cut = language._walk_one([t[i : i + 7] for i in range(0, len(t), 7)], 2.0)
+        assert np.concatenate(cut).tolist() == labels
+    model = _model()
+    mixed = " ".join(["Karoti rotika tikaro karoka", "Scheinung ungein einsch undsch", "даното нетода", "12 İ!"][i] for i in rng.integers(0, 4, 300))
+    plain = "Karoti rotika, tikaro karoka. " * 200
+    whole = language.label_texts([mixed, plain, "", "  12"], model, 3.0)
+    assert len(whole[0][0]) > 100 and len(whole[1][0]) == 1
+    monkeypatch.setattr(language, "CHUNK", 50)
+    assert language.label_texts([mixed, plain, "", "  12"], model, 3.0) == whole
+
+
+def test_rare_languages_and_long_texts_take_part_in_the_fit(spark):
+    rows = [(i, "tikaro karoti " * 500, "aa") for i in range(300)] + [(1000, "einung scheinung " * 20_000, "bb"), (1001, "нето дано " * 3, "cc")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train_language(docs, F.lit(True), fit_chars=300_000)
+    assert model.names == ["aa", "bb", "cc"]
+    assert [language.predict(t, model)[0] for t in ("karoti tikaro", "scheinung einung", "дано нето")] == ["aa", "bb", "cc"]
+
+
 def test_scripts_and_spans():
     model = _model()
     assert language.script("ÿes") == "latin" and language.script("дом") == "cyrillic" and language.script("中") == "han"
