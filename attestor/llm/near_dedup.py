@@ -13,8 +13,9 @@ shingle; no words, no set). Shingles are 64-bit hashes, sets are told apart by 1
 3. Pairs come from short lists; a long list offers each member only its most central member.
    Of all pairs, those whose signatures agree in that many coordinates are compared on full sets.
 4. Members of a long list that are linked by now are skipped; the others are compared with the
-   list's members of other components, exactly and in blocks of bounded size, and at most one
-   link per member and component leaves a block (skip merging). No group is ever listed as pairs.
+   list's members of other components, exactly and in blocks of bounded rows and bounded shingles, and
+   at most one link per member and component leaves a block (skip merging). No group is ever listed
+   as pairs.
 5. Components come from contracting links until none is left.
 
 Links ask for ``100 * intersection >= percent * union``. Null and empty texts have no set and are
@@ -32,8 +33,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from attestor.llm.common import Workspace, bounded_batches, by_size, text_bytes
 
@@ -41,7 +43,7 @@ WIDTH, PERCENT = 5, 80
 COORDS, MINIMA = 32, 2
 MISS = 1e-6
 SHORT_LIST = 16
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 CACHED_WORDS = 400_000
 
 _seeds = np.random.default_rng(20_240_229)
@@ -139,7 +141,7 @@ def agreeing_pairs(postings: DataFrame, lists: DataFrame, nodes: DataFrame, perc
     close = short.join(other, "tok").where(F.col("node") < F.col("b")).select(F.col("node").alias("a"), "b")
     spokes = postings.join(lists.where(F.col("n") > SHORT_LIST).select("tok", "centre"), "tok").where("node != centre")
     spokes = spokes.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    pairs = close.unionByName(spokes).groupBy("a", "b").agg(F.count("*").alias("met"))
+    pairs = close.unionByName(spokes).distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
     met = pairs.join(left, "a").join(right, "b")
@@ -259,10 +261,11 @@ def _incidence(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
     return out
 
 
-def open_members(postings: DataFrame, lists: DataFrame, roots: DataFrame) -> DataFrame:
+def open_members(postings: DataFrame, lists: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """Members of long lists that still hold several components: tok, node, root, open, blocks.
 
-    ``open`` members lie outside the component of the list's centre.
+    ``open`` members lie outside the component of the list's centre. A list is dealt into blocks of
+    about ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles, whichever is reached first.
     """
     long_lists = lists.where(F.col("n") > SHORT_LIST).select("tok", "centre")
     named = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
@@ -270,15 +273,20 @@ def open_members(postings: DataFrame, lists: DataFrame, roots: DataFrame) -> Dat
     members = postings.select("tok", "node").join(long_lists, "tok").join(roots, "node", "left")
     members = members.select("tok", "node", F.coalesce("root", "node").alias("root"), "centre_root")
     members = members.withColumn("open", F.col("root") != F.col("centre_root")).drop("centre_root")
-    sizes = members.groupBy("tok").agg(F.count("*").alias("n"), F.sum(F.col("open").cast("long")).alias("n_open")).where("n_open > 0")
-    return members.join(sizes, "tok")
+    members = members.join(nodes.select("node", "n_shingles"), "node")
+
+    def blocks(wanted) -> Column:
+        rows, shingles = F.count(F.when(wanted, 1)), F.sum(F.when(wanted, F.col("n_shingles")))
+        return F.greatest(F.ceil(rows / BLOCK), F.ceil(F.coalesce(shingles, F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+
+    sizes = members.groupBy("tok").agg(blocks(F.col("open")).alias("open_blocks"), blocks(F.lit(True)).alias("all_blocks"))
+    return members.drop("n_shingles").join(sizes.where("open_blocks > 0"), "tok")
 
 
 def remaining_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of open members to other components of their lists, compared block by block."""
     with_sets = members.join(sets, "node")
-    open_blocks = F.ceil(F.col("n_open") / BLOCK).cast("int")
-    all_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    open_blocks, all_blocks = F.col("open_blocks"), F.col("all_blocks")
     mine = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
     left = with_sets.where("open").withColumn("i", mine(open_blocks)).withColumn("j", F.explode(F.sequence(F.lit(0), all_blocks - 1)))
     right = with_sets.withColumn("j", mine(all_blocks)).withColumn("i", F.explode(F.sequence(F.lit(0), open_blocks - 1)))
@@ -290,6 +298,14 @@ def remaining_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row: key, n_shingles, component_id (smallest key of its component), kept."""
+    found = _grouped(docs, key, text, width, percent)
+    return found.select(
+        F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+def _grouped(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """Per row: key, node, n_shingles, component_id."""
     if (1 - (percent / 100) ** MINIMA) ** COORDS > MISS:
         raise ValueError(f"{COORDS} coordinates of {MINIMA} minima would miss pairs at {percent} %")
     bounded_batches(docs.sparkSession)
@@ -308,7 +324,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     sets = space.put("sets", fetch_sets(docs, wanted, key, text, width))
     links = space.put("links", confirm(pairs, sets, percent))
     roots = components(links, space, "first")
-    members = space.put("members", open_members(postings, lists, roots))
+    members = space.put("members", open_members(postings, lists, roots, nodes))
     more = members.select("node").distinct().join(nodes.select("node", "label"), "node")
     more = space.put("more", more.join(sets.select("node"), "node", "left_anti"))
     if not more.isEmpty():
@@ -329,14 +345,58 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     space.close("signed", "named")
     out = signed.join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    return out.select(
-        F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept")
-    )
+    return out.select("key", "node", "n_shingles", component.alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, with all its columns; rows without a key always stay."""
+    """One document of each component, with all its columns: that with the smallest key.
+
+    Rows that share a key are told apart by their sets: of a component's rows with its smallest key
+    one stays, and a row whose text belongs to another component is judged there. Rows without a
+    key, and those without words, always stay.
+    """
     space = Workspace(docs.sparkSession, "near_copies")
-    verdicts = near_groups(docs, key, text, width, percent)
-    gone = space.put("gone", verdicts.where("not kept").select(F.col(key).alias("gone")))
-    return docs.join(by_size(gone), docs[key] == gone["gone"], "left_anti")
+    found = space.put("found", _grouped(docs, key, text, width, percent).select("key", "node", "component_id").where("key is not null"))
+    gone = space.put("gone", found.where("key != component_id").select(F.col("key").alias("gone")).distinct())
+    shared = space.put("shared", found.groupBy(F.col("key").alias("shared")).agg(F.count("*").alias("n")).where("n > 1").select("shared"))
+    if shared.isEmpty():
+        return docs.join(by_size(gone), docs[key] == gone["gone"], "left_anti")
+    alone = docs.join(shared, docs[key] == shared["shared"], "left_anti").join(by_size(gone), docs[key] == gone["gone"], "left_anti")
+    winners = found.where("key = component_id and node is not null").groupBy("key").agg(F.min("node").alias("node"))
+    body = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("body")
+    rows = docs.join(shared, docs[key] == shared["shared"], "left_semi").select(F.col(key).alias("key"), text_bytes(text).alias("text"), body)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(value.as_py(), width, hashes) for value in batch.column(1)]
+            nodes = pa.array([set_digest(m) if len(m) else None for m in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, batch.column(2)], ["key", "node", "body"])
+
+    named = rows.mapInArrow(run, rows.select("key", F.lit(None).cast("binary").alias("node"), "body").schema)
+    named = space.put("named", named)
+    turn = F.row_number().over(Window.partitionBy("key", "node").orderBy(F.xxhash64("body")))
+    best = named.where("node is not null").join(winners, ["key", "node"], "left_semi").withColumn("turn", turn).where("turn = 1")
+    stay = best.select("body.*").unionByName(named.where("node is null").select("body.*"))
+    return alone.unionByName(stay)
+
+
+# All pairs that share a shingle, for small tables: the check of the operator with two-word shingles.
+NEAR_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
+  FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS sizes, count(*) AS met
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)
+  GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * met >= {PERCENT} * (sizes - met)),
+steps AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT doc_id, b FROM reach JOIN steps ON a = other),
+roots AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN roots USING (doc_id)
+"""

@@ -95,3 +95,22 @@ def test_signatures_estimate_similarity():
     pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
     one, two = near.signature(np.unique(pool[:2400])), near.signature(np.unique(pool[600:]))
     assert 0.1 < (one == two).mean() < 0.65  # 0.6 squared is 0.36
+
+
+def test_rows_that_share_a_key_are_judged_by_their_texts(spark):
+    long, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, long, "a"), (2, long + " end", "b"), (2, other, "c"), (3, other + " end", "d"), (4, "", "e"), (4, "", "f"), (1, long, "a"), (1, long + " x", "g")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, body string")
+    stay = near.drop_near_copies(docs)
+    got = Counter((r.doc_id, r.text.split(" ")[0]) for r in stay.collect())
+    assert stay.columns == docs.columns
+    # Key 2 is a copy with one text and the first of its group with the other; key 1 stays once.
+    assert got == Counter({(1, "w0"): 1, (2, "v0"): 1, (4, ""): 2})
+
+
+def test_blocks_are_bounded_by_shingles_too(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 300)
+    rows = corpus(9)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near.near_groups(docs, width=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(slow_components(rows, 2, 80))
