@@ -182,3 +182,22 @@ def repeat_by_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
         even = even.select("body", (F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("turn") <= F.col("copies") % F.col("rows"), 1).otherwise(0)).alias("copies"))
         out = out.unionByName(even.where("copies > 0"))
     return out.select("body", F.explode(F.expr("sequence(1L, copies)"))).select("body.*")
+
+
+# What the targets of the contract's parameters are; rates and copies have no SQL form.
+TARGETS_SQL = f"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+named AS (
+  SELECT *, source_size * {CAP}::DOUBLE AS most,
+         CAST([{', '.join(map(str, WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS DOUBLE) AS weight
+  FROM sums),
+placed AS (
+  SELECT *, ({VOLUME}::DOUBLE * sum(source_size) OVER ()
+             - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM named),
+final AS (SELECT *, max(level) FILTER (level * weight <= most) OVER () AS top FROM placed)
+SELECT doc_id, size, source_size, least(most, coalesce(weight * top, most)) AS target
+FROM sized JOIN final ON sized.source IS NOT DISTINCT FROM final.source
+"""

@@ -219,6 +219,35 @@ def train_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     return fit_forest(x[order], y[order])
 
 
+def base_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: key, the base counts and base_failed, which need no model."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(text_bytes(text).alias("text"), F.col(key).alias("key"))
+    kind = rows.schema["key"].dataType.simpleString()
+    found = rows.mapInArrow(_statistics_batches, f"key {kind}, base array<bigint>, x array<double>")
+    names = [f.name for f in VERDICT.fields[:5]]
+    counts = found.select(F.col("key").alias(key), *[F.col("base")[i].alias(name) for i, name in enumerate(names)])
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return counts.withColumn("base_failed", failed)
+
+
+BASE_SQL = f"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+windows AS (SELECT id, i, w[i:i + {WINDOW - 1}] AS run FROM (SELECT id, w, unnest(range(1, len(w) - {WINDOW} + 2)) AS i FROM t)),
+repeated AS (SELECT id, i FROM windows QUALIFY count(*) OVER (PARTITION BY id, run) > 1),
+covered AS (SELECT id, count(DISTINCT i + j) AS n FROM repeated, range({WINDOW}) AS steps(j) GROUP BY id),
+lines AS (SELECT id, unnest(string_split(x, chr(10))) AS line FROM t),
+dups AS (SELECT id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id),
+counts AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda y: length(y))), 0) AS BIGINT) AS word_chars,
+         len(regexp_extract_all(x, '[#*$%&|<>]')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM t LEFT JOIN dups USING (id) LEFT JOIN covered USING (id))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counts
+"""
+
+
 VERDICT = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("word_chars", T.LongType()), T.StructField("n_symbols", T.LongType()),
     T.StructField("n_dup_lines", T.LongType()), T.StructField("n_repeat_words", T.LongType()),

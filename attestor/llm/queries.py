@@ -36,7 +36,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = toxicity.remainder("doc_id", 5)
     model = toxicity.train_toxic(docs, table(spark, sf_dir, "labels"), fold != 0)
     scored = toxicity.score_texts(docs, model)
-    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted", "n_offending", "worst_start", "worst_end")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.select(
+        "doc_id", (fold == 0).alias("held_out"), "score", "predicted", "n_offending", "worst_start", "worst_end", spans.alias("spans")
+    )
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +50,6 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-def op4_secrets_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(table(spark, sf_dir, "documents"), allowed=secrets.COVERING)
-
-
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality.train_quality(docs, table(spark, sf_dir, "labels"))
@@ -79,7 +78,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = toxicity.remainder("doc_id", 3)
     model = language.train_language(docs, fold != 1)
-    return language.identify(docs, model).select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "n_spans")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["lang"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return language.identify(docs, model).select(
+        "doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "n_spans", spans.alias("spans")
+    )
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,13 +108,25 @@ def op13_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.score_quality(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
 
 
+# Parts of operators that SQL can state, where it cannot state the whole.
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that need no model."""
+    return quality.base_columns(table(spark, sf_dir, "documents"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7 before rates and copies."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_warc": op1_warc,
         "op2_toxicity": op2_toxicity,
         "op3_url_filters": op3_url_filters,
         "op4_secrets": op4_secrets,
-        "op4_secrets_covering": op4_secrets_covering,
         "op5_quality_rules": op5_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_mixing": op7_mixing,
@@ -122,6 +136,8 @@ def queries() -> dict[str, Query]:
         "op11_collocations": op11_collocations,
         "op12_resampling": op12_resampling,
         "op13_pu_quality": op13_pu_quality,
+        "quality_base": quality_base,
+        "mixing_targets": mixing_targets,
     }
 
 
@@ -130,8 +146,10 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc": OP1_SQL,
         "op3_url_filters": url_filters.FILTER_SQL,
         "op4_secrets": secrets.report_sql(),
-        "op4_secrets_covering": secrets.report_sql(allowed=secrets.COVERING),
         "op6_exact_dedup": OP6_SQL,
+        "op10_near_dedup": near_dedup.NEAR_SQL,
         "op11_collocations": collocations.COLLOCATIONS_SQL,
         "op12_resampling": resampling.RESAMPLE_SQL,
+        "quality_base": quality.BASE_SQL,
+        "mixing_targets": mixing.TARGETS_SQL,
     }

@@ -8,9 +8,9 @@ Base kinds (assign, access, hex) report every match that is long enough. The ent
 maximal runs of a character class as candidates and slide a window over them; the window's sum of
 ``c * log2 c`` over its character counts ``c`` is kept up by the counts of the one character that
 leaves and the one that enters, in fixed-point integers. A run is reported from its first to its
-last window of high entropy, unless an allow-list pattern matches it or it overlaps a span of
-an earlier kind. ``ALLOWED`` matches anywhere in a run and so also passes over tokens in paths and
-long keys with slashes or dashes; ``COVERING`` has to match the whole run and loses none of them.
+last window of high entropy, unless an allow-list pattern covers it or it overlaps a span of
+an earlier kind. Allow-list patterns cover the whole run, so that a token inside a path or a long key
+that happens to hold a known word is still reported.
 
 A null text counts as empty; texts without spans have empty lists. Repeated rows are scanned one
 by one; other columns are ignored.
@@ -56,22 +56,20 @@ CLASSES = (
     EntropyClass("entropy_hex", "0-9A-Fa-f", 24, ("[0-9]", "[A-Fa-f]"), 24, 3.05),
     EntropyClass("entropy_base64", "A-Za-z0-9+/_-", 24, ("[0-9]", "[a-z]", "[A-Z]"), 24, 3.85),
 )
-# Strings that look random but are none: dashed ids, alphabets and counting, samples, paths.
+# Strings that look random but are none: dashed ids, marks of samples, alphabets and counting within
+# their own short segment, and paths whose parts are all words or numbers of any number. Each covers
+# the whole run. A part ends where its letters end, and no repetition gives back what it took: one
+# walk over the run, however long, without recursion.
+_END = "(?=[/_+-]|$)"
+_WORD = "(?:(?:[a-z]+(?:[A-Z][a-z]{2,})*+|(?:[A-Z][a-z]{2,})++|[A-Z]+|[A-Z][a-z])[0-9]{0,4}|[0-9]{1,4})"
+_PLAIN_WORD = _WORD.replace("*+", "*").replace("++", "+")
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"(?i)abcdefghij|0123456789|9876543210|qwertyuiop",
-    r"(?i)example|sample|placeholder|changeme|dummy",
-    r"/[^/]*/[^/]*/|--",
-)
-# The same, but only where the pattern covers the whole run, so that nothing random is left beside
-# it: a mark counts within its own short segment, a path if all its parts are words or numbers.
-# Alternatives exclude each other and repetitions are bounded: no backtracking, no deep recursion.
-_WORD = "(?:[a-z]+(?:[A-Z][a-z]{2,}){0,8}|(?:[A-Z][a-z]{2,}){1,8}|[A-Z]+|[A-Z][a-z])?[0-9]{0,4}"
-COVERING = (
-    ALLOWED[0],
     r"(?i)^/?[^/]{0,64}(?:abcdefghij|0123456789|9876543210|qwertyuiop|example|sample|placeholder|changeme|dummy)[^/]{0,64}/?$",
-    f"^[/_+-]*{_WORD}(?:[/_+-]+{_WORD}){{0,60}}[/_+-]*$",
+    f"^[/_+-]*+(?:{_WORD}{_END}[/_+-]*+)*+$",
 )
+# The same language for engines without possessive repetition, which do not need it.
+PLAIN = {ALLOWED[2]: f"^[/_+-]*(?:{_PLAIN_WORD}(?:[/_+-]+{_PLAIN_WORD})*)?[/_+-]*$"}
 
 
 def mass(count: int) -> int:
@@ -243,7 +241,7 @@ def report_sql(table: str = "documents", allowed: tuple[str, ...] = ALLOWED) ->
         for k, p in enumerate(patterns)
     )
     passed = " OR ".join(
-        f"(kind = {3 + i} AND " + " AND ".join([f"regexp_matches(s, {_sql_quote(n)})" for n in c.needs] + [f"NOT regexp_matches(s, {_sql_quote(a)})" for a in allowed]) + ")"
+        f"(kind = {3 + i} AND " + " AND ".join([f"regexp_matches(s, {_sql_quote(n)})" for n in c.needs] + [f"NOT regexp_matches(s, {_sql_quote(PLAIN.get(a, a))})" for a in allowed]) + ")"
         for i, c in enumerate(CLASSES)
     )
     width = "CASE kind " + " ".join(f"WHEN {3 + i} THEN {c.window}" for i, c in enumerate(CLASSES)) + " END"

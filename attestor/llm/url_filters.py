@@ -5,6 +5,10 @@ intervals (valid from a day inclusive to a day exclusive). A capture is judged b
 were active on the day it was fetched. Patterns are domains, which cover their subdomains
 ("d:example.org"), and path prefixes by whole segments ("p:www.example.org/a/b").
 
+A URL is only looked up as deep as the list goes: as many labels of its host, from the right, and as
+many segments of its path as the deepest entry has. A long path costs its length once. Slashes at the
+end of a path pattern say nothing and are dropped.
+
 Lists are dated by day, so captures are first reduced to distinct (URL, day) visits and their
 (pattern, day) pairs. A pattern then has at most one row a day on either side of the as-of join,
 however many captures its host has: the window per (pattern, list) is bounded by the calendar.
@@ -21,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from attestor.llm.common import Workspace
+
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port and final dot; null if there is none."""
@@ -29,23 +35,40 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def patterns_of(url: Column) -> Column:
-    """All patterns that cover a URL: each suffix of its host, each prefix of its path."""
+def patterns_of(url: Column, labels_upto: int | None = None, segments_upto: int | None = None) -> Column:
+    """All patterns that cover a URL: each suffix of its host, each prefix of its path.
+
+    With bounds, only suffixes of so many labels and prefixes of so many segments (-1: none).
+    """
     labels = F.split(host_of(url), r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, n), ".")))
+    first = F.lit(1) if labels_upto is None else F.greatest(F.lit(1), n - labels_upto + 1)
+    suffixes = F.when(first <= n, F.sequence(first, n)).otherwise(F.array().cast("array<int>"))
+    domains = F.transform(suffixes, lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, n), ".")))
     path = F.regexp_extract(url, r"^[^:]+://[^/?#]*(/[^?#]*)", 1)
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    if segments_upto is not None:
+        segments = F.slice(segments, 1, max(segments_upto, 0))
     folders = F.transform(
         F.sequence(F.lit(0), F.size(segments)),
         lambda i: F.concat(F.lit("p:"), F.array_join(F.concat(F.array(host_of(url)), F.slice(segments, F.lit(1), i)), "/")),
     )
-    return F.when(host_of(url).isNotNull(), F.array_distinct(F.concat(domains, folders)))
+    every = domains if segments_upto == -1 else F.concat(domains, folders)
+    return F.when(host_of(url).isNotNull(), F.array_distinct(every))
+
+
+def depths(valid: DataFrame) -> tuple[int, int]:
+    """The most labels of a domain and the most path segments among the patterns; 0 and -1 if none."""
+    parts = lambda mark: F.size(F.split(F.col("pattern"), mark))
+    kind = F.substring("pattern", 1, 2)
+    labels, segments = valid.agg(F.max(F.when(kind == "d:", parts(r"\."))), F.max(F.when(kind == "p:", parts("/") - 1))).first()
+    return labels or 0, -1 if segments is None else segments
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """Validity intervals: list, pattern, valid_from, valid_to (null: still valid)."""
     usable = entries.where("list is not null and pattern is not null and action in ('add', 'remove') and day is not null")
+    usable = usable.withColumn("pattern", F.regexp_replace("pattern", "/+$", ""))
     daily = usable.groupBy("list", "pattern", "day").agg(F.max(F.col("action") == "add").alias("on"))
     order = Window.partitionBy("list", "pattern").orderBy("day")
     changes = daily.withColumn("was", F.lag("on", 1, False).over(order)).where("`on` != was")
@@ -73,8 +96,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, key: str = "page_id", u
     """
     rows = captures.select(F.col(key).alias("key"), F.col(url).alias("url"), F.to_date(fetched).alias("day"))
     visits = rows.where("url is not null and day is not null").select("url", "day").distinct()
-    covered = visits.select("url", "day", F.explode(patterns_of(F.col("url"))).alias("pattern"))
-    valid = intervals(entries)
+    valid = Workspace(captures.sparkSession, "url_filters").put("valid", intervals(entries))
+    covered = visits.select("url", "day", F.explode(patterns_of(F.col("url"), *depths(valid))).alias("pattern"))
     asked = covered.select("pattern", "day").distinct()
     live = active_entries(asked, valid)
     best = F.struct((-F.length("pattern")).alias("length"), "pattern", "list", "valid_from", "valid_to")
@@ -104,21 +127,23 @@ SELECT page_id, url, CAST('2024-01-01 00:00:00' AS TIMESTAMP) + (page_id * 10472
 """
 ENTRIES = """
 SELECT CASE page_id % 7 WHEN 0 THEN 'allow' WHEN 1 THEN 'malware' WHEN 2 THEN 'malware' ELSE 'adult' END AS list,
-       CASE WHEN page_id % 3 = 0 THEN 'd:' || host
-            WHEN page_id % 3 = 1 THEN 'p:' || host || '/' || first
-            ELSE 'p:' || host || '/' || first || '/' || second END AS pattern,
-       CASE WHEN page_id % 4 = 0 THEN 'remove' ELSE 'add' END AS action,
+       CASE WHEN page_id % 4 = 0 THEN 'd:' || host
+            WHEN page_id % 4 = 1 THEN 'd:' || CASE WHEN parent = '' THEN host ELSE parent END
+            WHEN page_id % 4 = 2 THEN 'p:' || host || '/' || first
+            ELSE 'p:' || host || '/' || first || '/' || second || '/' END AS pattern,
+       CASE WHEN page_id % 5 = 0 THEN 'remove' ELSE 'add' END AS action,
        CAST(DATE '2024-01-01' + CAST(page_id * 7919 % 730 AS INT) * INTERVAL 1 DAY AS DATE) AS day
-FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host,
-             regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]+)', 1) AS first,
-             regexp_extract(url, '^[a-z]+://[^/]+/[^/?#]+/([^/?#]+)', 1) AS second
-      FROM pages WHERE url IS NOT NULL AND page_id % 5 < 2) AS named
+FROM (SELECT page_id, host, regexp_extract(host, '^[^.]+[.]([^.]+[.].+)$', 1) AS parent, first, second
+      FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host,
+                   regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]+)', 1) AS first,
+                   regexp_extract(url, '^[a-z]+://[^/]+/[^/?#]+/([^/?#]+)', 1) AS second
+            FROM pages WHERE url IS NOT NULL) AS cut) AS named
 WHERE host <> ''
 """
 
 
 def derived(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Captures of all pages, and dated list entries made from two of five pages by their number."""
+    """Captures of all pages, and dated list entries made from all pages: hosts, parent domains, folders."""
     spark = pages.sparkSession
     return spark.sql(CAPTURES.replace("FROM pages", "FROM {pages}").replace("1 MINUTE", "'1' MINUTE"), pages=pages), spark.sql(
         ENTRIES.replace("FROM pages", "FROM {pages}").replace("1 DAY", "'1' DAY"), pages=pages
@@ -127,7 +152,7 @@ def derived(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 FILTER_SQL = f"""
 WITH c AS ({CAPTURES}), e AS ({ENTRIES}),
-daily AS (SELECT list, pattern, day, max(action = 'add') AS live FROM e GROUP BY ALL),
+daily AS (SELECT list, regexp_replace(pattern, '/+$', '') AS pattern, day, max(action = 'add') AS live FROM e GROUP BY ALL),
 changes AS (SELECT * FROM (SELECT *, lag(live, 1, false) OVER (PARTITION BY list, pattern ORDER BY day) AS was FROM daily) WHERE live <> was),
 ended AS (SELECT *, lead(day) OVER (PARTITION BY list, pattern ORDER BY day) AS valid_to FROM changes),
 valid AS (SELECT list, pattern, day AS valid_from, valid_to FROM ended WHERE live),

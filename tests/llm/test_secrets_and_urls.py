@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -107,9 +108,10 @@ def test_covering_allow_list_keeps_secrets_in_paths_and_long_keys(spark):
     passed = [
         "/usr/lib/python3/dist-packages/PackageFinder/Tests01/run_all", "--very-long-option-Name2 --other-long-option-Number12",
         "3F2504E0-4F89-11D3-9A0C-0305E82C3301", f"sample {KEY}example", letters, "/" * 5000, "/Ab1" * 20_000, "Ab-" * 60 + "Cd1",
+        "Ab-" * 200 + "Cd1", "-" * 3000 + "someWordHere1" + "_" * 3000 + "X2", "oneTwoThreeFourFiveSixSevenEightNineTenEleven1/" + "Abc" * 30,
     ]
     docs = spark.createDataFrame(list(enumerate(found + passed)), "doc_id bigint, text string")
-    got = {r.doc_id: r.spans for r in secrets.report(docs, allowed=secrets.COVERING).collect()}
+    got = {r.doc_id: r.spans for r in secrets.report(docs).collect()}
     lost = [found[i] for i in range(len(found)) if not got[i]]
     assert not lost and [got[len(found) + i] for i in range(len(passed))] == [""] * len(passed)
     # The secret itself lies within the reported span.
@@ -119,7 +121,16 @@ def test_covering_allow_list_keeps_secrets_in_paths_and_long_keys(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", [[i, t] for i, t in enumerate(found + passed)])
-    assert {r[0]: r[-1] for r in con.sql(secrets.report_sql(allowed=secrets.COVERING)).fetchall()} == got
+    assert {r[0]: r[-1] for r in con.sql(secrets.report_sql()).fetchall()} == got
+
+
+def test_hostile_runs_take_one_walk(spark):
+    marks, token = "-" * 100_000, "aB123456789012345678901234"
+    texts = [marks + token, token + marks, marks + "Word1" + marks, "/_+-" * 25_000 + "x" + "Ab" * 1000, "a" * 100_000 + "Z9", "Abc" * 40_000 + "dE9", "aB1-" * 30_000 + "%"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    start = time.monotonic()
+    got = {r.doc_id: r.spans for r in secrets.report(docs).collect()}
+    assert time.monotonic() - start < 60 and got[0] and got[1] and not got[2] and not got[5]
 
 
 # --- URLs ----------------------------------------------------------------------------------
@@ -135,6 +146,27 @@ def test_patterns(spark):
     assert got[1] == ["d:a.b", "d:b", "p:a.b"] and got[2] is got[3] is got[4] is None and got[5][0] == "d:example.com"
 
 
+def test_patterns_are_only_as_deep_as_the_list(spark):
+    rows = spark.createDataFrame([("http://a.b.c.org/x/y/z",)], "u string")
+    of = lambda *upto: rows.select(url_filters.patterns_of(F.col("u"), *upto).alias("p")).first().p
+    assert of(2, 1) == ["d:c.org", "d:org", "p:a.b.c.org", "p:a.b.c.org/x"]
+    assert of(0, -1) == [] and of(1, 0) == ["d:org", "p:a.b.c.org"] and of(9, 9) == of()
+    pairs = [("l", "d:a.org"), ("l", "d:x.a.org"), ("l", "p:a.org/b/c"), ("m", "p:a.org")]
+    assert url_filters.depths(spark.createDataFrame(pairs, "list string, pattern string")) == (3, 2)
+    assert url_filters.depths(spark.createDataFrame([], "list string, pattern string")) == (0, -1)
+
+
+def test_long_urls_and_slashes_at_the_end(spark):
+    day = dt.datetime(2024, 1, 9)
+    entries = [("bad", "p:a.org/x/", "add", DAY(1)), ("bad", "p:b.org//", "add", DAY(1)), ("worse", "d:a.org", "add", DAY(1))]
+    urls = ["http://a.org/x/" + "y/" * 500_000, "http://b.org/" + "z" * 1_000_000, "http://" + "s." * 100_000 + "a.org/", "http://a.org/xx"]
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id bigint, url string, fetched timestamp")
+    start = time.monotonic()
+    got = {r.page_id: (r.n_active, r.pattern) for r in url_filters.filter_urls(captures, spark.createDataFrame(entries, "list string, pattern string, action string, day date")).collect()}
+    assert time.monotonic() - start < 60
+    assert got == {0: (2, "p:a.org/x"), 1: (1, "p:b.org"), 2: (1, "d:a.org"), 3: (1, "d:a.org")}
+
+
 ENTRIES = [
     ("bad", "d:example.org", "add", 5), ("bad", "d:example.org", "add", 7), ("bad", "d:example.org", "remove", 10), ("bad", "d:example.org", "remove", 12),
     ("bad", "d:example.org", "add", 20), ("bad", "d:example.org", "remove", 20), ("worse", "p:www.example.org/a", "add", 8), ("allow", "p:www.example.org/a/b", "add", 9),
