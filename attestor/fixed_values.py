@@ -104,6 +104,8 @@ PLAIN_WORDS = {
 RULE_SOURCE = "rule catalogue"
 STAGES = "mask > triage > audit > report"
 
+NOT_SCORED = "not scored"
+
 # --- our own triage cues: whole words of the lower-cased masked text, one point each ---
 TRIAGE_CUES = {
     "invoice": ("invoices?", "amount due", "bills?", "purchase orders?"),

@@ -107,17 +107,35 @@ def bullet_list(items: Column | str, none_text: str) -> Column:
     return F.when(F.size(items) > 0, lines).otherwise(F.lit(none_text))
 
 
+def score_text(score: Column | str) -> Column:
+    return F.coalesce(F.concat(column(score).cast("string"), F.lit("/100")), F.lit(V.NOT_SCORED))
+
+
 def executive_summary(
     doc_type: Column, status: Column, severity: Column, score: Column,
-    violations: Column, recommendations: Column,
+    violations: Column, recommendations: Column, not_evaluated: Column,
 ) -> Column:
-    """The Markdown summary of one verdict, from integers and texts only."""
+    """The Markdown summary of one verdict, from integers and texts only.
+
+    Rules that could not be evaluated are named; a document that has such rules and breaks none is
+    neither compliant nor the contrary, and without any evaluated rule it has no score.
+    """
     count = F.size(violations).cast("string")
-    mark = F.when(status == V.COMPLIANT, F.lit("COMPLIANT ✅")).otherwise(F.lit("NON_COMPLIANT ❌"))
-    finding = F.when(
-        F.size(violations) > 0,
-        F.concat(F.lit("The document breaks "), count, F.lit(" applicable rule(s).")),
-    ).otherwise(F.lit("The document satisfies every applicable rule."))
+    mark = F.when(status == V.COMPLIANT, F.lit("COMPLIANT ✅")).when(
+        status == V.REVIEW_NEEDED, F.lit(f"{V.REVIEW_NEEDED} ⚠")
+    ).otherwise(F.lit("NON_COMPLIANT ❌"))
+    open_rules = F.size(not_evaluated) > 0
+    unknown = F.concat(
+        F.size(not_evaluated).cast("string"), F.lit(" applicable rule(s) could not be evaluated: "),
+        F.array_join(not_evaluated, ", "), F.lit("."),
+    )
+    broken = F.concat(F.lit("The document breaks "), count, F.lit(" applicable rule(s)."))
+    finding = (
+        F.when((F.size(violations) > 0) & open_rules, F.concat(broken, F.lit(" "), unknown))
+        .when(F.size(violations) > 0, broken)
+        .when(open_rules, F.concat(F.lit("The document breaks no rule that was evaluated. "), unknown))
+        .otherwise(F.lit("The document satisfies every applicable rule."))
+    )
     return F.concat_ws(
         "\n",
         F.lit("## Compliance Audit Report"),
@@ -125,7 +143,7 @@ def executive_summary(
         F.concat(F.lit("**Document Type:** "), doc_type),
         F.concat(F.lit("**Audit Status:** "), mark),
         F.concat(F.lit("**Risk Severity:** "), severity),
-        F.concat(F.lit("**Compliance Score:** "), score.cast("string"), F.lit("/100")),
+        F.concat(F.lit("**Compliance Score:** "), score_text(score)),
         F.lit(""),
         F.lit("### Executive Summary"),
         finding,

@@ -21,6 +21,7 @@ def report_defaults(ledger: DataFrame) -> DataFrame:
         return F.when(T.missing(name), F.lit(default)).otherwise(F.col(name))
 
     none = F.array().cast("array<string>")
+    unknown = F.coalesce(field("$.audit_result.not_evaluated", "array<string>"), none)
     return ledger.select(
         F.col("id").alias("log_id"),
         F.coalesce("timestamp", T.utc_now()).alias("timestamp"),
@@ -28,12 +29,13 @@ def report_defaults(ledger: DataFrame) -> DataFrame:
         text_or("doc_type", V.UNKNOWN).alias("doc_type"),
         text_or("status", V.NON_COMPLIANT).alias("status"),
         text_or("severity", "LOW").alias("severity"),
-        F.coalesce(field("$.compliance_score", "int"), F.lit(0)).alias("compliance_score"),
+        F.coalesce(field("$.compliance_score", "int"), F.when(F.size(unknown) == 0, F.lit(0))).alias("compliance_score"),
         F.coalesce(field("$.pii_was_detected", "boolean"), F.lit(False)).alias("pii_detected"),
         F.coalesce(field("$.audit_result.violations", "array<string>"), none).alias("violations"),
         F.coalesce(field("$.audit_result.recommendations", "array<string>"), none).alias("recommendations"),
         F.coalesce(field("$.executive_summary", "string"), F.lit("")).alias("executive_summary"),
         F.coalesce(field("$.audit_result.rule_source", "string"), F.lit(V.RULE_SOURCE)).alias("rule_source"),
+        unknown.alias("not_evaluated"),
     )
 
 
@@ -91,7 +93,7 @@ def report_line_array(fields: DataFrame) -> DataFrame:
         F.array(
             said("VERDICT STATUS", T.verdict_label("status")),
             said("RISK SEVERITY", F.upper("severity")),
-            said("COMPLIANCE SCORE", F.concat(F.col("compliance_score").cast("string"), F.lit("/100"))),
+            said("COMPLIANCE SCORE", T.score_text("compliance_score")),
         ),
         F.concat(title("Executive Summary"), F.array(T.clean_markdown("executive_summary"))),
         F.concat(
@@ -104,6 +106,8 @@ def report_line_array(fields: DataFrame) -> DataFrame:
             title("Regulatory Standards Applied"),
             F.array(F.concat(F.lit("Rules applied are sourced from: "), F.col("rule_source"))),
         ),
+        F.when(F.size("not_evaluated") > 0, F.concat(title("Rules Not Evaluated"), F.transform("not_evaluated", lambda r: F.concat(F.lit("-> "), r))))
+        .otherwise(F.array().cast("array<string>")),
     ]
     lines = F.concat(*[_lines(n, s) for n, s in enumerate(sections, start=1)])
     return fields.select("log_id", "timestamp", "filename", lines.alias("lines"))

@@ -71,7 +71,7 @@ def evaluate_rules(docs: DataFrame, rules: DataFrame, text: str = "scrubbed_text
 
 
 def evaluate_rules_by_join(docs: DataFrame, rules: DataFrame, text: str = "scrubbed_text") -> DataFrame:
-    """The same outcomes with the patterns as data: the form for catalogues beyond literals."""
+    """The same outcomes with the patterns as data, a copy of the text for each rule: a test aid."""
     subject = F.col(text)
     must = F.col("must").isNull() | (F.regexp_count(subject, "must") >= F.col("min_count"))
     must_not = F.col("must_not").isNull() | ~F.rlike(subject, F.col("must_not"))
@@ -84,9 +84,10 @@ def evaluate_rules_by_join(docs: DataFrame, rules: DataFrame, text: str = "scrub
 
 def _verdict(total: Column, passed: Column, unknown: Column, rank: Column) -> dict[str, Column]:
     """``total`` rules were evaluated, ``unknown`` ones have no predicate and decide nothing: a
-    document that breaks no rule but has such rules needs a review."""
+    document that breaks no rule but has such rules needs a review. Where nothing was evaluated but
+    something should have been, there is no score."""
     severities = F.array(*[F.lit(s) for s in V.SEVERITIES])
-    score = F.when(total > 0, F.floor(100 * passed / total)).otherwise(F.lit(100))
+    score = F.when(total > 0, F.floor(100 * passed / total)).when(unknown == 0, F.lit(100))
     return {
         "status": F.when(passed < total, F.lit(V.NON_COMPLIANT))
         .when(unknown > 0, F.lit(V.REVIEW_NEEDED)).otherwise(F.lit(V.COMPLIANT)),
@@ -148,12 +149,16 @@ def audit_verdict_by_group(evals: DataFrame) -> DataFrame:
 def package_result(
     docs: DataFrame, rule_source: str = V.RULE_SOURCE, stages: str = V.STAGES
 ) -> DataFrame:
-    """Add full_report: the complete audit record of one document as a struct."""
+    """Add full_report: the complete audit record of one document as a struct.
+
+    Verdicts that come without ``not_evaluated``, as those of a model, have evaluated every rule.
+    """
+    unknown = F.col("not_evaluated") if "not_evaluated" in docs.columns else F.array().cast("array<string>")
     report = F.struct(
         "filename", "doc_type", "status", "severity", "compliance_score",
         F.col("pii_detected").alias("pii_was_detected"),
         F.struct(
-            "violations", "recommendations", F.lit(rule_source).alias("rule_source")
+            "violations", "recommendations", F.lit(rule_source).alias("rule_source"), unknown.alias("not_evaluated")
         ).alias("audit_result"),
         "executive_summary",
         text_preview("scrubbed_text").alias("scrubbed_text_preview"),
@@ -164,7 +169,7 @@ def package_result(
 
 def with_summary(docs: DataFrame) -> DataFrame:
     """Add executive_summary."""
-    names = ("doc_type", "status", "severity", "compliance_score", "violations", "recommendations")
+    names = ("doc_type", "status", "severity", "compliance_score", "violations", "recommendations", "not_evaluated")
     return docs.withColumn("executive_summary", executive_summary(*[F.col(n) for n in names]))
 
 

@@ -2,6 +2,7 @@ import json
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from attestor.functions import json_fields, masking
@@ -67,6 +68,39 @@ def test_literal_and_join_forms_agree(spark, rules):
     assert sorted(row_local.select(*columns).collect()) == sorted(grouped.select(*columns).collect())
 
 
+def test_cues_are_whole_words_and_word_pairs(spark):
+    cues = {"one": ("invoices?", "amount due", "x-ray"), "two": ("purchase orders?", "due date now", "iso"), "three": ("amounts?",)}
+    said = {
+        "Invoice": ("one", 1), "invoices, INVOICE": ("one", 1), "invoicess my_invoice invoice2": (None, 0), "amount due": ("one", 2),
+        "amount  due": ("three", 1), "amount\ndue": ("three", 1), "amount, due": ("three", 1), "(amount due)": ("one", 2), "éiso": ("two", 1),
+        "isoé iso": ("two", 1), "purchase order": ("two", 1), "purchase orders.": ("two", 1), "purchase ordersx": (None, 0), "due date now": ("two", 1),
+        "due date": (None, 0), "an x-ray": ("one", 1), "x-rays": (None, 0), "iso purchase order invoice": ("two", 3), "": (None, 0), None: (None, 0),
+    }
+    rows = spark.createDataFrame(list(enumerate(said)), "i int, text string")
+    got = rows.select("i", triage.triage_of("text", cues).alias("t")).orderBy("i").collect()
+    for row, (text, (kind, total)) in zip(got, said.items()):
+        assert row.t.doc_type == (kind or "unknown"), text
+        assert (f"of {total} cue" in row.t.reasoning) if total else row.t.reasoning == "no cue found", text
+    assert triage.spellings("bills?") == ["bill", "bills"] and triage.spellings("a|b") is None
+    many = {f"t{i}": tuple(f"word{i}x{j}" for j in range(50)) for i in range(40)}
+    one = spark.createDataFrame([("say word7x3 and word7x4 or word9x1",)], "text string").select(triage.triage_of("text", many).alias("t")).first().t
+    assert (one.doc_type, one.reasoning) == ("t7", "2 of 3 cue(s) found point to t7")
+
+
+def test_rules_that_were_not_evaluated_are_named_everywhere(spark):
+    general = [{"id": "G-1", "must": "date"}, {"id": "G-2"}]
+    rows = [Row(category="general", id=r["id"], description="d", severity="LOW", regulation="r", must=r.get("must"), must_not=None, min_count=1) for r in general]
+    texts = spark.createDataFrame([(0, "a.txt", 9, "text/plain", "the date"), (1, "b.txt", 9, "text/plain", "nothing")], "doc_id int, filename string, size_bytes int, declared_mime string, text string")
+    good, bad = audit_uploads(texts, rows).orderBy("doc_id").collect()
+    assert (good.status, good.compliance_score, good.full_report.audit_result.not_evaluated) == ("REVIEW_NEEDED", 100, ["G-2"])
+    assert "**Audit Status:** REVIEW_NEEDED ⚠" in good.executive_summary
+    assert "breaks no rule that was evaluated. 1 applicable rule(s) could not be evaluated: G-2." in good.executive_summary
+    assert (bad.status, bad.compliance_score) == ("NON_COMPLIANT", 0)
+    assert "The document breaks 1 applicable rule(s). 1 applicable rule(s) could not be evaluated: G-2." in bad.executive_summary
+    alone = audit_uploads(texts, rows[1:]).first()
+    assert (alone.status, alone.compliance_score) == ("REVIEW_NEEDED", None) and "**Compliance Score:** not scored" in alone.executive_summary
+
+
 def test_audit_has_no_shuffle_and_no_python(spark):
     df = spark.range(10).selectExpr("id AS doc_id", "'a.txt' AS filename", "id AS size_bytes", "'' AS declared_mime", "'x' AS text")
     plan = audit_uploads(df, catalogue.builtin_rows())._jdf.queryExecution().executedPlan().toString()
@@ -105,7 +139,7 @@ def test_catalogue_file_keeps_order_and_skips_other_keys(spark, tmp_path):
     df = spark.createDataFrame([("x", "ZETA")], "text string, doc_type string")
     assert [e.passed for e in df.select(checked.alias("e")).first().e] == [None]
     judged = verdict.audit_verdict(df.select(checked.alias("e")), "e").first()
-    assert (judged.status, judged.compliance_score, judged.not_evaluated, judged.violations) == ("REVIEW_NEEDED", 100, ["Z-1"], [])
+    assert (judged.status, judged.compliance_score, judged.not_evaluated, judged.violations) == ("REVIEW_NEEDED", None, ["Z-1"], [])
 
 
 def test_large_catalogue_in_both_forms(spark):
