@@ -334,6 +334,18 @@ LINES = [
       UNION ALL SELECT id, 7, 2, 'Rules applied are sourced from: {V.RULE_SOURCE}' FROM ledger"""),
 ]
 
+SUPPLIED = [
+    *TYPED,
+    ("h", """SELECT doc_id, filename, doc_type,
+      NOT regexp_matches(t, '(?i)\\bdate\\b') AS f1, contains(t, '[REDACTED_EMAIL]') AS f2, contains(t, '[REDACTED_AADHAAR]') AS f3,
+      doc_type = 'invoice' AND len(regexp_extract_all(t, '[0-9]{3}')) < 2 AS f5, doc_type = 'certificate' AS open FROM typed"""),
+    ("n", "SELECT *, f1::INT + f2::INT + f3::INT + f5::INT AS bad, 3 + (doc_type = 'invoice')::INT AS n FROM h"),
+    ("supplied", """SELECT *, CASE WHEN bad > 0 THEN 'NON_COMPLIANT' WHEN open THEN 'REVIEW_NEEDED' ELSE 'COMPLIANT' END AS status,
+      CASE WHEN f3 THEN 'CRITICAL' WHEN f2 THEN 'HIGH' WHEN f5 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CAST(floor(100 * (n - bad) / n) AS INT) AS compliance_score,
+      concat_ws('|', CASE WHEN f1 THEN 'H-01: Must state a date.' END, CASE WHEN f2 THEN 'H-02: Must hold no address.' END,
+        CASE WHEN f3 THEN 'GEN-02: No identity numbers.' END, CASE WHEN f5 THEN 'H-05: Must name two numbers.' END) AS violations,
+      CASE WHEN open THEN 'H-09' ELSE '' END AS not_evaluated FROM n"""),
+]
 TYPES = [*TYPED, ("types", "SELECT doc_type, count(*) AS documents FROM typed GROUP BY 1"), RULES, LOOKUPS]
 _DEMAND = f"""SELECT r.id AS rule_id, sum(d.documents) AS documents FROM types d CROSS JOIN lookups l
   JOIN rules r ON r.category = {_WANTED} GROUP BY 1"""
@@ -500,15 +512,14 @@ def all_checks() -> dict[str, str]:
         "reentered_audit": ctes(("b0", I.duck_sql(I.BUSINESS_DOCUMENTS)), ("pages_", "SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn, text) FILTER (length(text) > 0), '') AS back FROM conversations GROUP BY conv_id"),
           ("b", f"SELECT b0.* REPLACE (CASE WHEN doc_id % 47 = 0 AND {blank('text')} THEN coalesce(back, text) ELSE text END AS text) FROM b0 LEFT JOIN pages_ ON conv_id = doc_id % 40"), *AUDITED[1:])
           + f"SELECT doc_id, route, reject_code, doc_type, status, severity, pii_detected FROM ({_FULL})",
-        "supplied_catalogue": ctes(*TYPED, ("h", """SELECT doc_id, doc_type,
-            NOT regexp_matches(t, '(?i)\\bdate\\b') AS f1, contains(t, '[REDACTED_EMAIL]') AS f2, contains(t, '[REDACTED_AADHAAR]') AS f3,
-            doc_type = 'invoice' AND len(regexp_extract_all(t, '[0-9]{3}')) < 2 AS f5, doc_type = 'certificate' AS open FROM typed"""),
-          ("n", "SELECT *, f1::INT + f2::INT + f3::INT + f5::INT AS bad, 3 + (doc_type = 'invoice')::INT AS n FROM h"))
-          + """SELECT doc_id, CASE WHEN bad > 0 THEN 'NON_COMPLIANT' WHEN open THEN 'REVIEW_NEEDED' ELSE 'COMPLIANT' END AS status,
-            CASE WHEN f3 THEN 'CRITICAL' WHEN f2 THEN 'HIGH' WHEN f5 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CAST(floor(100 * (n - bad) / n) AS INT) AS compliance_score,
-            concat_ws('|', CASE WHEN f1 THEN 'H-01: Must state a date.' END, CASE WHEN f2 THEN 'H-02: Must hold no address.' END,
-              CASE WHEN f3 THEN 'GEN-02: No identity numbers.' END, CASE WHEN f5 THEN 'H-05: Must name two numbers.' END) AS violations,
-            CASE WHEN open THEN 'H-09' ELSE '' END AS not_evaluated FROM n""",
+        "supplied_catalogue": ctes(*SUPPLIED) + "SELECT doc_id, status, severity, compliance_score, violations, not_evaluated FROM supplied",
+        "review_needed_reports": ctes(*SUPPLIED) + """SELECT filename, status, not_evaluated, not_evaluated AS shown_rules, CAST(compliance_score AS VARCHAR) || '/100' AS shown_score,
+          CASE status WHEN 'COMPLIANT' THEN 'COMPLIANT ✅' WHEN 'REVIEW_NEEDED' THEN 'REVIEW_NEEDED ⚠' ELSE 'NON_COMPLIANT ❌' END AS shown_status,
+          CASE WHEN bad > 0 AND open THEN 'The document breaks ' || bad || ' applicable rule(s). 1 applicable rule(s) could not be evaluated: H-09.'
+            WHEN bad > 0 THEN 'The document breaks ' || bad || ' applicable rule(s).'
+            WHEN open THEN 'The document breaks no rule that was evaluated. 1 applicable rule(s) could not be evaluated: H-09.'
+            ELSE 'The document satisfies every applicable rule.' END AS finding
+          FROM supplied WHERE severity NOT IN ('HIGH', 'CRITICAL')""",
     }
     merged = checks["merged_verdicts"]
     checks["model_audit"] = ctes(*MASKED, *LATEST, ("v", merged), ("r", """SELECT m.doc_id, m.filename, m.received_at, v.* EXCLUDE (doc_id), coalesce(l.final_text, '') AS summary,
@@ -518,6 +529,8 @@ def all_checks() -> dict[str, str]:
     checks["rule_evaluations_by_join"] = checks["rule_evaluations"]
     checks["audit_verdicts_by_group"] = checks["audit_verdicts"]
     checks["streamed_audit"] = checks["full_audit"]
+    checks["streamed_sessions"] = checks["streamed_approvals"]
+    checks["shared_ledger"] = ctes(*LEDGER) + f"SELECT id, {TS.format('ts')} AS timestamp, filename, doc_type, status, severity, compliance_score FROM ledger"
     status = """SELECT b.doc_id, b.filename, coalesce(a.status, 'UNKNOWN') AS status, coalesce(a.severity, 'UNKNOWN') AS severity,
       CAST(coalesce(len(a.violations), 0) AS INT) AS violation_count,
       CASE WHEN b.size_bytes IS NULL THEN 'File does not exist' WHEN g.reject_detail IS NOT NULL THEN 'Error: ' || g.reject_detail[1:40] END AS message, g.reject_detail AS error

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from attestor import fixed_values as V
@@ -102,12 +102,16 @@ def _approved(spark: SparkSession, sf: str, audited: DataFrame) -> DataFrame:
 
 
 def _ledger(spark: SparkSession, sf: str) -> DataFrame:
+    return ledger_store.read_ledger(spark, _ledger_path(spark, sf))
+
+
+def _ledger_path(spark: SparkSession, sf: str) -> str:
     """A stored ledger: one batch passed at once, one batch approved by reviewers."""
     audited = _audited(spark, sf, "doc_id", "filename", "doc_type", "status", "severity", "received_at", "full_report", "session_id")
     path = scratch_path(spark, "ledger")
-    ledger_store.append_ledger(_results(audited), path, 0)
-    ledger_store.append_ledger(_approved(spark, sf, audited), path, 1)
-    return ledger_store.read_ledger(spark, path)
+    ledger_store.append_ledger(_results(audited), path, "audit", 0)
+    ledger_store.append_ledger(_approved(spark, sf, audited), path, "approval", 0)
+    return path
 
 
 def _violations(spark: SparkSession, sf: str) -> DataFrame:
@@ -491,18 +495,43 @@ SUPPLIED = {
 }
 
 
+def _supplied_rows(spark: SparkSession) -> list[Row]:
+    path = scratch_path(spark, "supplied")
+    spark.range(1).select(F.lit(json.dumps(SUPPLIED)).alias("value")).coalesce(1).write.text(path)
+    return verdict.catalogue_rows(catalogue.with_predicates(catalogue.load_rules(spark, path)))
+
+
 @query("supplied_catalogue", "S5, J2, A2")
 def supplied_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     """Audit with a catalogue file that states its own predicates, and one rule without any."""
-    path = scratch_path(spark, "supplied")
-    spark.range(1).select(F.lit(json.dumps(SUPPLIED)).alias("value")).coalesce(1).write.text(path)
-    rows = verdict.catalogue_rows(catalogue.with_predicates(catalogue.load_rules(spark, path)))
+    rows = _supplied_rows(spark)
     columns = ("doc_id", "status", "severity", "compliance_score", "violations", "not_evaluated")
     return _accepted(audit_staged(_business(spark, sf), rows, columns)).select(
         "doc_id", "status", "severity", "compliance_score", _joined("violations").alias("violations"), _joined("not_evaluated").alias("not_evaluated")
     )
 
 
+@query("review_needed_reports", "F14, C7, C8, S6")
+def review_needed_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """What a reader of the stored report sees of rules that could not be evaluated."""
+    columns = ("doc_id", "filename", "doc_type", "status", "severity", "received_at", "full_report", "session_id")
+    audited = audit_staged(_business(spark, sf), _supplied_rows(spark), columns)
+    path = scratch_path(spark, "ledger")
+    ledger_store.append_ledger(_results(audited), path, "audit", 0)
+    stored = ledger_store.read_ledger(spark, path)
+    texts = reports.report_texts(stored).select("log_id", "report_text")
+    seen = stored.join(texts, stored["id"] == texts["log_id"])
+    shown = lambda pattern: F.regexp_extract("report_text", pattern, 1)
+    return seen.select(
+        "filename", "status",
+        _joined(F.try_variant_get("report", "$.audit_result.not_evaluated", "array<string>")).alias("not_evaluated"),
+        shown(r"Rules Not Evaluated\n-> ([^\n]*)").alias("shown_rules"),
+        shown(r"COMPLIANCE SCORE: ([^\n]*)").alias("shown_score"),
+        F.regexp_extract(F.try_variant_get("report", "$.executive_summary", "string"), r"Audit Status:\*\* ([^\n]*)", 1).alias("shown_status"),
+        F.regexp_extract(F.try_variant_get("report", "$.executive_summary", "string"), r"### Executive Summary\n([^\n]*)", 1).alias("finding"),
+    )
+
+
 @query("executive_summaries", "C7")
 def executive_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return _accepted(_audited(spark, sf, "doc_id", "executive_summary")).select("doc_id", "executive_summary")
@@ -581,7 +610,7 @@ def model_audit(spark: SparkSession, sf: str) -> DataFrame:
     results = audit_answers(masked, inputs.agent_events(spark, sf), _fallback(spark, sf))
     results = staged(results.withColumnRenamed("received_at", "timestamp"), "model-audit")
     path = scratch_path(spark, "model-ledger")
-    ledger_store.append_ledger(results.where("route = 'auto'"), path)
+    ledger_store.append_ledger(results.where("route = 'auto'"), path, "model", 0)
     stored = ledger_store.read_ledger(spark, path).select("id", F.col("filename").alias("stored_name"), F.try_variant_get("report", "$.status", "string").alias("report_status"))
     return results.join(stored, results["filename"] == stored["stored_name"], "left").select(
         "doc_id", "filename", "route", "doc_type", "status", "severity", "compliance_score", _joined("violations").alias("violations"),
@@ -719,12 +748,12 @@ def stored_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ledger_lookup", "F10")
 def ledger_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger_store.ledger_by_id(_ledger(spark, sf), 42).select("id", "filename", "status", "severity")
+    return ledger_store.find_by_id(spark, _ledger_path(spark, sf), 42).select("id", "filename", "status", "severity")
 
 
 @query("latest_logs", "L1")
 def latest_logs(spark: SparkSession, sf: str) -> DataFrame:
-    logs = ledger_store.latest_logs(_ledger(spark, sf))
+    logs = ledger_store.find_latest(spark, _ledger_path(spark, sf))
     return logs.select("id", _ts("timestamp").alias("timestamp"), "filename", "doc_type", "status", "severity")
 
 
@@ -875,6 +904,10 @@ def streamed_approvals(spark: SparkSession, sf: str) -> DataFrame:
     stream = inputs.derive(inputs.REVIEWS, events=_stream_of(spark, sf, "events"))
     out = scratch_path(spark, "streamed-approvals")
     approvals.continuous_approval(stream, held, out, f"{out}/checkpoint").awaitTermination()
+    return _decisions(spark, out)
+
+
+def _decisions(spark: SparkSession, out: str) -> DataFrame:
     approved = spark.read.parquet(f"{out}/approved").select(
         "session_id", "doc_id", F.lit("approved").alias("outcome"), "status", "severity",
         "human_review.reviewer_notes", F.col("human_review.timestamp").alias("decided"),
@@ -883,3 +916,29 @@ def streamed_approvals(spark: SparkSession, sf: str) -> DataFrame:
         "session_id", "doc_id", F.lit("refused").alias("outcome"), "status", "severity", "reviewer_notes", F.col("override_error").alias("decided"),
     )
     return approved.unionByName(refused)
+
+
+def _both_streams(spark: SparkSession, sf: str) -> str:
+    """Audit and approval as streams: sessions that the one holds reach the other, and both append
+    to one ledger. Returns the folder of their tables."""
+    out = scratch_path(spark, "both-streams")
+    uploads = inputs.derive(inputs.BUSINESS_DOCUMENTS, orders=_stream_of(spark, sf, "orders"))
+    arrivals.continuous_audit(uploads, catalogue.builtin_rows(), f"{out}/audit", f"{out}/checkpoints/audit", ledger=f"{out}/ledger").awaitTermination()
+    schema = arrivals.audited_so_far(spark, f"{out}/audit").drop("batch_id", "route").schema
+    held = arrivals.held_so_far(spark, f"{out}/audit", schema)
+    stream = inputs.derive(inputs.REVIEWS, events=_stream_of(spark, sf, "events"))
+    approvals.continuous_approval(stream, held, f"{out}/approval", f"{out}/checkpoints/approval", ledger=f"{out}/ledger").awaitTermination()
+    return out
+
+
+@query("streamed_sessions", "ST1, ST2")
+def streamed_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions about sessions that are themselves a stream."""
+    return _decisions(spark, f"{_both_streams(spark, sf)}/approval")
+
+
+@query("shared_ledger", "U2, S6, W2")
+def shared_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """The one ledger of both streams: passed results and approved ones, with ids without gaps."""
+    stored = ledger_store.read_ledger(spark, f"{_both_streams(spark, sf)}/ledger")
+    return stored.select("id", _ts("timestamp").alias("timestamp"), "filename", "doc_type", "status", "severity", "compliance_score")

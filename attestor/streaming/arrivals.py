@@ -21,13 +21,14 @@ def arrivals(spark: SparkSession, path: str, schema: StructType, files_per_batch
 
 
 def continuous_audit(
-    uploads: DataFrame, catalogue: list[Row], out: str, checkpoint: str, auto_approve: bool = False
+    uploads: DataFrame, catalogue: list[Row], out: str, checkpoint: str, auto_approve: bool = False, ledger: str | None = None
 ) -> StreamingQuery:
-    """Audit every micro-batch and keep the results, and the ledger of those not held.
+    """Audit every micro-batch and keep the results, and append those not held to the ledger.
 
     The audit is row-local, so the stream needs no state. Each batch is audited once into
-    ``out/results/batch_id=n/route=…``; the ledger part is read back from there. Both are
-    overwritten per batch, so a batch repeated after a failure leaves nothing twice.
+    ``out/results/batch_id=n/route=…``, which a repeat overwrites; the ledger part is read back from
+    there. ``ledger`` (default ``out/ledger``) may be shared with other writers; the checkpoint
+    names this one, so a batch repeated after a failure is not appended again.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -36,7 +37,7 @@ def continuous_audit(
         results.write.mode("overwrite").partitionBy("route").parquet(place)
         stored = batch.sparkSession.read.schema(results.schema).parquet(place)
         auto = stored.where("route = 'auto'").withColumnRenamed("received_at", "timestamp")
-        append_ledger(auto, f"{out}/ledger", batch_id)
+        append_ledger(auto, ledger or f"{out}/ledger", f"audit {checkpoint}", batch_id)
 
     return (
         uploads.writeStream.foreachBatch(store)
@@ -49,3 +50,9 @@ def continuous_audit(
 def audited_so_far(spark: SparkSession, out: str) -> DataFrame:
     """All results of a continuous audit, with batch_id and route."""
     return spark.read.parquet(f"{out}/results")
+
+
+def held_so_far(spark: SparkSession, out: str, schema: StructType, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """The results that a continuous audit holds for review, as a stream: also those it holds from
+    now on. ``schema`` is that of the results without ``route``."""
+    return arrivals(spark, f"{out}/results/batch_id=*/route=pending", schema, files_per_batch)

@@ -1,4 +1,5 @@
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,27 +107,61 @@ def _results(spark, rows):
     return df.withColumn("full_report", report)
 
 
-def test_ledger_ids_go_on_and_a_repeated_batch_replaces_itself(spark, tmp_path):
+def test_ledger_ids_go_on_and_a_repeated_batch_adds_nothing(spark, tmp_path):
     path = str(tmp_path / "ledger")
-    assert ledger_store.read_ledger(spark, path).count() == 0
+    assert ledger_store.read_ledger(spark, path).count() == 0 and ledger_store.find_latest(spark, path).count() == 0
     first = _results(spark, [(2, DAY, "b.txt", "invoice", "COMPLIANT", None), (1, DAY, "a.txt", None, "", "HIGH")])
     second = _results(spark, [(3, DAY + dt.timedelta(days=1), None, "report", "NON_COMPLIANT", "LOW")])
-    for batch_id, rows in ((0, first), (1, second), (1, second), (0, first)):
-        ledger_store.append_ledger(rows, path, batch_id)
+    appended = [ledger_store.append_ledger(rows, path, "one", batch) for batch, rows in ((0, first), (1, second), (1, second), (0, first))]
+    assert appended == [True, True, False, False]
     rows = {r.id: r for r in ledger_store.read_ledger(spark, path).collect()}
     assert {i: r.filename for i, r in rows.items()} == {1: "a.txt", 2: "b.txt", 3: "unknown"}
     assert rows[2].severity == "LOW" and rows[3].compliance_score == 80
     read = ledger_store.read_ledger(spark, path)
-    assert ledger_store.ledger_by_id(read, 99).count() == 0
+    assert ledger_store.ledger_by_id(read, 99).count() == 0 and ledger_store.find_by_id(spark, path, 99).count() == 0
     assert [r.id for r in ledger_store.latest_logs(read, 2).collect()] == [3, 2]
     for limit in (0, 101):
         with pytest.raises(ValueError):
             ledger_store.latest_logs(read, limit)
 
 
+def test_writers_share_a_ledger_at_the_same_time(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    monkeypatch.setattr(ledger_store, "COMPACT", 4)
+    frames = {(w, n): _results(spark, [(i, DAY + dt.timedelta(hours=n), f"{w}{n}-{i}", "x", "y", "LOW") for i in range(n)]) for w in "ab" for n in range(4)}
+
+    def write(writer):
+        return [ledger_store.append_ledger(frames[writer, n], path, writer, n) for n in (*range(4), 2)]
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(write, "ab")) == [[True, True, True, True, False]] * 2
+    known = ledger_store.commits(spark, path)
+    assert [c.version for c in known] == list(range(1, 9)) and {(c.writer, c.batch) for c in known} == set(frames)
+    assert any(f.name.endswith(".all") for f in (tmp_path / "ledger" / "_commits").iterdir())
+    rows = ledger_store.read_ledger(spark, path).collect()
+    assert sorted(r.id for r in rows) == list(range(1, 13))
+    assert sorted(r.filename for r in rows) == sorted(f"{w}{n}-{i}" for w in "ab" for n in range(4) for i in range(n))
+    # Lookups read the batches that can hold the answer, and no others.
+    one = ledger_store.find_by_id(spark, path, rows[0].id)
+    assert one.first().filename == rows[0].filename and len({f.rsplit("/", 2)[-2] for f in one.inputFiles()}) == 1
+    newest = ledger_store.find_latest(spark, path, 5)
+    every = ledger_store.latest_logs(ledger_store.read_ledger(spark, path), 5)
+    assert newest.drop("report").collect() == every.drop("report").collect()
+    assert len({f.rsplit("/", 2)[-2] for f in newest.inputFiles()}) == 2
+
+
+def test_a_claim_that_is_taken_goes_to_the_next_number(spark, tmp_path):
+    log = ledger_store._Log(spark, str(tmp_path / "ledger"))
+    one = log.claim("a", 0, "f", 3, None, None)
+    assert not log._write("000000000001.json", [one])
+    assert log.claim("a", 0, "g", 3, None, None) is None
+    two = log.claim("b", 0, "h", 2, None, None)
+    assert (one.start, one.last, two.start, two.last, two.version) == (0, 3, 3, 5, 2)
+
+
 def test_default_time_is_now_in_utc(spark, tmp_path):
     path = str(tmp_path / "ledger")
-    ledger_store.append_ledger(_results(spark, [(1, None, "a.txt", "x", "y", "LOW")]), path, 0)
+    ledger_store.append_ledger(_results(spark, [(1, None, "a.txt", "x", "y", "LOW")]), path, "one", 0)
     stamp = ledger_store.read_ledger(spark, path).first().timestamp
     assert abs(stamp - dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)) < dt.timedelta(minutes=5)
 
@@ -145,7 +180,7 @@ def test_report_lines_and_texts(spark, tmp_path):
     path = str(tmp_path / "ledger")
     ledger_store.append_ledger(_results(spark, [
         (1, DAY, "a.txt", "INVOICE", "NON_COMPLIANT", "odd"), (2, DAY, "b.txt", None, "compliant", None),
-    ]), path, 0)
+    ]), path, "one", 0)
     read = ledger_store.read_ledger(spark, path)
     lines = [(r.section_no, r.text) for r in reports.report_lines(read).where("log_id = 1").orderBy("section_no", "line_no").collect()]
     assert lines == [

@@ -73,3 +73,42 @@ def test_stream_of_reviews_equals_batch(spark, tmp_path):
     assert unknown == {1, 4, 5, 8, 10}
     ledger = read_ledger(spark, f"{out}/ledger").collect()
     assert sorted(r.id for r in ledger) == [1, 2, 3, 4]
+
+
+REVIEW = "session_id string, review_ts timestamp_ntz, review_no int, override_status string, reviewer_notes string"
+
+
+def test_sessions_held_while_the_stream_runs_are_approved(spark, tmp_path):
+    pending = _pending(spark, 5).drop("route")
+    ids = sorted(r.session_id for r in pending.collect())
+    out, ledger = str(tmp_path / "out"), str(tmp_path / "ledger")
+    audit, landing = str(tmp_path / "audit"), str(tmp_path / "reviews")
+
+    def run(number, sessions, reviews, **how):
+        if sessions:
+            held = pending.where(F.col("session_id").isin(sessions)).coalesce(1)
+            held.write.parquet(f"{audit}/results/batch_id={number}/route=pending")
+        rows = [(s, DAY + dt.timedelta(days=d), n, o, "") for s, d, n, o in reviews]
+        spark.createDataFrame(rows, REVIEW).coalesce(1).write.mode("append").parquet(landing)
+        stream = arrivals.arrivals(spark, landing, spark.createDataFrame([], REVIEW).schema)
+        held = arrivals.held_so_far(spark, audit, pending.schema)
+        approvals.continuous_approval(stream, held, out, str(tmp_path / "checkpoint"), ledger=ledger, **how).awaitTermination()
+        open_now = spark.read.parquet(f"{out}/open/batch_id={number}")
+        return sorted(r.session_id for r in open_now.collect())
+
+    # A review that comes before its session is told so; the session waits on.
+    assert run(0, ids[:2], [(ids[0], 1, 1, None), (ids[3], 1, 2, None)]) == [ids[1]]
+    assert run(1, ids[2:4], [(ids[3], 2, 4, "COMPLIANT"), (ids[3], 1, 3, "NON_COMPLIANT"), (ids[0], 2, 5, None)]) == [ids[1], ids[2]]
+    assert run(2, [], [(ids[1], 3, 6, "bad")]) == [ids[2]]
+    # What has waited until now is given up; what is held just now waits on.
+    assert run(3, ids[4:], [("nobody", 3, 7, None)], expiry="0 seconds") == [ids[4]]
+    approved = {r.session_id: r for r in spark.read.parquet(f"{out}/approved").collect()}
+    assert sorted(approved) == sorted([ids[0], ids[3]]) and approved[ids[3]].status == "NON_COMPLIANT"
+    by_table = {r.session_id: r for r in pending.collect()}
+    assert approved[ids[0]].full_report.executive_summary == by_table[ids[0]].full_report.executive_summary
+    assert [r.session_id for r in spark.read.parquet(f"{out}/refused").collect()] == [ids[1]]
+    assert sorted(r.review_no for r in spark.read.parquet(f"{out}/unknown").collect()) == [2, 4, 5, 7]
+    assert [r.session_id for r in spark.read.parquet(f"{out}/expired").collect()] == [ids[2]]
+    assert sorted(r.id for r in read_ledger(spark, ledger).collect()) == [1, 2]
+    # Only the last versions of the open sessions are kept.
+    assert {r.batch_id for r in spark.read.parquet(f"{out}/open").select("batch_id").distinct().collect()} <= {2, 3}
