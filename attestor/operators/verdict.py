@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from attestor import fixed_values as V
+from attestor.functions.patterns import is_safe, linear
 from attestor.functions.text import executive_summary, missing, severity_rank, sql_literal, text_preview
 from attestor.operators.rulebook import applicable_rules
-from attestor.rule_catalogue import LINEAR
 
 # Literal predicates are planned in arrays of this many rules, so that no expression gets huge.
 RULES_PER_ARRAY = 200
@@ -25,16 +25,22 @@ def catalogue_rows(rules: DataFrame) -> list[Row]:
 
 
 def _rule_sql(rule: Row, text: str) -> str:
-    """One rule with its outcome as a SQL struct; the predicate is literal."""
+    """One rule with its outcome as a SQL struct; the predicate is literal.
+
+    A pattern that could take more than linear time on some text is not run: the rule counts as one
+    that states no predicate.
+    """
     tests = []
-    if rule.must is not None:
-        must = sql_literal(LINEAR.get(rule.must, rule.must))
+    counted = rule.must is not None and rule.min_count > 1
+    stated = is_safe(rule.must, counted) and is_safe(rule.must_not)
+    if stated and rule.must is not None:
+        must = sql_literal(linear(rule.must, counted))
         tests.append(
             f"{text} RLIKE {must}" if rule.min_count <= 1
             else f"regexp_count({text}, {must}) >= {rule.min_count}"
         )
-    if rule.must_not is not None:
-        tests.append(f"NOT {text} RLIKE {sql_literal(LINEAR.get(rule.must_not, rule.must_not))}")
+    if stated and rule.must_not is not None:
+        tests.append(f"NOT {text} RLIKE {sql_literal(linear(rule.must_not))}")
     fields = {"category": rule.category, "rule_id": rule.id, "description": rule.description,
               "severity": rule.severity, "regulation": rule.regulation}
     named = ", ".join(f"'{name}', {sql_literal(value)}" for name, value in fields.items())
