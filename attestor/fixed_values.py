@@ -90,6 +90,15 @@ NO_VIOLATIONS_BANNER = (
 )
 DEFAULT_VERSION, DEFAULT_JURISDICTION = "1.0.0", "India / General"
 
+# --- wording of summaries, model inputs, listings and notices (fixed values) ---
+SUMMARY_TITLE, SUMMARY_SECTIONS = "## Compliance Audit Report", ("### Executive Summary", "### Key Violations", "### Recommendations")
+SUMMARY_LABELS = ("**Document Type:** ", "**Audit Status:** ", "**Risk Severity:** ", "**Compliance Score:** ")
+MODEL_INPUT_TITLE, MODEL_INPUT_RULE = "DOCUMENT FOR COMPLIANCE AUDIT", "=============================="
+MODEL_INPUT_LABELS = ("Filename: ", "Characters: ", "PII Detected & Redacted: ", "DOCUMENT CONTENT (PII-Scrubbed):")
+CATEGORY_MARK, RULE_MARK = "📁 ", "   • ["
+NOTICE_MARK = "🚨 "
+NOTICE_PARTS = (" critical violation(s) detected. Human approval required. Approve session ", " to proceed.")
+
 # Characters mapped when a report text is reduced to Latin-1 (fixed values).
 PLAIN_CHARS = {
     "“": '"', "”": '"', "‘": "'", "’": "'",

@@ -138,20 +138,20 @@ def executive_summary(
     )
     return F.concat_ws(
         "\n",
-        F.lit("## Compliance Audit Report"),
+        F.lit(V.SUMMARY_TITLE),
         F.lit(""),
-        F.concat(F.lit("**Document Type:** "), doc_type),
-        F.concat(F.lit("**Audit Status:** "), mark),
-        F.concat(F.lit("**Risk Severity:** "), severity),
-        F.concat(F.lit("**Compliance Score:** "), score_text(score)),
+        F.concat(F.lit(V.SUMMARY_LABELS[0]), doc_type),
+        F.concat(F.lit(V.SUMMARY_LABELS[1]), mark),
+        F.concat(F.lit(V.SUMMARY_LABELS[2]), severity),
+        F.concat(F.lit(V.SUMMARY_LABELS[3]), score_text(score)),
         F.lit(""),
-        F.lit("### Executive Summary"),
+        F.lit(V.SUMMARY_SECTIONS[0]),
         finding,
         F.lit(""),
-        F.lit("### Key Violations"),
+        F.lit(V.SUMMARY_SECTIONS[1]),
         bullet_list(violations, "No violations found"),
         F.lit(""),
-        F.lit("### Recommendations"),
+        F.lit(V.SUMMARY_SECTIONS[2]),
         bullet_list(recommendations, "No action needed"),
     )
 
@@ -162,16 +162,16 @@ def session_key(filename: Column | str) -> Column:
 
 def model_input(filename: Column, masked: Column, detected: Column) -> Column:
     """The text handed to an external model for one document, header first."""
-    rule = F.lit("==============================")
+    rule = F.lit(V.MODEL_INPUT_RULE)
     return F.concat_ws(
         "\n",
-        F.lit("DOCUMENT FOR COMPLIANCE AUDIT"),
+        F.lit(V.MODEL_INPUT_TITLE),
         rule,
-        F.concat(F.lit("Filename: "), filename),
-        F.concat(F.lit("Characters: "), F.length(masked).cast("string")),
-        F.concat(F.lit("PII Detected & Redacted: "), F.when(detected, F.lit("True")).otherwise(F.lit("False"))),
+        F.concat(F.lit(V.MODEL_INPUT_LABELS[0]), filename),
+        F.concat(F.lit(V.MODEL_INPUT_LABELS[1]), F.length(masked).cast("string")),
+        F.concat(F.lit(V.MODEL_INPUT_LABELS[2]), F.when(detected, F.lit("True")).otherwise(F.lit("False"))),
         F.lit(""),
-        F.lit("DOCUMENT CONTENT (PII-Scrubbed):"),
+        F.lit(V.MODEL_INPUT_LABELS[3]),
         masked,
         rule,
         F.lit(""),

@@ -27,9 +27,9 @@ def review_notice(pending: DataFrame) -> DataFrame:
     """The answer given for a held document: count, message and the first violations."""
     count = F.size("violations")
     message = F.concat(
-        F.lit("🚨 "), count.cast("string"),
-        F.lit(" critical violation(s) detected. Human approval required. Approve session "),
-        F.col("session_id"), F.lit(" to proceed."),
+        F.lit(V.NOTICE_MARK), count.cast("string"),
+        F.lit(V.NOTICE_PARTS[0]),
+        F.col("session_id"), F.lit(V.NOTICE_PARTS[1]),
     )
     return pending.select(
         "doc_id",

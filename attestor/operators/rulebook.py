@@ -76,13 +76,13 @@ def supported_types(rules: DataFrame) -> DataFrame:
 
 def rules_summary(rules: DataFrame) -> DataFrame:
     """Readable summary: per category a block of a header with the count and one line per rule."""
-    line = F.concat(F.lit("   • ["), F.col("id"), F.lit("] "), F.col("description"))
+    line = F.concat(F.lit(V.RULE_MARK), F.col("id"), F.lit("] "), F.col("description"))
     blocks = rules.groupBy("category_no", "category").agg(
         F.count("*").alias("rule_count"),
         F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("listed"),
     )
     header = F.concat(
-        F.lit("📁 "), F.upper("category"), F.lit(": "),
+        F.lit(V.CATEGORY_MARK), F.upper("category"), F.lit(": "),
         F.col("rule_count").cast("string"), F.lit(" rule(s)"),
     )
     return blocks.select(
