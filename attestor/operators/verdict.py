@@ -6,12 +6,20 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from attestor import fixed_values as V
+from attestor.functions.masking import bind_sql
 from attestor.functions.patterns import is_safe, linear
+from attestor.functions.rule_index import RuleIndex
 from attestor.functions.text import executive_summary, missing, severity_rank, sql_literal, text_preview
 from attestor.operators.rulebook import applicable_rules
 
 # Literal predicates are planned in arrays of this many rules, so that no expression gets huge.
 RULES_PER_ARRAY = 200
+# A rule of an indexed catalogue as data.
+INDEXED = (
+    "array<struct<must:string,must_not:string,n:int,slot:int,needs:array<bigint>,needs_not:array<bigint>>>"
+)
+# From so many rules on, one scan for their literals costs less than running every pattern.
+INDEX_FROM = 64
 
 EVALUATION = (
     "array<struct<category:string,rule_id:string,description:string,"
@@ -24,48 +32,133 @@ def catalogue_rows(rules: DataFrame) -> list[Row]:
     return rules.orderBy("category_no", "seq").collect()
 
 
-def _rule_sql(rule: Row, text: str) -> str:
-    """One rule with its outcome as a SQL struct; the predicate is literal.
+def _stated(rule: Row) -> bool:
+    """Whether the rule states a predicate that is run.
 
-    A pattern that could take more than linear time on some text is not run: the rule counts as one
+    A pattern that could take more than linear time on some text is not: the rule counts as one
     that states no predicate.
     """
-    tests = []
     counted = rule.must is not None and rule.min_count > 1
-    stated = is_safe(rule.must, counted) and is_safe(rule.must_not)
-    if stated and rule.must is not None:
-        must = sql_literal(linear(rule.must, counted))
+    given = rule.must is not None or rule.must_not is not None
+    return given and is_safe(rule.must, counted) and is_safe(rule.must_not)
+
+
+def _outcome_sql(rule: Row, text: str) -> str:
+    """Whether one rule passes; the predicate is literal."""
+    tests = []
+    if _stated(rule) and rule.must is not None:
+        must = sql_literal(linear(rule.must, rule.min_count > 1))
         tests.append(
             f"{text} RLIKE {must}" if rule.min_count <= 1
             else f"regexp_count({text}, {must}) >= {rule.min_count}"
         )
-    if stated and rule.must_not is not None:
+    if _stated(rule) and rule.must_not is not None:
         tests.append(f"NOT {text} RLIKE {sql_literal(linear(rule.must_not))}")
+    return " AND ".join(tests) or "cast(NULL AS boolean)"
+
+
+def _described(rule: Row) -> str:
     fields = {"category": rule.category, "rule_id": rule.id, "description": rule.description,
               "severity": rule.severity, "regulation": rule.regulation}
-    named = ", ".join(f"'{name}', {sql_literal(value)}" for name, value in fields.items())
-    return f"named_struct({named}, 'passed', {' AND '.join(tests) or 'cast(NULL AS boolean)'})"
+    return ", ".join(f"'{name}', {sql_literal(value)}" for name, value in fields.items())
+
 
+def _rule_sql(rule: Row, passed: str) -> str:
+    """One rule with its outcome as a SQL struct."""
+    return f"named_struct({_described(rule)}, 'passed', {passed})"
 
-def _chunked(rules: list[str]) -> str:
-    parts = [rules[i : i + RULES_PER_ARRAY] for i in range(0, len(rules), RULES_PER_ARRAY)]
-    return f"concat({', '.join(f'cast(array({chr(44).join(p)}) AS {EVALUATION})' for p in parts)})"
+
+def _chunked(items: list[str], kind: str = EVALUATION) -> str:
+    parts = [items[i : i + RULES_PER_ARRAY] for i in range(0, len(items), RULES_PER_ARRAY)]
+    return f"concat({', '.join(f'cast(array({chr(44).join(p)}) AS {kind})' for p in parts)})"
+
+
+def _outcomes(rules: list[Row], text: str, index: RuleIndex) -> str:
+    """The outcomes of an indexed catalogue's rules in order, the rules being one constant.
+
+    A rule whose patterns all have necessary literals is data: its patterns are run only on a text in
+    which one of them was seen. The others (``slot``) keep literal patterns, compiled once per task.
+    """
+    always: list[str] = []
+    constants = []
+    for rule in rules:
+        patterns = [p for p in (rule.must, rule.must_not) if p is not None]
+        if _stated(rule) and all(p in index.literals_of for p in patterns):
+            must, must_not, slot = linear(rule.must, rule.min_count > 1), linear(rule.must_not), "NULL"
+        else:
+            must, must_not, slot = None, None, str(len(always))
+            always.append(_outcome_sql(rule, text))
+        constants.append(
+            f"named_struct('must', {sql_literal(must)}, 'must_not', {sql_literal(must_not)}, 'n', {rule.min_count}, 'slot', {slot},"
+            f" 'needs', {index.keys_sql(rule.must)}, 'needs_not', {index.keys_sql(rule.must_not)})"
+        )
+    passed = (
+        "CASE WHEN r.slot IS NOT NULL THEN always[r.slot] ELSE"
+        f" (r.must IS NULL OR (arrays_overlap(r.needs, seen) AND IF(r.n > 1, regexp_count({text}, r.must) >= r.n, {text} RLIKE r.must)))"
+        f" AND (r.must_not IS NULL OR NOT (arrays_overlap(r.needs_not, seen) AND {text} RLIKE r.must_not)) END"
+    )
+    literal = _chunked(always, "array<boolean>") if always else "cast(array() AS array<boolean>)"
+    return bind_sql(literal, "always", f"transform({_chunked(constants, INDEXED)}, r -> {passed})")
 
 
-def evaluations(text: str, doc_type: str, catalogue: list[Row]) -> Column:
+def _with_outcomes(rules: list[Row], outcomes: str, open_only: bool) -> str:
+    """Rules with their outcomes; ``open_only``: without those that pass, of which there are many."""
+    fixed = _chunked([_rule_sql(rule, "cast(NULL AS boolean)") for rule in rules])
+    fields = ("category", "rule_id", "description", "severity", "regulation")
+
+    def described(rule: str) -> str:
+        return ", ".join(f"'{f}', {rule}.{f}" for f in fields)
+
+    if not open_only:
+        return f"zip_with({fixed}, {outcomes}, (r, p) -> named_struct({described('r')}, 'passed', p))"
+    places = "array_compact(transform(o, (p, i) -> IF(p, NULL, i)))"
+    found = bind_sql(f"{fixed}[i]", "r", f"named_struct({described('r')}, 'passed', o[i])")
+    return bind_sql(outcomes, "o", f"transform({places}, i -> {found})")
+
+
+def _blocks(catalogue: list[Row]) -> dict[str, list[Row]]:
+    blocks: dict[str, list[Row]] = {}
+    for rule in catalogue:
+        blocks.setdefault(rule.category, []).append(rule)
+    return blocks
+
+
+def _by_type(doc_type: str, of: dict[str, str], none: str) -> tuple[str, str]:
+    """What holds for every type, and what for the document's own."""
+    cases = " ".join(f"WHEN {sql_literal(c)} THEN {a}" for c, a in of.items())
+    return of.get("general", none), f"CASE lower({doc_type}) {cases} ELSE {none} END" if cases else none
+
+
+def applicable_count(doc_type: str, catalogue: list[Row]) -> Column:
+    """The number of rules that apply to a document."""
+    numbers = {c: str(len(rules)) for c, rules in _blocks(catalogue).items()}
+    return F.expr(" + ".join(_by_type(doc_type, numbers, "0")))
+
+
+def evaluations(
+    text: str, doc_type: str, catalogue: list[Row], index_from: int = INDEX_FROM, open_only: bool = False
+) -> Column:
     """Array of every applicable rule with its outcome, general rules first.
 
     Patterns are literals, compiled once per task, and only the rules of the document's own
-    type are tested. One row stays one row: no product with the rules and no shuffle.
+    type are tested. One row stays one row: no product with the rules and no shuffle. A catalogue of
+    at least ``index_from`` rules is indexed: one scan of the text tells which patterns can match.
+    ``open_only`` leaves out the rules that pass, so that a verdict on thousands of rules need not
+    build thousands of structs.
     """
-    blocks: dict[str, list[str]] = {}
-    for rule in catalogue:
-        blocks.setdefault(rule.category, []).append(_rule_sql(rule, text))
-    arrays = {c: _chunked(rules) for c, rules in blocks.items()}
+    blocks = _blocks(catalogue)
     none = f"cast(array() AS {EVALUATION})"
-    cases = " ".join(f"WHEN {sql_literal(c)} THEN {a}" for c, a in arrays.items())
-    specific = f"CASE lower({doc_type}) {cases} ELSE {none} END" if cases else none
-    return F.expr(f"concat({arrays.get('general', none)}, {specific})")
+    if len(catalogue) < index_from:
+        arrays = {c: _chunked([_rule_sql(rule, _outcome_sql(rule, text)) for rule in rules]) for c, rules in blocks.items()}
+        every = F.expr(f"concat({', '.join(_by_type(doc_type, arrays, none))})")
+        return F.filter(every, lambda r: r["passed"].isNull() | ~r["passed"]) if open_only else every
+    index = RuleIndex(p for rule in catalogue for p in (rule.must, rule.must_not) if p is not None)
+    if open_only:
+        arrays = {c: _with_outcomes(rules, _outcomes(rules, text, index), True) for c, rules in blocks.items()}
+        return F.expr(index.bind(text, "seen", f"concat({', '.join(_by_type(doc_type, arrays, none))})"))
+    # What is bound is copied, so only the outcomes are.
+    arrays = {c: _with_outcomes(rules, index.bind(text, "seen", _outcomes(rules, text, index)), False) for c, rules in blocks.items()}
+    return F.expr(f"concat({', '.join(_by_type(doc_type, arrays, none))})")
 
 
 def evaluate_rules(docs: DataFrame, rules: DataFrame, text: str = "scrubbed_text") -> DataFrame:
@@ -110,13 +203,17 @@ def recommendation_line(rule_id: Column, regulation: Column) -> Column:
     return F.concat(F.lit("Correct the document to meet "), rule_id, F.lit(" ("), regulation, F.lit(")."))
 
 
-def audit_verdict(docs: DataFrame, results: str = "evaluations") -> DataFrame:
+def audit_verdict(docs: DataFrame, results: str = "evaluations", applicable: Column | None = None) -> DataFrame:
     """Replace the evaluation array by status, severity, score, violations, recommendations and
-    the ids of rules that could not be evaluated."""
+    the ids of rules that could not be evaluated.
+
+    ``applicable``: how many rules there are, where the array leaves out those that pass.
+    """
     all_rules = F.col(results)
     failed = F.filter(all_rules, lambda r: ~r["passed"])
     unknown = F.filter(all_rules, lambda r: r["passed"].isNull())
-    total, broken = F.size(all_rules) - F.size(unknown), F.size(failed)
+    count = F.size(all_rules) if applicable is None else applicable
+    total, broken = count - F.size(unknown), F.size(failed)
     worst = F.array_max(F.transform(failed, lambda r: severity_rank(r["severity"])))
     return docs.withColumns({
         **_verdict(total, total - broken, F.size(unknown), worst),

@@ -10,7 +10,7 @@ from attestor.functions.masking import mask_report
 from attestor.operators.gate import gate_reason, guard_text
 from attestor.operators.review import needs_review
 from attestor.operators.triage import triage
-from attestor.operators.verdict import audit_verdict, evaluations, package_result, with_summary
+from attestor.operators.verdict import INDEX_FROM, applicable_count, audit_verdict, evaluations, package_result, with_summary
 from attestor.session import scratch_path
 
 VERDICT_COLUMNS = (
@@ -35,8 +35,12 @@ def gated(uploads: DataFrame) -> DataFrame:
 def audit_masked(masked: DataFrame, catalogue: list[Row]) -> DataFrame:
     """Triage, rules, verdict and summary of already masked documents."""
     typed = triage(masked)
-    judged = typed.withColumn("evaluations", evaluations("scrubbed_text", "doc_type", catalogue))
-    return with_summary(audit_verdict(judged))
+    if len(catalogue) < INDEX_FROM:
+        judged = audit_verdict(typed.withColumn("evaluations", evaluations("scrubbed_text", "doc_type", catalogue)))
+    else:
+        found = evaluations("scrubbed_text", "doc_type", catalogue, open_only=True)
+        judged = audit_verdict(typed.withColumn("evaluations", found), applicable=applicable_count("doc_type", catalogue))
+    return with_summary(judged)
 
 
 def audit_uploads(uploads: DataFrame, catalogue: list[Row], auto_approve: bool = False) -> DataFrame:

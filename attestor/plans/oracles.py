@@ -346,6 +346,11 @@ SUPPLIED = [
         CASE WHEN f3 THEN 'GEN-02: No identity numbers.' END, CASE WHEN f5 THEN 'H-05: Must name two numbers.' END) AS violations,
       CASE WHEN open THEN 'H-09' ELSE '' END AS not_evaluated FROM n"""),
 ]
+MANY = [
+    *TYPED,
+    ("firms", r"SELECT doc_id, CAST(nullif(regexp_extract(t, '(?i)\bfirm ([0-9]+)\b', 1), '') AS BIGINT) AS firm FROM typed"),
+    ("barred", "SELECT doc_id, firm, coalesce(firm % 3 = 0 AND firm < 6000, FALSE) AS bad FROM firms"),
+]
 TYPES = [*TYPED, ("types", "SELECT doc_type, count(*) AS documents FROM typed GROUP BY 1"), RULES, LOOKUPS]
 _DEMAND = f"""SELECT r.id AS rule_id, sum(d.documents) AS documents FROM types d CROSS JOIN lookups l
   JOIN rules r ON r.category = {_WANTED} GROUP BY 1"""
@@ -513,6 +518,10 @@ def all_checks() -> dict[str, str]:
           ("b", f"SELECT b0.* REPLACE (CASE WHEN doc_id % 47 = 0 AND {blank('text')} THEN coalesce(back, text) ELSE text END AS text) FROM b0 LEFT JOIN pages_ ON conv_id = doc_id % 40"), *AUDITED[1:])
           + f"SELECT doc_id, route, reject_code, doc_type, status, severity, pii_detected FROM ({_FULL})",
         "supplied_catalogue": ctes(*SUPPLIED) + "SELECT doc_id, status, severity, compliance_score, violations, not_evaluated FROM supplied",
+        "many_rules": ctes(*MANY) + """SELECT doc_id, CASE WHEN bad THEN 'NON_COMPLIANT' ELSE 'COMPLIANT' END AS status,
+          CASE WHEN bad THEN ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][(firm // 3) % 4 + 1] ELSE 'LOW' END AS severity,
+          CAST(CASE WHEN bad THEN 99 ELSE 100 END AS INT) AS compliance_score,
+          CASE WHEN bad THEN 'W-' || lpad(CAST(firm // 3 AS VARCHAR), 4, '0') || ': Must not concern firm ' || firm || '.' ELSE '' END AS violations FROM barred""",
         "review_needed_reports": ctes(*SUPPLIED) + """SELECT filename, status, not_evaluated, not_evaluated AS shown_rules, CAST(compliance_score AS VARCHAR) || '/100' AS shown_score,
           CASE status WHEN 'COMPLIANT' THEN 'COMPLIANT ✅' WHEN 'REVIEW_NEEDED' THEN 'REVIEW_NEEDED ⚠' ELSE 'NON_COMPLIANT ❌' END AS shown_status,
           CASE WHEN bad > 0 AND open THEN 'The document breaks ' || bad || ' applicable rule(s). 1 applicable rule(s) could not be evaluated: H-09.'

@@ -495,9 +495,18 @@ SUPPLIED = {
 }
 
 
-def _supplied_rows(spark: SparkSession) -> list[Row]:
+def many_house_rules(n: int = 2000) -> dict:
+    """A catalogue of n rules; rule i bars firm 3i."""
+    return {"general": [
+        {"id": f"W-{i:04d}", "description": f"Must not concern firm {3 * i}.", "severity": V.SEVERITIES[i % 4],
+         "regulation": "House list", "must_not": rf"(?i)\bfirm {3 * i}\b"}
+        for i in range(n)
+    ]}
+
+
+def _supplied_rows(spark: SparkSession, supplied: dict = SUPPLIED) -> list[Row]:
     path = scratch_path(spark, "supplied")
-    spark.range(1).select(F.lit(json.dumps(SUPPLIED)).alias("value")).coalesce(1).write.text(path)
+    spark.range(1).select(F.lit(json.dumps(supplied)).alias("value")).coalesce(1).write.text(path)
     return verdict.catalogue_rows(catalogue.with_predicates(catalogue.load_rules(spark, path)))
 
 
@@ -511,6 +520,18 @@ def supplied_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("many_rules", "S5, J2, A2")
+def many_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit with a catalogue of 2,000 rules, by the index of their literals."""
+    columns = ("doc_id", "status", "severity", "compliance_score", "violations")
+    rows = _supplied_rows(spark, many_house_rules())
+    return _verdict_only(_accepted(audit_staged(_business(spark, sf), rows, columns)))
+
+
+def _verdict_only(df: DataFrame) -> DataFrame:
+    return df.select(*_VERDICT, _joined("violations").alias("violations"))
+
+
 @query("review_needed_reports", "F14, C7, C8, S6")
 def review_needed_reports(spark: SparkSession, sf: str) -> DataFrame:
     """What a reader of the stored report sees of rules that could not be evaluated."""
