@@ -62,3 +62,16 @@ def test_verdict_without_the_rules_that_pass(spark):
     whole = verdict.audit_verdict(docs.withColumn("evaluations", verdict.evaluations("t", "doc_type", RULES)))
     found = docs.withColumn("evaluations", verdict.evaluations("t", "doc_type", RULES, 0, open_only=True))
     assert verdict.audit_verdict(found, applicable=verdict.applicable_count("doc_type", RULES)).collect() == whole.collect()
+
+
+def test_rules_that_only_bar_something_are_visited_when_seen(spark):
+    """A lookup by what was seen, not a walk over the catalogue: the work follows what is found."""
+    rules = [_rule(i, must_not=rf"(?i)\bfirm {i}\b") for i in range(400)]
+    rules += [_rule(400 + i, must_not=f"firm {i}x", category="memo") for i in range(5)]
+    open_only = verdict.evaluations("t", "k", rules, 0, open_only=True)
+    texts = ["Firm 7 and FIRM 39, firm 399", "nothing", None, "firm 3x", "firm 400"]
+    rows = spark.createDataFrame([(i, t, "memo") for i, t in enumerate(texts)], "doc_id int, t string, k string")
+    got = {r.doc_id: [e.rule_id for e in r.e] for r in rows.select("doc_id", open_only.alias("e")).collect()}
+    assert got == {0: ["R-7", "R-39", "R-399"], 1: [], 2: [r.id for r in rules], 3: ["R-403"], 4: []}
+    # No step of the plan goes over all the rules of a block.
+    assert "transform(concat(" not in verdict._open_with_outcomes(rules[:400], "t", verdict.RuleIndex(r.must_not for r in rules[:400]))
