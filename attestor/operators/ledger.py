@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from attestor.session import staged
+from attestor.session import staged, tasks_for
 
 _ROWS_PER_PARTITION_BITS = 33
 
@@ -19,13 +19,12 @@ def ledger_entries(auto: DataFrame, approved: DataFrame) -> DataFrame:
 def assign_ids(df: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     """Consecutive ids after ``start`` in the given order, which should be unique.
 
-    The rows are range-sorted, so a hot first key is split by the later ones, and staged
-    with their place (partition, position). A second pass only adds the small table of
+    The rows are range-sorted in parts of bounded size, so a hot first key is split by the later
+    ones, and staged with their place (partition, position). A second pass only adds the small table of
     partition offsets; no window ever holds the data in one task.
     """
-    placed = staged(
-        df.orderBy(*order).withColumn("place", F.monotonically_increasing_id()), "ids"
-    )
+    ordered = df.repartitionByRange(tasks_for(df), *order).sortWithinPartitions(*order)
+    placed = staged(ordered.withColumn("place", F.monotonically_increasing_id()), "ids")
     partition = F.shiftright("place", _ROWS_PER_PARTITION_BITS)
     position = F.col("place").bitwiseAND((1 << _ROWS_PER_PARTITION_BITS) - 1)
     sizes = placed.groupBy(partition.alias("part")).agg(F.count("*").alias("n"))
