@@ -1,12 +1,11 @@
 """Byte-level BPE with a minimal acyclic transducer as its lexicon.
 
-Texts are cut into pieces as byte-level tokenizers do. Frequent pieces (counted by Spark over about
-``LEXICON_DOCS`` documents, or fewer that have about ``LEXICON_CHARS`` characters together, chosen by
-a hash of their key) are compiled into a minimal acyclic automaton with shared prefixes and suffixes,
+Texts are cut into pieces as byte-level tokenizers do. Frequent pieces (counted by Spark over
+all documents) are compiled into a minimal acyclic automaton with shared prefixes and suffixes,
 whose arc outputs add up to a piece's number and so to its ids. The file is written to the shared
 scratch folder, shipped to every executor with ``addFile`` and memory-mapped there. Pieces it does not
 know are merged exactly, by lowest merge rank. The lexicon only saves work: results do not depend on
-it, nor on its size or sample.
+it, nor on its size.
 
 Encoding, decoding and digests of a text are one pass in one task. Long texts are encoded in chunks,
 cut where no later text can move a border between pieces, and decoded in chunks of ids.
@@ -40,8 +39,6 @@ from attestor.llm.common import Workspace, bounded_batches, text_bytes, whole_te
 from attestor.session import scratch_path
 
 LEXICON_WORDS = 32_768
-LEXICON_DOCS = 20_000
-LEXICON_CHARS = 50_000_000
 CACHED_PIECES = 250_000
 COUNTED_PIECES = 200_000
 ENCODED_TOGETHER = 100_000
@@ -403,13 +400,6 @@ def decode(ids: bytes, vocabulary: Vocabulary) -> bytes:
 # --- Spark side --------------------------------------------------------------------------
 
 
-def lexicon_sample(docs: DataFrame, key: str, text: str, bound: int = LEXICON_DOCS, chars: int = LEXICON_CHARS) -> DataFrame:
-    """Documents that the lexicon is chosen from: bounded in number and in characters."""
-    n, length = docs.agg(F.count("*"), F.coalesce(F.sum(F.length(F.col(text)).cast("long")), F.lit(0))).first()
-    share = min(1.0, bound / max(n, 1), chars / max(length, 1))
-    return docs if share == 1.0 else docs.where(F.pmod(F.xxhash64(F.col(key), F.lit("lexicon")), F.lit(2**32)) < int(share * 2**32))
-
-
 def count_pieces(docs: DataFrame, text: str = "text") -> DataFrame:
     """How often each piece occurs in all the texts: piece, n."""
 
@@ -472,13 +462,13 @@ def open_lexicon(name: str) -> Lexicon:
         return Lexicon(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
 
 
-def prepare(docs: DataFrame, key: str, text: str, tokenizer: str | None, words: int):
+def prepare(docs: DataFrame, text: str, tokenizer: str | None, words: int):
     """What tasks need: a function that gives an encoder, and the broadcast vocabulary."""
     spark = docs.sparkSession
     bounded_batches(spark)
     vocabulary = load_vocabulary(tokenizer)
     plain = Encoder(vocabulary)
-    plain.learn(frequent(lexicon_sample(docs, key, text), text, words))
+    plain.learn(frequent(docs, text, words))
     lexicon = {p.encode(): np.frombuffer(ids, "<u4").tolist() for p, ids in plain.items()}
     name = ship_lexicon(spark, compile_lexicon(lexicon))
     tables = spark.sparkContext.broadcast(vocabulary)
@@ -487,7 +477,7 @@ def prepare(docs: DataFrame, key: str, text: str, tokenizer: str | None, words:
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, words: int = LEXICON_WORDS) -> DataFrame:
     """Per document: key, ids (little-endian unsigned 32-bit integers)."""
-    encoder_of, _ = prepare(docs, key, text, tokenizer, words)
+    encoder_of, _ = prepare(docs, text, tokenizer, words)
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,7 +509,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
 
     Ids and decoded texts are hashed where they are made and never leave their task.
     """
-    encoder_of, tables = prepare(docs, key, text, tokenizer, words)
+    encoder_of, tables = prepare(docs, text, tokenizer, words)
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

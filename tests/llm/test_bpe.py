@@ -82,3 +82,11 @@ def test_documents_round_trip(spark, reference):
         expected.append((key is None, key or 0, len(own), hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
     assert got == sorted(expected)
     assert bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_pieces_are_counted_in_all_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(bpe, "count_pieces", lambda docs, text="text", real=bpe.count_pieces: seen.append(real(docs, text)) or seen[-1])
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("one piece").alias("text"))
+    bpe.digests(docs)
+    assert {r.piece: r.n for r in seen[0].collect()} == {"one": 40_000, " piece": 40_000}
