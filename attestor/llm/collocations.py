@@ -48,8 +48,10 @@ CHUNK = 1 << 20
 SLICE = 1 << 18
 BLOCK = 1 << 18
 COUNTED_WORDS = 100_000
-PROPOSED_TOGETHER = 1 << 20
-GROUP = 1 << 20
+PROPOSED_TOGETHER = 1 << 19
+GROUP = 1 << 19
+# Bytes handed to or taken from a Python task at once: both sides hold them in buffers that stay allocated.
+HANDED = 2 << 20
 DENSE = 1 << 22
 
 _PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
@@ -196,7 +198,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
                         yield flush()
         yield flush()
 
-    counted = texts.mapInArrow(run, "lang string, word string, n bigint")
+    # Each task has added up its words; a second map of them in the JVM would only take memory.
+    counted = texts.mapInArrow(run, "lang string, word string, n bigint").repartition("lang", "word")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -267,16 +270,30 @@ def slices(ids: np.ndarray, ahead: int) -> Iterator[tuple[np.ndarray, int]]:
 PACKED = "g int, keys binary, counts binary, ids binary, at binary"
 
 
-def packed(keys: np.ndarray, counts: np.ndarray, groups: int) -> pa.RecordBatch:
-    """Counted keys as one row for each group that has some."""
+def packed(keys: np.ndarray, counts: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
+    """Counted keys as one row for each group that has some, in batches of about ``HANDED`` bytes."""
     mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
     of = (mixed % np.uint64(groups)).astype(np.int32)
     order = np.argsort(of, kind="stable")
     firsts = np.flatnonzero(np.r_[True, np.diff(of[order]) > 0]) if len(of) else np.zeros(0, int)
-    found = [(of[part[0]], keys[part].tobytes(), counts[part].tobytes()) for part in np.split(order, firsts[1:]) if len(part)]
-    columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))]
-    none = pa.nulls(len(found), pa.binary())
-    return pa.RecordBatch.from_arrays([*columns, none, none], ["g", "keys", "counts", "ids", "at"])
+    found, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+        none = pa.nulls(len(found), pa.binary())
+        found.clear()
+        return pa.RecordBatch.from_arrays([*columns, none, none], ["g", "keys", "counts", "ids", "at"])
+
+    for part in np.split(order, firsts[1:]):
+        for i in range(0, len(part), HANDED // 16):
+            some = part[i : i + HANDED // 16]
+            if size and size + 16 * len(some) > HANDED:
+                yield batch()
+                size = 0
+            found.append((of[some[0]], keys[some].tobytes(), counts[some].tobytes()))
+            size += 16 * len(some)
+    if found:
+        yield batch()
 
 
 def summed(rows: DataFrame, least: int) -> DataFrame:
@@ -338,7 +355,7 @@ def phrase_pass(blocks: DataFrame, phrases: DataFrame | None, depth: int, propos
             counts = np.zeros(len(trie.value) if trie else 0, np.int64)
             held: list[np.ndarray] = []
 
-            def proposals() -> pa.RecordBatch:
+            def proposals() -> Iterator[pa.RecordBatch]:
                 keys, n = np.unique(np.concatenate(held), return_counts=True)
                 held.clear()
                 return packed(keys, n, groups)
@@ -359,12 +376,12 @@ def phrase_pass(blocks: DataFrame, phrases: DataFrame | None, depth: int, propos
                         both = np.flatnonzero((at[:-1] > 0) & (at[1:] > 0))
                         held.append(at[both].astype(np.int64) << 32 | at[both + 1])
                         if sum(map(len, held)) > PROPOSED_TOGETHER:
-                            yield proposals()
+                            yield from proposals()
             if held:
-                yield proposals()
+                yield from proposals()
             states = np.flatnonzero(counts)
             if len(states):
-                yield packed(trie.value[states].astype(np.int64) << 32, counts[states], groups)
+                yield from packed(trie.value[states].astype(np.int64) << 32, counts[states], groups)
 
         return run
 
@@ -388,7 +405,7 @@ def phrase_pass(blocks: DataFrame, phrases: DataFrame | None, depth: int, propos
 
 def frequent_phrases(docs: DataFrame, space: Workspace, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, part: int = PART) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Totals (lang, n), and words and longer phrases that are frequent (lang, words, n)."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, HANDED)
     language = F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN))
     texts = docs.select(language.alias("lang"), text_bytes(text).alias("text"))
     counted = space.put("counted", word_counts(texts))

@@ -96,3 +96,15 @@ def test_large_products_are_exact(spark):
     wide = lambda c: f"CAST({c} AS DECIMAL(38, 0))"
     row = spark.sql(f"SELECT (1000 * {wide('a')} * {wide('n')}) div ({wide('l')} * {wide('r')}) AS s FROM VALUES (9876543210123, 98765432101234, 9876543210999, 9876543219999) AS t(a, n, l, r)").first()
     assert row.s == 1000 * 9876543210123 * 98765432101234 // (9876543210999 * 9876543219999)
+
+
+def test_counts_are_handed_on_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(C, "HANDED", 1 << 10)
+    keys = np.arange(1, 1001, dtype=np.int64) << 32
+    for groups in (1, 7, 5000):
+        batches = list(C.packed(keys, keys >> 32, groups))
+        sizes = [sum(len(v) for name in ("keys", "counts") for v in b.column(name).to_pylist()) for b in batches]
+        assert len(batches) > 10 and max(sizes) <= 1 << 10
+        joined = lambda name: np.frombuffer(b"".join(v for b in batches for v in b.column(name).to_pylist()), np.int64)
+        assert sorted(zip(joined("keys").tolist(), joined("counts").tolist())) == [(k << 32, k) for k in range(1, 1001)]
+    assert list(C.packed(keys[:0], keys[:0], 3)) == []
