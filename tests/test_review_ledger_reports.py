@@ -4,6 +4,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
+from attestor import fixed_values as V
 from attestor.functions import text as T
 from attestor.operators import batch, ledger, reports, review
 from attestor.sources import catalogue, ledger_store, report_store
@@ -251,3 +252,11 @@ def test_batch_status(spark):
     assert rows[1].message is None and rows[2].message == "File does not exist" and rows[4].message == "File does not exist"
     assert rows[3].message == "Error: " + "x" * 40 and rows[3].status == "UNKNOWN" and rows[3].error == "x" * 60
     assert batch.batch_summary(batch.batch_status(manifest, results)).agg(F.sum("files")).first()[0] == 4
+
+
+def test_clean_markdown_strips_every_kind_of_space(value_of):
+    # Texts without a mark are only trimmed, by the characters of the space class one by one.
+    edged = [c + "a b" + c for c in V.SPACES]
+    assert len(edged) > 20 and value_of(lambda c: F.col(c).rlike(f"^[{V.SPACE_CLASS}]"), edged, "c") == [True] * len(edged)
+    assert value_of(T.clean_markdown, edged) == ["a b"] * len(edged)
+    assert value_of(T.clean_markdown, ["a​b", "é", "`", "#", " * ", "\xa0“x” "]) == ["ab", "é", "", "", "*", '"x"']
