@@ -35,23 +35,28 @@ def unfenced(text: Column | str) -> Column:
     return bind(strip(text), peel)
 
 
+def _braced(text: Column) -> Column:
+    """The part from the first ``{`` to the last ``}``, or an empty text; one look from either end."""
+    first = F.locate("{", text)
+    behind = F.length(F.substring_index(text, "}", -1))
+    return F.when(first > 0, text.substr(first, F.length(text) - behind - first + 1)).otherwise(F.lit(""))
+
+
 def extract_json(text: Column | str) -> Column:
     """VARIANT of the JSON object in a model answer: the whole answer, or else the part from
-    the first ``{`` to the last ``}``; null where neither parses."""
+    the first ``{`` to the last ``}``; null where neither parses. A whole answer that is an object
+    is that part, so it is parsed once also where it is broken."""
+    return bind(bind(unfenced(column(text)), _braced), _one_object)
 
-    def parse(t: Column) -> Column:
-        part = F.regexp_extract(t, r"(?s)\{.*\}", 0)
-        return F.coalesce(_one_object(t), _one_object(part))
 
-    return bind(unfenced(column(text)), parse)
+def _fields(answer: Column | str, kinds: dict[str, str]) -> Column:
+    """Struct of typed fields; the answer is parsed once, not once per field. Fields of an answer that
+    is given as a column's name are read only if they are used."""
 
+    def fields(v: Column) -> Column:
+        return F.struct(*[F.try_variant_get(v, f"$.{n}", k).alias(n) for n, k in kinds.items()])
 
-def _fields(answer: Column | str, kinds: dict[str, str]) -> Column:
-    """Struct of typed fields; the answer is parsed once, not once per field."""
-    return bind(
-        column(answer),
-        lambda v: F.struct(*[F.try_variant_get(v, f"$.{n}", k).alias(n) for n, k in kinds.items()]),
-    )
+    return fields(F.col(answer)) if isinstance(answer, str) else bind(answer, fields)
 
 
 def triage_fields(answer: Column | str) -> Column:
