@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from attestor.session import staged, tasks_for
+from attestor.session import shuffle_tasks_for, staged
 
 _ROWS_PER_PARTITION_BITS = 33
 
@@ -23,7 +23,7 @@ def assign_ids(df: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     ones, and staged with their place (partition, position). A second pass only adds the small table of
     partition offsets; no window ever holds the data in one task.
     """
-    ordered = df.repartitionByRange(tasks_for(df), *order).sortWithinPartitions(*order)
+    ordered = df.repartitionByRange(shuffle_tasks_for(df), *order).sortWithinPartitions(*order)
     placed = staged(ordered.withColumn("place", F.monotonically_increasing_id()), "ids")
     partition = F.shiftright("place", _ROWS_PER_PARTITION_BITS)
     position = F.col("place").bitwiseAND((1 << _ROWS_PER_PARTITION_BITS) - 1)

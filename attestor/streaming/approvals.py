@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from attestor import fixed_values as V
 from attestor.functions.text import utc_now
 from attestor.operators.review import apply_override, approved_results, first_review, with_reviews
-from attestor.session import tasks_for
+from attestor.session import shuffle_tasks_for
 from attestor.sources.ledger_store import append_ledger
 
 # The open sessions: who waits since which micro-batch (-1: since before the stream) and time.
@@ -62,13 +62,13 @@ def decide(tables: _Tables, reviews: DataFrame, new: DataFrame | None, table: Da
     rest = reviews.join(taken.select("session_id", "review_no"), ["session_id", "review_no"], "left_anti")
     tables.put("unknown", rest.withColumn("error", F.lit(V.NO_SESSION)))
     if new is None:
-        found = with_reviews(table, taken, ["session_id"], max(tasks_for(table), tasks_for(taken)))
+        found = with_reviews(table, taken, ["session_id"], max(shuffle_tasks_for(table), shuffle_tasks_for(taken)))
     else:
         # Only the micro-batches that hold a taken session are read.
         whole = tables.spark.read.schema(new.withColumn("batch_id", F.lit(0).cast("bigint")).schema).parquet(f"{tables.out}/held")
         named = first.withColumnRenamed("held_in", "batch_id")
         those = whole.join(F.broadcast(named.select("batch_id").distinct()), "batch_id", "left_semi")
-        tasks = max(tasks_for(those), tasks_for(named))
+        tasks = max(shuffle_tasks_for(those), shuffle_tasks_for(named))
         found = with_reviews(those, named, ["session_id", "batch_id"], tasks).drop("batch_id").dropDuplicates(["session_id"])
     approved, refused = apply_override(found)
     tables.put("refused", refused)
